@@ -5,11 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from . import bpe, token_planes
+from .common import read_table, scratch
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
 
 
+def _vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_planes.write_tokens(read_table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), _pattern(), end_id=0)
+    return token_planes.read_digests(spark, path)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(read_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _pattern(), keep_ids=False)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
 
@@ -20,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_minhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_planes, op6_byte_bpe, op8_minhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
