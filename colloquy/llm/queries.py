@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_planes
+from . import bpe, mixing, token_planes, url_rules, warc
 from .common import read_table, scratch
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
@@ -30,6 +30,26 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_digests(spark, path)
 
 
+#: The rules of the URL query.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_rules.match_rules(read_table(spark, sf_dir, "pages"), rules)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.read_digests(spark, path)
+
+
+def op4_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_copies(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _pattern(), keep_ids=False)
 
@@ -44,11 +64,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op6_byte_bpe, op8_minhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_planes, op2_url_rules, op3_warc, op4_systematic_mixing, op6_byte_bpe, op8_minhash_near_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
+    import random
+
+    rules = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in URL_RULES)
     return {
+        "op2_url_rules": rf"""
+            WITH rules(rule_host, rule_path, rule, verdict) AS (VALUES {rules}),
+            r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+            h AS (SELECT page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw, coalesce(rest, '') AS rest FROM r),
+            u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, row_number() OVER () AS n FROM h),
+            m AS (SELECT u.*, rules.rule, rules.verdict, row_number() OVER (PARTITION BY n ORDER BY length(rule) DESC, verdict DESC) AS k
+                FROM u LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+            SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""",
+        "op3_warc": r"""
+            WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+            d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS INT), 1)), '') AS payload_digest FROM p),
+            w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id FROM d)
+            SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM w""",
+        "op4_systematic_mixing": rf"""
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+            s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::BIGINT AS weight FROM d GROUP BY source),
+            l AS (SELECT *, row_number() OVER o AS pos, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest,
+                (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS among FROM s WINDOW o AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST)),
+            f AS (SELECT *, min(CASE WHEN rest * weight <= cap * among THEN pos END) OVER () AS first_at FROM l),
+            t AS (SELECT a.source, a.source_size, CASE WHEN a.first_at IS NULL OR a.pos < a.first_at THEN a.cap::DOUBLE ELSE (b.rest * a.weight)::DOUBLE / b.among::DOUBLE END AS target FROM f a LEFT JOIN f b ON b.pos = a.first_at),
+            k AS (SELECT d.*, t.source_size, t.target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+            SELECT doc_id, size::BIGINT AS size, source_size, target, CASE WHEN source_size > 0 THEN least(floor((k * target) / source_size + {random.Random(42).random()!r}::DOUBLE) - floor(((k - 1) * target) / source_size + {random.Random(42).random()!r}::DOUBLE), 3)::BIGINT * size ELSE 0 END::BIGINT AS taken FROM k""",
         "op10_exact_dedup": r"""
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
