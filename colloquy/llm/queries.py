@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, token_planes, url_rules, warc
+from . import bpe, fingerprint, langid, line_dedup, mixing, token_planes, url_rules, warc
 from .common import read_table, scratch
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
@@ -50,21 +50,34 @@ def op4_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _pattern(), keep_ids=False)
 
 
+def op7_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
 
 
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_groups(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_url_rules, op3_warc, op4_systematic_mixing, op6_byte_bpe, op8_minhash_near_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_planes, op2_url_rules, op3_warc, op4_systematic_mixing, op5_line_winnowing, op6_byte_bpe, op7_string_kernels, op8_minhash_near_dedup, op9_bottom_k, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
