@@ -17,9 +17,8 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import by_chars, space_parts
+from .common import by_chars, pick, space_parts
 
 WIDEST = 256
 _NONE = np.int32(2**31 - 1)
@@ -237,4 +236,4 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
     bytes. Null texts count as empty; ids may be null or repeat; an empty table gives no rows.
     """
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(ranks, pattern, keep_ids), out)
+    return pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(_encode(ranks, pattern, keep_ids), out)

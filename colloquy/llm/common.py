@@ -109,3 +109,17 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def checked_broadcast(df: DataFrame, most: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; otherwise Spark picks a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ... and the new name of each; then no name can clash."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), {name: c for name, c in reversed(list(zip(docs.columns, new)))}
+
+
+def pick(docs: DataFrame, **columns: tuple[str, str | None]) -> DataFrame:
+    """The named columns only, alias=(name, type or None to keep it); names are matched exactly first."""
+    inner, names = positional(docs)
+    folded = {k.lower(): v for k, v in reversed(names.items())}
+    found = {alias: F.col(names.get(name) or folded[name.lower()]) for alias, (name, _) in columns.items()}
+    return inner.select(*((c.cast(columns[a][1]) if columns[a][1] else c).alias(a) for a, c in found.items()))

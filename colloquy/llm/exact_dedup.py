@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checked_broadcast, id_bitmap, materialise, partitions
+from .common import SPACE_CLASS, checked_broadcast, id_bitmap, materialise, partitions, pick, positional
 
 _TO_SPACE = bytes(32 if c in (32, 9, 10, 11, 12, 13) else c for c in range(256))
 _SPACES = re.compile(b" {2,}")
@@ -109,13 +109,18 @@ class SortedRun:
             self.filter[h] = True
 
     def _slots(self, digests: np.ndarray):
-        raw = np.frombuffer(digests.tobytes(), np.uint8).reshape(len(digests), -1)[:, :16].copy().view(np.uint64)
+        raw = np.zeros((len(digests), 16), np.uint8)
+        given = np.frombuffer(digests.tobytes(), np.uint8).reshape(len(digests), -1)[:, :16]
+        raw[:, : given.shape[1]] = given
+        raw = raw.view(np.uint64)
         a, b = raw[:, 0], raw[:, 1] | np.uint64(1)
         return [((a + np.uint64(i) * b) % np.uint64(self.bits)).astype(np.int64) for i in range(4)]
 
     def probe(self, digests: np.ndarray) -> np.ndarray:
         """Position of each digest, or -1; only digests that pass the filter are searched."""
         out = np.full(len(digests), -1)
+        if not len(digests):
+            return out
         may = np.logical_and.reduce([self.filter[h] for h in self._slots(digests)])
         if may.any():
             at = np.minimum(np.searchsorted(self.digests, digests[may]), len(self.digests) - 1)
@@ -235,7 +240,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns of ``docs`` are not read, so their names can't clash.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     rows = materialise(src.mapInArrow(_runs(digest, memtable_bytes), _RUN_SCHEMA), "dedup-runs")
     entries = rows.where(F.col("n").isNotNull()).select("digest", "doc_id", "run", "seq", "n")
     index = materialise(entries.repartition(partitions(spark), "digest").mapInArrow(_index(memtable_entries), _INDEX_SCHEMA), "dedup-index")
@@ -286,17 +291,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     decided = exact_groups(docs, id_col, text_col).where("not kept")
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    gone = materialise(decided.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), same_id.alias("__tie")).distinct(), "dedup-gone")
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE_CLASS}+", " ")
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(text.cast("binary"), 256)))
-
-    def on(right: DataFrame):
-        return F.col(id_col).cast("long").eqNullSafe(right["__id"]) & (F.col("__digest") == right["__d"])
-
-    lost, tied = gone.where("not __tie"), gone.where("__tie")
-    lost, tied = checked_broadcast(lost), checked_broadcast(tied)
-    out = keyed.join(lost, on(lost), "left_anti")
+    gone = materialise(decided.select("doc_id", "digest", same_id.alias("tie")).distinct(), "dedup-gone")
+    inner, names = positional(docs)
+    text = F.regexp_replace(F.coalesce(F.col(names[text_col]), F.lit("")), f"{SPACE_CLASS}+", " ")
+    keyed = inner.withColumn("own_id", F.col(names[id_col]).cast("long")).withColumn("own_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    on = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest"))
+    lost, tied = checked_broadcast(gone.where("not tie")), checked_broadcast(gone.where("tie"))
+    out = keyed.join(lost, on, "left_anti")
     if not tied.isEmpty():
-        one = out.join(tied, on(tied), "left_semi").dropDuplicates([id_col, "__digest"])
-        out = out.join(tied, on(tied), "left_anti").unionByName(one)
-    return out.select(*docs.columns)
+        one = out.join(tied, on, "left_semi").dropDuplicates(["own_id", "own_digest"])
+        out = out.join(tied, on, "left_anti").unionByName(one)
+    return out.select(*inner.columns).toDF(*docs.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, partitions
+from .common import SPACE_CLASS, partitions, pick
 
 K, SHINGLE = 128, 5
 
@@ -105,7 +105,7 @@ def with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: id, n_chars, fingerprint (string), sketch and estimated distinct shingles."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = pick(docs, doc_id=(id_col, None), text=(text_col, "string")).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), sketch(F.col("text"), k, shingle).alias("sketch"))
     return rows.select("doc_id", "n_chars", as_string(F.col("sketch")).alias("fingerprint"), "sketch", distinct_shingles(F.col("sketch"), k).alias("shingles"))
 
@@ -117,7 +117,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     all) of the next document. Null texts count as empty; an empty table gives no rows; a single
     document is its own next. Ids may be null or repeat. Other columns are not read.
     """
-    rows = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k, shingle)
+    rows = with_next(pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")), k, shingle)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

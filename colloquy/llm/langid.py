@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chars
+from .common import by_chars, pick
 
 BITS, LONGEST = 16, 3
 SAMPLE_ROWS, LANDMARKS, RIDGE = 2000, 96, 1e-2
@@ -94,7 +94,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``sample_rows`` labelled rows that aren't held out."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    src = pick(docs, doc_id=(id_col, None), text=(text_col, "string"), lang=(lang_col, "string"))
     usable = src.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     ids = usable.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(sample_rows).select("doc_id").distinct()
@@ -137,7 +137,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. The
     prediction depends on the text alone. Ids may be null or repeat; an empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("held_out", held_out(F.col("doc_id")))
     return src.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

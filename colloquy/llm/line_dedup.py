@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, partitions
+from .common import SPACE_CLASS, materialise, partitions, pick
 
 GRAM_WORDS, WINDOW_WORDS, LEAST_WORDS = 25, 25, 25
 
 
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, tie, line, pos (among lines with words), h, words: one row per line with words."""
-    words = F.size(F.filter(F.split("text_line", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split("text_line", f"{SPACE_CLASS}+"), lambda w: w != ""))
     rows = docs.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line", "text_line"))
     rows = rows.select("doc_id", "tie", "line", F.xxhash64(F.rtrim("text_line")).alias("h"), words.alias("words")).where("words > 0")
     # rows that repeat id and text are one document; its lines meet in one partition, where the windows need them
@@ -80,7 +80,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first occurrence of a run stays. A null text gives a null text and no lines. Rows that repeat
     both id and text count as one document and get the same text. An empty table gives no rows.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("tie", F.xxhash64("text"))
     gone = repeated_lines(src, gram_words, window_words, least_words)
     gone = gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.sum("words").alias("removed_words"))
     gone = materialise(gone.withColumnsRenamed({"doc_id": "g_id", "tie": "g_tie"}), "line-gone")

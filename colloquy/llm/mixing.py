@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, pick, positional
 
 WEIGHTS, MOST = (5, 2, 1), 3
 _SPACE = np.zeros(256, bool)
@@ -69,7 +69,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("tie"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("source").asc_nulls_last(), "size", "doc_id", "tie"]
     sized = materialise(src.mapInArrow(_sized, "doc_id long, source string, tie long, size long"), "mix-sized")
     targets = materialise(source_targets(sized, weights, most), "mix-targets")
@@ -93,13 +93,12 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    names = dict(zip(docs.columns, (f"c{i}" for i in range(len(docs.columns)))))  # no name can clash
-    inner = docs.withColumnsRenamed(names)
+    inner, names = positional(docs)
     copies = mix_copies(docs, id_col, text_col, source_col, **options).select("doc_id", "tie", "copies")
     occurrence = Window.partitionBy("doc_id", "tie")
-    left = inner.withColumn("doc_id", F.col(names[id_col]).cast("long")).withColumn("tie", F.xxhash64(names[text_col]))
+    left = inner.withColumn("doc_id", F.col(names[id_col]).cast("long")).withColumn("tie", F.xxhash64(F.col(names[text_col]).cast("string")))
     left = left.withColumn("turn", F.row_number().over(occurrence.orderBy(F.xxhash64(F.col(names[source_col])))))
     right = copies.withColumn("turn", F.row_number().over(occurrence.orderBy("copies"))).where("copies > 0").withColumnsRenamed({"doc_id": "r_id", "tie": "r_tie", "turn": "r_turn"})
     on = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")) & (F.col("turn") == F.col("r_turn"))
     out = left.join(right, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*(F.col(v).alias(k) for k, v in names.items()))
+    return out.select(*inner.columns).toDF(*docs.columns)

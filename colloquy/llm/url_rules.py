@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, pick
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STACK = "array<struct<size:int,verdict:string,rule:string,key:string,path:string>>"
@@ -59,12 +59,12 @@ def match_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """Per row: the id, host, path, rule (null where none fits) and verdict (the rule's or ``default``).
 
     A rule fits its host and all subdomains if the URL's path starts with the rule's; the longest
-    wins. A null URL or one without ``://`` has an empty host and path, which no rule fits. Ids may
+    wins, and of equally long ones block. A null URL or one without ``://`` has an empty host and path, which no rule fits. Ids may
     be null or repeat; an empty table gives no rows, an empty rule table only defaults. Other
     columns are not read.
     """
     spark = pages.sparkSession
-    urls = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), F.coalesce(path_of(F.col(url_col)), F.lit("")).alias("path"))
+    urls = pick(pages, page_id=(id_col, None), url=(url_col, "string")).select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
     urls = urls.select(host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), "path", F.xxhash64("page_id").alias("tie"), "page_id", "host", F.lit(None).cast(_STACK).alias("stack"))
     starts = rule_stacks(rules).select("key", F.lit(0).alias("kind"), F.lit("").alias("path"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast(urls.schema["page_id"].dataType).alias("page_id"), F.lit("").alias("host"), "stack")
     order = ["key", "kind", "path", "tie"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise
+from .common import checked_broadcast, materialise, pick
 
 CRLF = b"\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -98,8 +98,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
     numbers: they revisit a numbered row, and are responses where no number has the payload. Rows
     that repeat the largest id are all responses. An empty table writes an archive without records.
     """
-    body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), sha1_base32(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
+    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    src = pick(pages, page_id=(id_col, "long"), url=(url_col, "string"), html=(html_col, "string")).select("*", sha1_base32(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
     same = src.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = checked_broadcast(materialise(same, "warc-same"))
     told = src.join(same, ["payload_digest", "payload_bytes"], "left")
