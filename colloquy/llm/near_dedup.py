@@ -9,12 +9,12 @@ Nothing is enumerated within a group:
 
 * documents with equal sets form one class, and only classes go on;
 * in each band bucket the smallest class is the leader; a class is compared with one leader first,
-  and the links found join classes into components;
-* only buckets that still hold several components are looked at again: there the members outside
-  the bucket's main component meet those of other components. A pair whose distances to a common
-  leader differ by more than the link radius can't be linked (the Jaccard distance is a metric) and
-  is left out; all others are compared. So every candidate pair is compared, lies in one component
-  already, or is ruled out exactly.
+  and the links found join classes into components; then with the leaders of its other buckets that
+  are in other components, and then with one more member of the main component of its buckets;
+* only buckets that still hold several components are looked at again: there every member outside
+  the main component is compared with every member of another component, in blocks of bounded size
+  to which the sets, not the pairs, are dealt. So every candidate pair is compared or lies in one
+  component already.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chars, checked_broadcast, id_bitmap, in_bitmap, materialise
+from .common import by_chars, checked_broadcast, id_bitmap, in_bitmap, materialise, pick, positional
 from .shingles import shared, shingle_sets
 
 HASHES, ROWS = 64, 5
@@ -144,7 +144,72 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = after
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+def relabelled(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Labels after the links (a, b) between labelled or unlabelled classes join their components."""
+    tag = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    named = links.select("a", "b").join(tag, "a", "left").join(tag.withColumnsRenamed({"a": "b", "la": "lb"}), "b", "left")
+    over = components(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), name)
+    over = over.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    old = labels.join(over, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    fresh = over.select(F.col("label").alias("node"), F.col("root").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return materialise(old.unionByName(fresh), f"{name}-labels")
+
+
+def _blocks(num: int, den: int):
+    """Group: members of a bucket's block -> links between members of different labels."""
+
+    def group(table: pa.Table) -> pa.Table:
+        rows = table.select(["stray", "class", "label", "items"]).to_pylist()
+        xs, ys = [r for r in rows if r["stray"]], [r for r in rows if not r["stray"]]
+        found = []
+        if xs and ys:
+            sets = [np.frombuffer(r["items"], np.uint64) for r in ys]
+            size, all_ = np.array([len(s) for s in sets]), np.concatenate(sets)
+            at = np.concatenate([[0], np.cumsum(size)[:-1]])
+            names = np.array([r["label"].hex() for r in ys])
+            joined: dict[str, str] = {}
+
+            def root(x: str) -> str:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            for r in xs:
+                x, own = np.frombuffer(r["items"], np.uint64), r["label"].hex()
+                if all(n == own for n in names):
+                    continue
+                k = np.minimum(np.searchsorted(x, all_), len(x) - 1)
+                common = np.add.reduceat((x[k] == all_).astype(np.int64), at)
+                for j in np.flatnonzero((common * den >= (len(x) + size - common) * num) & (names != own)):
+                    p, q = root(own), root(str(names[j]))
+                    if p != q:  # one link joins two components
+                        joined[max(p, q)] = min(p, q)
+                        found.append((r["class"], ys[j]["class"]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return group
+
+
+def block_links(open_: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) within the buckets of ``open_`` (bucket, class, label, main, x_blocks, y_blocks).
+
+    Members outside the main component stand as x, all as y; x blocks and y blocks of a bucket meet
+    in one group each, so a group holds about two blocks whatever the size of its bucket.
+    """
+    def nth(n):
+        return F.pmod(F.xxhash64("class", F.lit(n)), F.col(n)).cast("int")
+
+    def upto(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+
+    full = open_.join(sets.dropDuplicates(["class"]), "class")
+    x = full.where("label <> main").select("bucket", nth("x_blocks").alias("i"), upto("y_blocks").alias("j"), F.lit(True).alias("stray"), "class", "label", "items")
+    y = full.select("bucket", upto("x_blocks").alias("i"), nth("y_blocks").alias("j"), F.lit(False).alias("stray"), "class", "label", "items")
+    return x.unionByName(y).groupBy("bucket", "i", "j").applyInArrow(_blocks(num, den), "a binary, b binary")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hashes: int = HASHES, rows: int = ROWS, block: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when the resemblance of their shingle sets is at least ``similarity``;
@@ -155,7 +220,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     at_least = Fraction(str(similarity))
     num, den = at_least.numerator, at_least.denominator
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     signed = materialise(src.mapInArrow(_sign(shingle, hashes, rows), _SET_SCHEMA), "near-signed")
     has = signed.where("class is not null")
     classes = materialise(has.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("docs"), F.max("bands").alias("bands")), "near-classes")
@@ -172,25 +237,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     led = materialise(compare(first, sets), "near-led")
     linked = F.expr(f"common * {den} >= whole * {num}")
-    stars = led.where(linked)
-    labels = components(stars, "near-stars")
-    known = led.select(F.col("b").alias("class"), F.col("a").alias("lead"), (1 - F.col("common") / F.col("whole")).alias("far"))
-
-    placed = members.select("bucket", "class").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    placed = materialise(placed, "near-placed")
-    mixed = placed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = materialise(mixed.select("bucket", "main"), "near-mixed")
-    open_ = materialise(placed.join(mixed, "bucket").join(known, "class", "left"), "near-open")
-    x = open_.where("label <> main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("class", "label", "lead", "far")))
-    y = open_.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("class", "label", "lead", "far")))
-    radius = float(1 - at_least) + 1e-9
-    apart = F.coalesce(F.col("x_lead") == F.col("y_lead"), F.lit(False)) & (F.abs(F.col("x_far") - F.col("y_far")) > radius)
-    apart |= F.coalesce(F.col("x_lead") == F.col("y_class"), F.lit(False)) | F.coalesce(F.col("y_lead") == F.col("x_class"), F.lit(False))
-    rest = x.join(y, "bucket").where((F.col("x_label") != F.col("y_label")) & ~F.coalesce(apart, F.lit(False)))
-    rest = rest.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
-    more = materialise(compare(materialise(rest, "near-rest"), sets).where(linked).select("a", "b"), "near-more")
-    if not more.isEmpty():
-        labels = components(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "near-all")
+    labels = components(led.where(linked), "near-stars")
+
+    def placed() -> DataFrame:
+        """Members of buckets that hold several labels, with their label and the bucket's main one."""
+        own = labels.select(F.col("node").alias("class"), "label")
+        rows = materialise(members.join(own, "class", "left").withColumn("label", F.coalesce("label", "class")), "near-placed")
+        per = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max_by("class", F.xxhash64("class", "bucket")).alias("pivot")).groupBy("bucket")
+        per = per.agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("m"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where("labels > 1")
+        per = materialise(per.select("bucket", F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot"), F.ceil(F.col("n") / block).alias("y_blocks"), F.ceil((F.col("n") - F.col("n_main")) / block).alias("x_blocks")), "near-mixed")
+        return materialise(rows.join(per, "bucket"), "near-open")
+
+    def join_pairs(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
+        return relabelled(labels, materialise(compare(pairs, sets).where(linked), f"{name}-links"), name)
+
+    open_ = placed()
+    own = labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+    apart = open_.join(own, "leader", "left").where(F.col("label") != F.coalesce("leader_label", "leader"))
+    labels = join_pairs(apart.select(F.col("class").alias("a"), F.col("leader").alias("b")), "near-leaders")
+    open_ = placed()
+    labels = join_pairs(open_.where("label <> main").select(F.col("class").alias("a"), F.col("pivot").alias("b")), "near-pivots")
+    open_ = placed()
+    labels = relabelled(labels, materialise(block_links(open_, sets, num, den, block), "near-blocks"), "near-all")
 
     named = classes.select("class", "first_id", "docs").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
     named = named.withColumn("label", F.coalesce("label", "class"))
@@ -202,5 +271,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, one of each group, with all their columns (rules as in ``near_groups``)."""
-    gone = materialise(near_groups(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
-    return docs.join(checked_broadcast(gone), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    gone = materialise(near_groups(docs, id_col, text_col, **options).where("not kept").select("doc_id").distinct(), "near-gone")
+    inner, names = positional(docs)
+    out = inner.join(checked_broadcast(gone), F.col(names[id_col]).cast("long") == F.col("doc_id"), "left_anti")
+    return out.toDF(*docs.columns)
