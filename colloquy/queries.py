@@ -1,0 +1,640 @@
+"""Queries over the driver tables, each with the SQL that says the same to DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text, values, vocab
+from .operators import agreement, bootstrap, cases, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics
+from .sources import traces
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, row_idx, turns, history of the conversations."""
+    t = table(spark, sf_dir, "conversations")
+    h = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("history"))
+    return h.select("conv_id", F.col("conv_id").alias("row_idx"), F.size("history").alias("turns"), "history")
+
+
+# --- dialogs and texts
+
+_LEN = "(SELECT conv_id, count(*) AS turns FROM conversations GROUP BY conv_id)"
+
+
+@query(f"SELECT turns::INT AS turns, count(*) AS dialogs FROM {_LEN} GROUP BY turns")
+def dialog_length_histogram(spark, sf_dir):
+    return dialogs(spark, sf_dir).groupBy("turns").agg(F.count("*").alias("dialogs"))
+
+
+@query(f"SELECT count(*) AS n, sum(turns)::BIGINT AS total, min(turns)::INT AS min, avg(turns) AS mean, median(turns)::DOUBLE AS median, max(turns)::INT AS max FROM {_LEN}")
+def dialog_length_stats(spark, sf_dir):
+    return metrics.length_stats(dialogs(spark, sf_dir))
+
+
+@query(f"SELECT conv_id, turns::INT AS turns FROM {_LEN} WHERE turns BETWEEN 3 AND 5")
+def dialogs_by_turns(spark, sf_dir):
+    return metrics.by_turns(dialogs(spark, sf_dir), 3, 5).select("conv_id", "turns")
+
+
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace({}, '(^|[^\p{{L}}\p{{N}}_])(none|null|nan|undefined|true|false)($|[^\p{{L}}\p{{N}}_])', '\1 \3', 'gi'), '([.!?;,])(\S)', '\1 \2', 'g'), '\s+', ' ', 'g'))"""
+
+
+def _role_text(field: str, where: str) -> str:
+    joined = f"coalesce(string_agg(trim(text), ' ' ORDER BY turn) FILTER (WHERE trim(text) <> '' AND {where}), '')"
+    return f"SELECT conv_id, {_CLEAN.format(joined)} AS text FROM conversations GROUP BY conv_id"
+
+
+@query(_role_text("user", "lower(trim(role)) = 'user'"))
+def role_text_user(spark, sf_dir):
+    return dialogs(spark, sf_dir).select("conv_id", text.cluster_text(F.col("history"), "user").alias("text"))
+
+
+@query(_role_text("assistant", "lower(trim(role)) = 'assistant'"))
+def role_text_assistant(spark, sf_dir):
+    return dialogs(spark, sf_dir).select("conv_id", text.cluster_text(F.col("history"), "assistant").alias("text"))
+
+
+@query(_role_text("dialog", "true"))
+def role_text_dialog(spark, sf_dir):
+    return dialogs(spark, sf_dir).select("conv_id", text.cluster_text(F.col("history"), "dialog").alias("text"))
+
+
+@query(f"SELECT c.conv_id, {_CLEAN.format('coalesce(max(t.text), chr(0))').replace('chr(0)', repr(''))} AS text FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT conv_id, trim(text) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE lower(trim(role)) = 'user' AND trim(text) <> '') t ON t.conv_id = c.conv_id AND k = 2 GROUP BY c.conv_id")
+def nth_turn_text(spark, sf_dir):
+    return dialogs(spark, sf_dir).select("conv_id", text.cluster_text(F.col("history"), "user", 2).alias("text"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || trim(text), chr(10) ORDER BY turn) AS lines FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def history_lines(spark, sf_dir):
+    return dialogs(spark, sf_dir).select("conv_id", text.history_lines(F.col("history")).alias("lines"))
+
+
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' ELSE role END, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def swapped_roles(spark, sf_dir):
+    swapped = text.swap_roles(F.col("history"))
+    return dialogs(spark, sf_dir).select("conv_id", F.array_join(F.transform(swapped, lambda t: t["role"]), ",").alias("roles"))
+
+
+@query("SELECT conv_id, string_agg((CASE lower(trim(role)) WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSISTANT' ELSE upper(lower(trim(role))) END) || ': ' || trim(text), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def judge_transcripts(spark, sf_dir):
+    return dialogs(spark, sf_dir).select("conv_id", text.transcript(F.col("history")).alias("prompt"))
+
+
+@query("SELECT event_id, 'type=' || event_type || ' {x:1} k=' || coalesce(json_extract_string(props, '$.k'), '') || ' ' AS prompt FROM events")
+def prompt_templates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    m = values.merge_maps(values.flatten_context(F.try_parse_json("props")), F.create_map(F.lit("type"), F.col("event_type")))
+    return e.select("event_id", text.template("type={type} {x:1} k={k} {unknown}", m).alias("prompt"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS safe FROM pages")
+def html_escape(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("safe"))
+
+
+@query()
+def html_highlight(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.highlight_html(F.col("html"), ["article", "title", "the"]).alias("marked"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, coalesce(json_extract_string(props, '$.missing'), '[absent]') AS missing FROM events")
+def props_json_extract(spark, sf_dir):
+    v = F.try_parse_json("props")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(v, values.json_path("k"), "long").alias("k"), F.coalesce(values.variant_text(v, values.json_path("missing")), F.lit("[absent]")).alias("missing"))
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN '[пустой text]' ELSE substr(trim(text), 1, 1000) END AS model_text FROM documents")
+def texts_for_embedding(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.for_embedding(F.trim("text"), "text").alias("model_text"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') || ' (UTC+5)' AS local FROM events")
+def display_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", values.utc_plus_5(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("local"))
+
+
+# --- de-duplication
+
+
+@query("SELECT doc_id, min(doc_id) OVER w AS kept_idx, doc_id <> min(doc_id) OVER w AS dup FROM documents WINDOW w AS (PARTITION BY CASE WHEN trim(coalesce(text, '')) = '' THEN doc_id::VARCHAR ELSE 't' || trim(text) END)")
+def exact_dedup_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup.exact(d, "text", "doc_id").select("doc_id", "kept_idx", "dup")
+
+
+def _with_copies(spark, sf_dir) -> DataFrame:
+    """The embeddings, and copies of every fifth with a moved first component."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = F.transform("embedding", lambda x, i: F.when(i == 0, x + 0.25).otherwise(x))
+    return e.unionByName(e.where("row_idx % 5 = 0").select((F.col("row_idx") + 1_000_000).alias("row_idx"), moved.alias("embedding")))
+
+
+_PAIRS_SQL = """WITH e AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT * FROM e UNION ALL SELECT k + 1000000, list_prepend(v[1] + 0.25, v[2:]) FROM e WHERE k % 5 = 0),
+    p AS (SELECT a.k AS i, b.k AS j, list_cosine_similarity(a.v, b.v) AS sim FROM c a JOIN c b ON a.k < b.k WHERE list_cosine_similarity(a.v, b.v) >= 0.95)"""
+
+
+@query(_PAIRS_SQL + " SELECT i, j FROM p")
+def semantic_dedup_pairs(spark, sf_dir):
+    return dedup.semantic_pairs(_with_copies(spark, sf_dir), 0.95).select("i", "j")
+
+
+@query(_PAIRS_SQL + " SELECT j AS row_idx, min(i) AS kept_idx, round(arg_min(sim, i), 9) AS similarity FROM p GROUP BY j")
+def semantic_dedup(spark, sf_dir):
+    e = _with_copies(spark, sf_dir)
+    return dedup.greedy_keep(e, dedup.semantic_pairs(e, 0.95)).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("""SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y-%m-%d') AS conv_key, arg_max(event_id, (event_type_len, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), event_id)) AS event_id
+    FROM (SELECT *, length(event_type) AS event_type_len FROM events) GROUP BY 1""")
+def conversation_dedupe(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("conv_key"), F.length("event_type").alias("hist_len"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("event_id").alias("row_idx"))
+    return dedup.by_conversation(e).select("conv_key", "event_id")
+
+
+# --- similarity
+
+
+@query("SELECT q.vec_id AS query_id, c.vec_id, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS cid, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0) r JOIN embeddings q ON q.vec_id = qid JOIN embeddings c ON c.vec_id = cid WHERE rank <= 10")
+def similar_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return similarity.top_k_many(e, asked).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+_UNIT = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)"
+_DIMS = "(SELECT {by} generate_subscripts(u, 1) AS d, unnest(u) AS x FROM " + _UNIT + ")"
+
+
+@query(f"WITH s AS (SELECT d, sum(x) AS s, count(*) AS n FROM {_DIMS.format(by='')} GROUP BY d) SELECT max(n) AS n, round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 9) AS mean_cosine FROM s")
+def mean_pairwise_cosine(spark, sf_dir):
+    return metrics.mean_pairwise_cosine(table(spark, sf_dir, "embeddings")).select("n", F.round("mean_cosine", 9).alias("mean_cosine"))
+
+
+@query(f"WITH s AS (SELECT label, d, sum(x) AS s, count(*) AS n FROM {_DIMS.format(by='label,')} GROUP BY label, d) SELECT label, max(n) AS n, round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 9) AS mean_cosine FROM s GROUP BY label")
+def mean_cosine_by_cluster(spark, sf_dir):
+    return metrics.mean_pairwise_cosine(table(spark, sf_dir, "embeddings"), ["label"]).select("label", "n", F.round("mean_cosine", 9).alias("mean_cosine"))
+
+
+@query("WITH f AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 100), d AS (SELECT 1 - list_cosine_similarity(a.e, b.e) AS d FROM f a JOIN f b ON a.vec_id <> b.vec_id) SELECT round(min(d), 9) AS min, round(max(d), 9) AS max, round(avg(d), 9) AS mean, round(stddev_pop(d), 9) AS std FROM d")
+def embedding_distance_diag(spark, sf_dir):
+    d = similarity.distance_diagnostics(table(spark, sf_dir, "embeddings"), "vec_id")
+    return d.select(*(F.round(c, 9).alias(c) for c in d.columns))
+
+
+# --- clusters and samples
+
+
+def _clustered(spark, sf_dir) -> DataFrame:
+    """Given clusters; every 13th row is noise and every 17th has no embedding."""
+    e = table(spark, sf_dir, "embeddings")
+    c = F.when(F.col("vec_id") % 13 == 0, vocab.NOISE).when(F.col("vec_id") % 17 == 0, vocab.NO_EMBEDDING).otherwise(F.col("label"))
+    return e.select(F.col("vec_id").alias("row_idx"), c.cast("int").alias("cluster_id"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("cluster_label"), "embedding")
+
+
+_CLUSTERED = "(SELECT vec_id AS row_idx, CASE WHEN vec_id % 13 = 0 THEN -1 WHEN vec_id % 17 = 0 THEN -2 ELSE label END::INT AS cluster_id, 'L' || label AS cluster_label FROM embeddings)"
+
+
+@query(f"SELECT cluster_id, count(*) AS n, arg_min(cluster_label, row_idx) AS label, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 9) AS share_pct FROM {_CLUSTERED} GROUP BY cluster_id")
+def cluster_sizes(spark, sf_dir):
+    return metrics.cluster_sizes(_clustered(spark, sf_dir)).withColumn("share_pct", F.round("share_pct", 9))
+
+
+@query(f"""WITH s AS (SELECT cluster_id AS c, count(*) AS n FROM {_CLUSTERED} GROUP BY 1) SELECT count(*) FILTER (WHERE c >= 0) AS n_clusters, coalesce(sum(n) FILTER (WHERE c = -1), 0)::BIGINT AS n_noise,
+    round(100.0 * coalesce(sum(n) FILTER (WHERE c = -1), 0)::DOUBLE / sum(n), 1) AS noise_pct, round(avg(n) FILTER (WHERE c >= 0), 1) AS avg_size, count(*) FILTER (WHERE c >= 0 AND n = 1) AS singletons, count(*) FILTER (WHERE c >= 0 AND n <= 2) AS small FROM s""")
+def cluster_quality(spark, sf_dir):
+    return metrics.cluster_quality(_clustered(spark, sf_dir))
+
+
+def _scrambled(x: str) -> str:
+    x = f"(({x}) % 2147483648)"
+    for shift, times in ((15, 739982445), (12, 695872825)):
+        x = f"(xor({x}, {x} >> {shift}) * {times} % 2147483648)"
+    return f"xor({x}, {x} >> 15)"
+
+
+def _order(key: str, seed: int = 42) -> str:
+    return _scrambled(f"{key}::BIGINT * 1812433253 + {seed}")
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY {_order('row_idx')}, row_idx) AS k, row_number() OVER (PARTITION BY cluster_id = -1, cluster_label ORDER BY {_order('row_idx')}, row_idx) AS kn FROM {_CLUSTERED})
+    SELECT row_idx, cluster_id FROM r WHERE (cluster_id >= 0 AND k <= 3) OR (cluster_id = -1 AND kn <= 1)""")
+def balanced_sample_random(spark, sf_dir):
+    return sampling.balanced_sample(_clustered(spark, sf_dir))
+
+
+@query()
+def balanced_sample_mmr(spark, sf_dir):
+    return sampling.balanced_sample(_clustered(spark, sf_dir), method="mmr")
+
+
+@query(f"SELECT row_idx FROM {_CLUSTERED} ORDER BY {_order('row_idx', 7)}, row_idx LIMIT 50")
+def random_sample(spark, sf_dir):
+    return sampling.random_rows(_clustered(spark, sf_dir), 50, 7).select("row_idx")
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), "embedding")
+    return cluster.density_clusters(e).select("row_idx", "cluster_id")
+
+
+@query()
+def pca_layout(spark, sf_dir):
+    return cluster.layout_2d(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), "embedding"))
+
+
+@query()
+def reassigned_noise(spark, sf_dir):
+    return cluster.reassign_noise(_clustered(spark, sf_dir))
+
+
+_COUNTS = {"goals": "SELECT source AS category, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1", "priority": "SELECT o_orderpriority AS category, count(*) AS n FROM orders GROUP BY 1"}
+_DISTRIBUTION = """SELECT '{name}' AS name, (SELECT CASE WHEN count(*) <= 1 THEN 0.0 ELSE round(-sum(n / t * ln(n / t)) / ln(count(*)), 9) END FROM (SELECT n::DOUBLE AS n, sum(n) OVER ()::DOUBLE AS t FROM ({q}))) AS entropy,
+    (SELECT round(sum((2 * i - k - 1) * n) / (max(k) * sum(n)), 9) FROM (SELECT n::DOUBLE AS n, row_number() OVER (ORDER BY n)::DOUBLE AS i, count(*) OVER ()::DOUBLE AS k FROM ({q}))) AS gini,
+    (SELECT max(n)::DOUBLE / min(n) FROM ({q})) AS max_min"""
+
+
+@query(" UNION ALL ".join(_DISTRIBUTION.format(name=k, q=q) for k, q in _COUNTS.items()))
+def distribution_metrics(spark, sf_dir):
+    out = None
+    for name, t, c in (("goals", "documents", "source"), ("priority", "orders", "o_orderpriority")):
+        counts = metrics.counts_of(table(spark, sf_dir, t), c)
+        row = metrics.normalized_entropy(counts).crossJoin(metrics.gini(counts)).crossJoin(metrics.max_min_ratio(counts))
+        row = row.select(F.lit(name).alias("name"), F.round("entropy", 9).alias("entropy"), F.round("gini", 9).alias("gini"), "max_min")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("WITH a AS (SELECT DISTINCT source FROM documents WHERE lang = 'en' AND source IS NOT NULL), b AS (SELECT DISTINCT source FROM documents WHERE lang = 'de' AND source IS NOT NULL) SELECT 100.0::DOUBLE * count(b.source) / count(*) AS coverage_pct FROM a LEFT JOIN b USING (source)")
+def sample_coverage(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return metrics.coverage(d.where("lang = 'en'"), d.where("lang = 'de'"), "source")
+
+
+def _sample(d: DataFrame, lang: str) -> DataFrame:
+    return d.where(F.col("lang") == lang).select(F.col("source").alias("goal"), (F.col("doc_id") % 7).alias("turns"), (F.col("doc_id") % 11 - 1).cast("int").alias("cluster_id"))
+
+
+@query()
+def sample_comparison(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return metrics.compare_samples(_sample(d, "en"), _sample(d, "de"))
+
+
+@query("""SELECT level::INT AS level, label, source, n FROM (SELECT grouping(label, source) AS level, label, source, count(*) AS n FROM (SELECT lang AS label, substr(coalesce(source, ''), 1, 80) AS source FROM documents) GROUP BY GROUPING SETS ((label), (source), (label, source)))""")
+def stats_report(spark, sf_dir):
+    return metrics.stats_report(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1, 2) SELECT source, arg_max(lang, (n, -first)) AS lang FROM c GROUP BY source""")
+def mode_language(spark, sf_dir):
+    return metrics.mode_value(table(spark, sf_dir, "documents"), "source", "lang", "doc_id")
+
+
+# --- failures
+
+
+def _failures(spark, sf_dir) -> DataFrame:
+    lab = table(spark, sf_dir, "labels").where("quality = 0")
+    return lab.join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "source", "text")
+
+
+@query("""WITH f AS (SELECT l.doc_id, d.source FROM labels l JOIN documents d USING (doc_id) WHERE quality = 0), v AS (SELECT doc_id, coalesce(nullif(trim(source), ''), '(пусто)') AS value FROM f),
+    g AS (SELECT value, count(*) AS n, array_to_string(list(substr(doc_id::VARCHAR, 1, 12) ORDER BY doc_id)[1:5], ',') AS ids FROM v GROUP BY value)
+    SELECT row_number() OVER (ORDER BY n DESC, lower(value), value)::INT AS rank, value, n, round(100.0 * n / (SELECT count(*) FROM f), 9) AS share_pct, ids FROM g""")
+def failure_groups(spark, sf_dir):
+    return metrics.failure_groups(_failures(spark, sf_dir), "source", "doc_id", "doc_id").withColumn("share_pct", F.round("share_pct", 9))
+
+
+@query("""WITH f AS (SELECT l.doc_id, d.text FROM labels l JOIN documents d USING (doc_id) WHERE quality = 0) SELECT substr(sha256('text|0|' || count(*) || '|' || string_agg(sha256(doc_id || chr(0) || text), '|' ORDER BY doc_id)), 1, 16) AS fingerprint FROM f""")
+def failures_fingerprint(spark, sf_dir):
+    return metrics.fingerprint(_failures(spark, sf_dir), "text", 0, "doc_id", "text", "doc_id")
+
+
+# --- comparison of runs
+
+
+def _runs(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    d = d.select("doc_id", F.col("doc_id").cast("string").alias("dialog_id"), F.col("doc_id").alias("row_idx"), F.col("source").alias("category"), "quality")
+    a = d.where("doc_id % 10 <> 1").withColumn("accuracy", F.col("quality").cast("double"))
+    b = d.where("doc_id % 10 <> 2").withColumn("accuracy", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("double"))
+    return a, b
+
+
+_PAIRS = """(SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_a, b.doc_id IS NOT NULL AS in_b, a.q = 1 AS pass_a, b.q = 1 AS pass_b, coalesce(a.source, b.source) AS category
+    FROM (SELECT doc_id, source, quality AS q FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 <> 1) a
+    FULL JOIN (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS q FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 <> 2) b ON a.doc_id = b.doc_id)"""
+
+
+@query(f"""WITH p AS (SELECT *, in_a AND in_b AS common FROM {_PAIRS}), s AS (SELECT count(*) FILTER (WHERE common) AS n_common, count(*) FILTER (WHERE in_a AND NOT in_b) AS only_a, count(*) FILTER (WHERE in_b AND NOT in_a) AS only_b,
+    count(*) FILTER (WHERE common AND pass_a) / count(*) FILTER (WHERE common) AS rate_a, count(*) FILTER (WHERE common AND pass_b) / count(*) FILTER (WHERE common) AS rate_b,
+    count(*) FILTER (WHERE common AND NOT pass_a AND pass_b) AS improved, count(*) FILTER (WHERE common AND pass_a AND NOT pass_b) AS regressed FROM p)
+    SELECT *, (SELECT CASE WHEN improved + regressed = 0 THEN NULL ELSE round(least(1.0, 2 * sum(exp(lgamma(improved + regressed + 1) - lgamma(i + 1) - lgamma(improved + regressed - i + 1) - (improved + regressed) * ln(2.0)))), 7) END
+        FROM (SELECT unnest(range(least(improved, regressed) + 1)) AS i)) AS p_value FROM s""")
+def run_compare_summary(spark, sf_dir):
+    return compare.with_test(compare.summary(compare.paired(*_runs(spark, sf_dir)))).withColumn("p_value", F.round("p_value", 7))
+
+
+@query(f"SELECT category, count(*) AS n, count(*) FILTER (WHERE pass_a) AS pass_a, count(*) FILTER (WHERE pass_b) AS pass_b, count(*) FILTER (WHERE NOT pass_a AND pass_b) AS improved, count(*) FILTER (WHERE pass_a AND NOT pass_b) AS regressed, count(*) FILTER (WHERE pass_b) - count(*) FILTER (WHERE pass_a) AS net, (count(*) FILTER (WHERE pass_b) - count(*) FILTER (WHERE pass_a)) / count(*) AS delta FROM {_PAIRS} WHERE in_a AND in_b GROUP BY category")
+def run_compare_categories(spark, sf_dir):
+    return compare.by_category(compare.paired(*_runs(spark, sf_dir)))
+
+
+# --- agreement
+
+
+_AGREE = """SELECT {by} n::BIGINT AS n, po AS exact, 2 * po - 1 AS pabak, round(CASE WHEN n < 2 THEN NULL WHEN pe >= 1 THEN CASE WHEN po >= 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END, 9) AS kappa,
+    round(1 - (2 * n - 1) * 2 * (n - n * po) / nullif(4 * n * n - m2, 0), 9) AS alpha_nominal FROM (
+    SELECT {by} count(*)::DOUBLE AS n, avg((y1 = y2)::INT) AS po, (sum(y1) * sum(y2) + sum(1 - y1) * sum(1 - y2))::DOUBLE / (count(*) * count(*)) AS pe,
+    (power(sum(y1) + sum(y2), 2) + power(sum(1 - y1) + sum(1 - y2), 2))::DOUBLE AS m2 FROM ({q}) {group})"""
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in cols})
+
+
+@query(_AGREE.format(by="", group="", q="SELECT quality AS y1, 1 - toxic AS y2 FROM labels"))
+def agreement_binary(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
+    return _rounded(agreement.two_rater_metrics(agreement.confusion(lab, "quality", "clean")), "kappa", "alpha_nominal")
+
+
+_BIN = "count(*) FILTER (WHERE quality = 1 AND toxic = 0)::DOUBLE AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0)::DOUBLE AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1)::DOUBLE AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 1)::DOUBLE AS tn"
+
+
+@query(f"WITH c AS (SELECT {_BIN} FROM labels) SELECT tp, fp, fn, tn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 9) AS mcc FROM c")
+def binary_scores(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
+    return _rounded(agreement.binary_scores(agreement.binary_counts(agreement.confusion(lab, "quality", "clean"), 1)), "precision", "recall", "f1", "mcc")
+
+
+@query("SELECT y1, count(*) FILTER (WHERE y2 = 0)::DOUBLE AS \"0\", count(*) FILTER (WHERE y2 = 1)::DOUBLE AS \"1\" FROM (SELECT quality AS y1, toxic AS y2 FROM labels) GROUP BY y1")
+def confusion_matrix(spark, sf_dir):
+    return agreement.confusion_matrix(agreement.confusion(table(spark, sf_dir, "labels"), "quality", "toxic"), [0, 1])
+
+
+_RATERS = "(SELECT doc_id AS item_id, 'a' AS rater, quality AS label FROM labels UNION ALL SELECT doc_id, 'b', 1 - toxic FROM labels WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 'c', CASE WHEN doc_id % 3 = 0 THEN toxic ELSE quality END FROM labels WHERE doc_id % 4 <> 0)"
+
+
+def _ratings(spark, sf_dir) -> DataFrame:
+    lab = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "item_id")
+    a = lab.select("item_id", F.lit("a").alias("rater"), F.col("quality").alias("label"))
+    b = lab.where("item_id % 5 <> 0").select("item_id", F.lit("b").alias("rater"), (1 - F.col("toxic")).alias("label"))
+    c = lab.where("item_id % 4 <> 0").select("item_id", F.lit("c").alias("rater"), F.when(F.col("item_id") % 3 == 0, F.col("toxic")).otherwise(F.col("quality")).alias("label"))
+    return a.unionByName(b).unionByName(c)
+
+
+@query(_AGREE.format(by="rater_a, rater_b,", group="GROUP BY rater_a, rater_b", q=f"SELECT a.rater AS rater_a, b.rater AS rater_b, a.label AS y1, b.label AS y2 FROM {_RATERS} a JOIN {_RATERS} b ON a.item_id = b.item_id AND a.rater < b.rater"))
+def inter_annotator_pairs(spark, sf_dir):
+    return _rounded(agreement.rater_pairs(_ratings(spark, sf_dir)), "kappa", "alpha_nominal")
+
+
+@query(f"SELECT count(*) FILTER (WHERE k >= 2) AS n_compared, count(*) FILTER (WHERE k = 3) AS n_full FROM (SELECT item_id, count(DISTINCT rater) AS k FROM {_RATERS} GROUP BY 1)")
+def annotator_overlap(spark, sf_dir):
+    return agreement.overlap(_ratings(spark, sf_dir))
+
+
+@query(f"""WITH r AS (SELECT item_id, label, count(*)::DOUBLE AS k, sum(count(*)) OVER (PARTITION BY item_id)::DOUBLE AS m FROM {_RATERS} GROUP BY 1, 2), u AS (SELECT * FROM r WHERE m >= 2),
+    o AS (SELECT a.label AS c, b.label AS d, sum(CASE WHEN a.label = b.label THEN a.k * (a.k - 1) ELSE a.k * b.k END / (a.m - 1)) AS o FROM u a JOIN u b USING (item_id) GROUP BY 1, 2), n AS (SELECT c, sum(o) AS n FROM o GROUP BY c)
+    SELECT round(1 - ((SELECT sum(o) FROM o) - 1) * (SELECT sum(o) FROM o WHERE c <> d) / (SELECT sum(a.n * b.n) FROM n a JOIN n b ON a.c <> b.c), 9) AS alpha""")
+def krippendorff_nominal(spark, sf_dir):
+    return _rounded(agreement.krippendorff(_ratings(spark, sf_dir)), "alpha")
+
+
+_ORD = "SELECT substr(o_orderpriority, 1, 1)::INT AS y1, (o_orderkey % 5 + 1)::INT AS y2 FROM orders"
+
+
+@query(f"""WITH p AS ({_ORD}), r AS (SELECT y1, y2, rank() OVER (ORDER BY y1) + (count(*) OVER (PARTITION BY y1) - 1) / 2 AS ra, rank() OVER (ORDER BY y2) + (count(*) OVER (PARTITION BY y2) - 1) / 2 AS rb FROM p)
+    SELECT count(*) AS n, avg((abs(y1 - y2) <= 1)::INT) AS within_one, round(corr(y1, y2), 7) AS pearson, round(corr(ra, rb), 7) AS spearman FROM r""")
+def ordinal_agreement(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("y1"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("y2"))
+    r = agreement.ordinal_metrics(o, "y1", "y2")
+    return r.withColumns({c: F.round(c, 7) for c in ("pearson", "spearman")})
+
+
+@query()
+def krippendorff_ordinal(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    a = o.select(F.col("o_orderkey").alias("item_id"), F.lit("a").alias("rater"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
+    b = o.select(F.col("o_orderkey").alias("item_id"), F.lit("b").alias("rater"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("label"))
+    return agreement.krippendorff(a.unionByName(b), "ordinal")
+
+
+@query(f"""WITH c AS (SELECT quality AS y1, 1 - toxic AS y2 FROM labels), k AS (SELECT unnest([0, 1]) AS l), s AS (SELECT l, count(*) FILTER (WHERE y1 = l AND y2 = l)::DOUBLE AS tp, count(*) FILTER (WHERE y1 <> l AND y2 = l)::DOUBLE AS fp, count(*) FILTER (WHERE y1 = l AND y2 <> l)::DOUBLE AS fn, count(*) FILTER (WHERE y1 <> l AND y2 <> l)::DOUBLE AS tn FROM c, k GROUP BY l)
+    SELECT round(avg(coalesce(tp / nullif(tp + fp, 0), 0)), 9) AS macro_precision, round(avg(coalesce(tp / nullif(tp + fn, 0), 0)), 9) AS macro_recall, round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 9) AS macro_f1, round(avg((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0)), 9) AS mean_mcc FROM s""")
+def macro_scores(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
+    r = agreement.macro_scores(agreement.confusion(lab, "quality", "clean"))
+    return _rounded(r, *r.columns)
+
+
+@query("SELECT n::BIGINT AS population, CASE WHEN n <= 0 THEN 0 ELSE greatest(1, least(ceil((1.96 * 1.96 * 0.25 / 0.0025) / (1 + (1.96 * 1.96 * 0.25 / 0.0025 - 1) / n))::BIGINT, n)) END::BIGINT AS size FROM (SELECT unnest([0, 1, 10, 400, 100000]) AS n)")
+def sample_sizes(spark, sf_dir):
+    n = spark.createDataFrame([(x,) for x in (0, 1, 10, 400, 100_000)], "population long")
+    return n.select("population", agreement.sample_size(F.col("population")).alias("size"))
+
+
+# --- bootstrap, splits
+
+
+@query(f"""WITH v AS (SELECT quality::DOUBLE AS value, count(*) AS m FROM labels GROUP BY 1), l AS (SELECT value, sum(m) OVER (ORDER BY value) AS hi, sum(m) OVER (ORDER BY value) - m AS lo FROM v), n AS (SELECT sum(m)::BIGINT AS n FROM v),
+    x0 AS (SELECT b, n, {_scrambled('42::BIGINT * 1000003 + b * 1566083941 + i * 1812433253')} AS x FROM n, (SELECT unnest(range(200)) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i)),
+    d AS (SELECT b, (x >> 8) * n // 8388608 AS drawn FROM x0), r AS (SELECT b, avg(value) AS mean FROM d JOIN l ON drawn >= lo AND drawn < hi GROUP BY b)
+    SELECT (SELECT n FROM n) AS n, (SELECT avg(quality) FROM labels) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM r""")
+def bootstrap_ci_accuracy(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("a"))
+    return _rounded(bootstrap.bootstrap_mean(lab, "a", replicates=200), "low", "high")
+
+
+@query()
+def bootstrap_ci_kappa(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
+    return bootstrap.agreement_interval(lab, "quality", "clean", replicates=200)
+
+
+@query(f"""WITH r AS (SELECT doc_id, quality, toxic, count(*) OVER w AS n, row_number() OVER (PARTITION BY quality, toxic ORDER BY {_order('doc_id')}, doc_id) AS k FROM labels WINDOW w AS (PARTITION BY quality, toxic))
+    SELECT doc_id AS item_id, 'q=' || quality || ', t=' || toxic AS stratum, CASE WHEN k <= CASE WHEN n >= 2 THEN greatest(1, least(n - 1, round_even(n * 0.2::DOUBLE, 0))) ELSE round_even(n * 0.2::DOUBLE, 0) END THEN 'test' ELSE 'train' END AS split FROM r""")
+def stratified_split(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    rows = lab.select(F.col("doc_id").alias("item_id"), F.concat(F.lit("q="), F.col("quality").cast("string"), F.lit(", t="), F.col("toxic").cast("string")).alias("s"))
+    return sampling.stratified_split(rows, "s").select("item_id", "stratum", "split")
+
+
+# --- scoring
+
+
+@query("SELECT criterion, avg(a) AS accuracy FROM (SELECT 'quality' AS criterion, quality::DOUBLE AS a FROM labels UNION ALL SELECT 'clean', (1 - toxic)::DOUBLE FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT 'absent', 0.0) GROUP BY criterion")
+def criterion_accuracy(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    m = F.map_filter(F.create_map(F.lit("quality"), F.col("quality").cast("double"), F.lit("clean"), F.when(F.col("doc_id") % 3 != 0, (1 - F.col("toxic")).cast("double"))), lambda k, v: v.isNotNull())
+    return scoring.criterion_means(lab.withColumn("criterion_accuracy", m), ["quality", "clean", "absent"])
+
+
+@query("SELECT round(avg((quality + CASE WHEN doc_id % 3 <> 0 THEN 1 - toxic ELSE 0 END)::DOUBLE / CASE WHEN doc_id % 3 <> 0 THEN 2 ELSE 1 END), 9) AS mean_score FROM labels")
+def mean_criterion_score(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    m = F.create_map(F.lit("quality"), F.col("quality").cast("double"), F.lit("clean"), F.when(F.col("doc_id") % 3 != 0, (1 - F.col("toxic")).cast("double")))
+    return _rounded(scoring.mean_score(lab.withColumn("criterion_accuracy", m)), "mean_score")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS source_id, l_linenumber AS k, (l_returnflag = 'N')::INT::DOUBLE AS a FROM lineitem) SELECT source_id, count(*) AS repeats, round(avg(a), 4) AS accuracy, max(a) = 1 AS pass_at_least_once, min(a) = 1 AS pass_all,
+    string_agg(a::INT::VARCHAR, ',' ORDER BY k, a) AS accuracies, round(avg(a), 4) AS pass_rate, max(a) = 1 AS result FROM r GROUP BY source_id""")
+def repeat_aggregation(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("repeat_index"), (F.col("l_returnflag") == "N").cast("double").alias("accuracy"))
+    out = scoring.aggregate_repeats(r)
+    return out.withColumn("accuracies", F.array_join(F.transform("accuracies", lambda x: x.cast("int").cast("string")), ","))
+
+
+@query("""WITH a AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN quality::VARCHAR WHEN 1 THEN CASE quality WHEN 1 THEN 'да' ELSE 'нет' END WHEN 2 THEN CASE quality WHEN 1 THEN 'Passed ' ELSE 'failed' END ELSE 'maybe' END AS w FROM labels)
+    SELECT doc_id, CASE WHEN lower(trim(w)) IN ('1', 'true', 'yes', 'да', 'pass', 'passed') THEN true WHEN lower(trim(w)) IN ('0', 'false', 'no', 'нет', 'fail', 'failed') THEN false END AS passed FROM a""")
+def criterion_words(spark, sf_dir):
+    lab, q = table(spark, sf_dir, "labels"), F.col("quality") == 1
+    w = F.when(F.col("doc_id") % 4 == 0, F.col("quality").cast("string")).when(F.col("doc_id") % 4 == 1, F.when(q, "да").otherwise("нет")).when(F.col("doc_id") % 4 == 2, F.when(q, "Passed ").otherwise("failed")).otherwise("maybe")
+    return lab.select("doc_id", values.criterion_text(w).alias("passed"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN false ELSE quality = 1 AND toxic = 0 END AS result FROM labels")
+def judge_answers(spark, sf_dir):
+    answer = F.concat(F.lit("Ответ:\n```json\n{\"quality\": "), F.col("quality").cast("string"), F.lit(", \"clean\": {\"passed\": "), F.when(F.col("toxic") == 0, "true").otherwise("false"), F.lit("}, \"reason\": \"x\"}\n```"))
+    answer = F.when(F.col("doc_id") % 5 == 0, F.lit("no verdict")).otherwise(answer)
+    return scoring.judge_result(table(spark, sf_dir, "labels").withColumn("answer", answer), "answer", "quality,clean,reason").select("doc_id", "result")
+
+
+@query("SELECT doc_id, quality = 1 AND toxic = 0 AS met FROM labels")
+def custom_predicate(spark, sf_dir):
+    code = "response.get('quality', 0) == 1 and not response['toxic'] in [1, 2] and len(goals) > 0"
+    lab = table(spark, sf_dir, "labels")
+    return lab.select("doc_id", scoring.custom_check(code, {"response": F.to_json(F.struct("quality", "toxic")), "goals": F.lit('["g"]')}).alias("met"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3 AS matched FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def semantic_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    ref = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("ref"))
+    rows = e.join(ref, "vec_id").select("vec_id", metrics.dot(metrics.unit(F.col("embedding")), metrics.unit(F.col("ref"))).alias("s"))
+    return rows.select("vec_id", F.round("s", 9).alias("similarity"), scoring.semantic_match(F.col("s"), 0.3).alias("matched"))
+
+
+# --- timing
+
+
+_TURNS = """(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_idx, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, epoch_us(ts) / 1e6 AS ts, CASE WHEN event_id % 3 = 0 THEN value END AS duration FROM events)"""
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events")
+    idx = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.col("user_id").alias("dialog_id"), "event_id", idx.alias("turn_idx"), F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("duration"))
+
+
+@query(f"WITH d AS (SELECT event_id, coalesce(duration, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY turn_idx)) AS duration FROM {_TURNS}) SELECT event_id, floor(duration * 10 + 0.37)::BIGINT AS duration FROM d")
+def reply_timing_lag(spark, sf_dir):
+    return timing.infer_durations(_turns(spark, sf_dir)).select("event_id", F.floor(F.col("duration") * 10 + 0.37).alias("duration"))
+
+
+@query(f"SELECT user_id AS dialog_id, round(avg(duration) FILTER (WHERE role = 'assistant'), 6) AS avg_assistant, round(avg(duration) FILTER (WHERE role = 'user'), 6) AS avg_user, round(sum(duration), 5) AS known_total FROM {_TURNS} GROUP BY user_id")
+def reply_times_by_role(spark, sf_dir):
+    return timing.dialog_times(_turns(spark, sf_dir)).select("dialog_id", F.round("avg_assistant", 6).alias("avg_assistant"), F.round("avg_user", 6).alias("avg_user"), F.round("known_total", 5).alias("known_total"))
+
+
+@query(f"""WITH w AS (SELECT *, 100000.0 - coalesce(sum(duration) OVER p, 0) AS budget, count(*) FILTER (WHERE duration IS NULL) OVER p AS missing FROM {_TURNS} WINDOW p AS (PARTITION BY user_id))
+    SELECT event_id, floor(coalesce(duration, CASE WHEN budget > 0 THEN budget / missing END) * 100 + 0.3)::BIGINT AS duration FROM w""")
+def wall_budget_share(spark, sf_dir):
+    t = _turns(spark, sf_dir).withColumn("wall", F.lit(100000.0))
+    return timing.share_wall(t).select("event_id", F.floor(F.col("duration") * 100 + 0.3).alias("duration"))
+
+
+# --- traces, contexts
+
+
+def _traces(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    message = F.to_json(F.struct(F.array(F.struct(F.lit("human").alias("type"), F.concat(F.lit("m"), (F.col("event_id") % 500).cast("string")).alias("id"), F.col("event_type").alias("content")), F.struct(F.lit("ai").alias("type"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("re "), F.col("event_type")).alias("content"))).alias("messages")))
+    return e.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("sessionId"), F.col("user_id").cast("string").alias("userId"), F.array("event_type", F.when(F.col("value") > 50, "high").otherwise("low")).alias("tags"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.col("props").alias("metadata"), message.alias("input"), F.lit(None).cast("string").alias("output"))
+
+
+@query("SELECT event_id::VARCHAR AS id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND event_type IN ('click', 'view', 'purchase') AND value > 50 AND regexp_matches(event_type, '^[cp]')")
+def trace_filters(spark, sf_dir):
+    t = traces.api_filters(_traces(spark, sf_dir), start="2024-01-05 00:00:00")
+    t = traces.post_filters(t, tags_all=["high"], tags_any=["click", "view", "purchase"], name_regex="^[cp]")
+    return t.select("id")
+
+
+@query("""SELECT arg_max(event_id, (2, strftime(ts, '%Y-%m-%dT%H:%M:%S'), event_id::VARCHAR))::VARCHAR AS dialog_id, 'm' || (event_id % 500) AS conv_key FROM events GROUP BY 2""")
+def trace_cases(spark, sf_dir):
+    return traces.export(_traces(spark, sf_dir)).select("dialog_id", "conv_key")
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    context = F.create_map(F.lit("site"), F.lit("s1"), F.lit("k"), F.coalesce(values.variant_text(F.try_parse_json("props"), "$.k"), F.lit("")), F.lit("user"), (F.col("user_id") % 3).cast("string"))
+    return e.select(F.col("event_id").alias("row_idx"), F.array("event_type").alias("goals"), context.alias("context"))
+
+
+@query("SELECT 'site' AS key, 's1' AS value")
+def common_context(spark, sf_dir):
+    return cases.common_context(_cases(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT event_id AS o, 'site' AS key, 's1' AS value FROM events UNION ALL SELECT event_id, 'k', coalesce(json_extract_string(props, '$.k'), '') FROM events UNION ALL SELECT event_id, 'user', (user_id % 3)::VARCHAR FROM events),
+    d AS (SELECT key, value, min(o) AS o FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o, value) AS k FROM d) SELECT key, string_agg(value, ',' ORDER BY k) AS examples FROM r WHERE k <= 3 GROUP BY key""")
+def context_summary(spark, sf_dir):
+    return cases.context_summary(_cases(spark, sf_dir)).withColumn("examples", F.array_join("examples", ","))
+
+
+@query("""SELECT event_type AS text, '{"k":"' || coalesce(json_extract_string(props, '$.k'), '') || '","user":"' || (user_id % 3) || '"}' AS context, least(500, count(*))::INT AS n FROM events GROUP BY 1, 2""")
+def generation_forms(spark, sf_dir):
+    return cases.form_rows(_cases(spark, sf_dir)).select("text", "context", "n")
+
+
+# --- topics
+
+
+@query()
+def ctfidf_keywords(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("text", F.regexp_replace("source", "src", "").cast("int").alias("cluster_id"))
+    w = topics.keywords(d, "text")
+    return w.select("cluster_id", text.format_terms(F.col("words")).alias("keywords"))
+
+
+@query(f"""WITH t AS (SELECT regexp_replace(source, 'src', '')::INT AS cluster_id, term, count(*) AS n FROM (SELECT d.source, unnest(string_split_regex(lower(d.text), '[^\\p{{L}}]+')) AS term FROM documents d) WHERE length(term) >= 2 GROUP BY 1, 2),
+    c AS (SELECT cluster_id, sum(n)::DOUBLE AS size FROM t GROUP BY 1), f AS (SELECT term, sum(n)::DOUBLE AS f FROM t GROUP BY 1), a AS (SELECT floor(avg(size)) AS a FROM c), s AS (SELECT cluster_id, term, (a - f + 0.5) / (f + 0.5) AS z, n / size AS tf FROM t JOIN c USING (cluster_id) JOIN f USING (term), a)
+    SELECT cluster_id, term, round(sqrt(tf) * ln(1 + z), 9) AS score FROM s WHERE z > 0""")
+def ctfidf_scores(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.regexp_replace("source", "src", "").cast("int").alias("cluster_id"), F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where(F.length("term") >= 2)
+    counts = d.groupBy("cluster_id", "term").agg(F.count("*").alias("n"))
+    return topics.class_tfidf(counts).select("cluster_id", "term", F.round("score", 9).alias("score"))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE trim(text) <> '') AS n_non_empty FROM documents GROUP BY source")
+def corpus_by_source(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.trim("text") != "").alias("n_non_empty"))
