@@ -287,3 +287,45 @@ def test_repeats(spark):
     assert [r.dialog_id for r in scoring.with_repeats(cases, 2).orderBy("repeat_index").collect()] == ["a#1", "a#2"]
     met = spark.createDataFrame([(["None"], []), (["None"], ["f"]), (["f", "g"], ["g"]), (["f"], None)], "g array<string>, c array<string>")
     assert [r.m for r in met.select(scoring.tool_call_met(F.col("g"), F.col("c")).alias("m")).collect()] == [True, False, True, False]
+
+
+def test_tools(spark):
+    from colloquy.functions import tools
+
+    calls = '[{"function": {"name": "f", "arguments": "{\\"tool_arguments\\": {\\"a\\": {\\"block_id\\": 1, \\"b\\": \\"ж\\"}}}"}, "id": "1", "x": 2}, {"function": {"name": "g", "arguments": "not json"}}]'
+    schema = '{"function": {"name": "f", "description": "d"}}'
+    df = spark.createDataFrame([(calls, schema, '{"a": ["{x} {y}"]}', {"x": "1"})], "c string, s string, t string, m map<string,string>")
+    call = tools.schema_call(F.parse_json("s"), "v")
+    r = df.select(tools.calls_for_display(F.col("c")).alias("c"), call.alias("s"), tools.substitute(F.col("t"), F.col("m")).alias("t")).first()
+    import hashlib
+    import json
+
+    shown = json.loads(r.c)
+    assert shown[0] == {"function": {"name": "f", "arguments": '{"a":{"b":"ж"}}'}, "id": "1", "type": "function"} and shown[1]["function"]["arguments"] == "not json"
+    assert r.s.arguments == '{"description":"d"}' and r.s.id == "call_" + hashlib.md5(b'v\0f\0{"description":"d"}').hexdigest()[:24]
+    assert json.loads(r.t) == {"a": ["1 {y}"]}
+    events = spark.createDataFrame([('{"tool_event_source": "http_variables"}',), ('{"type": "tool_call", "http_tool_variable_names": []}',), ('{"type": "tool_call", "tool_event_source": "tech_log"}',)], "e string")
+    got = events.select(tools.from_variables(F.parse_json("e")).alias("a"), tools.hidden_event(F.parse_json("e"), True).alias("b")).collect()
+    assert [(x.a, x.b) for x in got] == [(True, False), (True, False), (False, True)]
+    fields = spark.createDataFrame([('{"passed": true, "score": 2, "failed_checks": ["x", "y"]}',), ('"text"',), ("null",)], "e string")
+    assert [x.t for x in fields.select(tools.eval_field_text(F.parse_json("e")).alias("t")).collect()] == ["✅ · score=2 · failed: x; y", "text", "—"]
+    assert "● f" in tools.tools_for_prompt([{"type": "function", "function": {"name": "f"}}])
+
+
+def test_simulation(spark):
+    from colloquy.plans import simulation
+
+    class Echo:
+        def __init__(self, name):
+            self.name = name
+
+        def reply(self, history):
+            return f"{self.name}{len(history)}"
+
+    df = spark.createDataFrame([("a", []), ("b", [("user", "hi")])], "dialog_id string, history array<struct<role:string,content:string>>")
+    got = {r.dialog_id: r for r in simulation.simulate(df, Echo("u"), Echo("s"), 3).collect()}
+    assert [t.content for t in got["a"].history] == ["u0", "s1", "u2", "s3"] and got["a"].turns == 3
+    assert [t.content for t in got["b"].history] == ["hi", "s1", "u2", "s3"]
+    stopped = simulation.simulate(df, Echo("u"), Echo("s"), 5, stop=lambda h: True).collect()
+    assert {len(r.history) for r in stopped} == {2}
+    assert {r.dialog_id: len(r.history) for r in simulation.one_reply(df, Echo("s")).collect()} == {"a": 1, "b": 2}
