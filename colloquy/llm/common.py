@@ -106,9 +106,15 @@ def in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
-def checked_broadcast(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows; otherwise Spark picks a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def checked_broadcast(df: DataFrame, most: int = 200_000, arrays: str | None = None, most_items: int = 2_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; otherwise Spark picks a shuffled join.
+
+    Small is at most ``most`` rows and, with ``arrays`` naming an array column, at most
+    ``most_items`` items in it altogether. ``df`` should be a written table, as it is read twice.
+    """
+    items = F.sum(F.size(arrays)) if arrays else F.lit(0)
+    size = df.limit(most + 1).agg(F.count("*").alias("n"), items.alias("items")).first()
+    return F.broadcast(df) if size.n <= most and (size["items"] or 0) <= most_items else df
 
 
 def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

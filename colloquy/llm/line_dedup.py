@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialise, partitions, pick
+from .common import SPACE_CLASS, checked_broadcast, materialise, partitions, pick
 
 GRAM_WORDS, WINDOW_WORDS, LEAST_WORDS = 25, 25, 25
 
@@ -83,7 +83,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).withColumn("tie", F.xxhash64("text"))
     gone = repeated_lines(src, gram_words, window_words, least_words)
     gone = gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.sum("words").alias("removed_words"))
-    gone = materialise(gone.withColumnsRenamed({"doc_id": "g_id", "tie": "g_tie"}), "line-gone")
+    gone = checked_broadcast(materialise(gone.withColumnsRenamed({"doc_id": "g_id", "tie": "g_tie"}), "line-gone"), arrays="removed")
     out = src.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie")), "left")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
