@@ -11,18 +11,27 @@ from ..functions.text import keep_terms
 
 def tokens(records: DataFrame, text: str, cluster: str = "cluster_id", stop_words: bool = True, max_df: float = 0.95) -> DataFrame:
     """cluster_id, term, n of lower-case tokens; terms in more than ``max_df`` of the texts go."""
+    return limited(term_counts(records, text, cluster), stop_words, max_df)
+
+
+def term_counts(records: DataFrame, text: str, cluster: str = "cluster_id") -> DataFrame:
+    """cluster_id, term, n, df, n_docs of all tokens in one pass over the texts."""
     docs = records.where((F.col(cluster) >= 0) & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(vocab.TOKEN), F.lit(0))
-    per_doc = docs.select(F.col(cluster).alias("cluster_id"), F.array_distinct(found).alias("kinds"), found.alias("all"))
-    counts = per_doc.select("cluster_id", F.explode("all").alias("term")).groupBy("cluster_id", "term").agg(F.count("*").alias("n"))
+    rows = docs.select(F.col(cluster).alias("cluster_id"), F.monotonically_increasing_id().alias("doc"), F.explode(found).alias("term"))
+    per_doc = rows.groupBy("cluster_id", "doc", "term").agg(F.count("*").alias("k"))
+    counts = per_doc.groupBy("cluster_id", "term").agg(F.sum("k").alias("n"), F.count("*").alias("df"))
+    return counts.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
+
+
+def limited(counts: DataFrame, stop_words: bool = True, max_df: float = 0.95) -> DataFrame:
+    """Without stop words and terms in more than ``max_df`` of the texts."""
     if stop_words:
         counts = counts.where(~F.col("term").isin(sorted(set(vocab.STOP_WORDS + vocab.JUNK_TERMS))))
     if max_df < 1:
-        df = per_doc.select(F.explode("kinds").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        total = per_doc.agg(F.count("*").alias("n_docs"))
-        common = df.crossJoin(F.broadcast(total)).where(F.col("df") > max_df * F.col("n_docs")).select("term")  # a row per very common term
+        common = counts.groupBy("term").agg(F.sum("df").alias("d"), F.max("n_docs").alias("t")).where(F.col("d") > max_df * F.col("t")).select("term")
         counts = counts.join(common, "term", "left_anti")
-    return counts
+    return counts.select("cluster_id", "term", "n")
 
 
 def class_tfidf(counts: DataFrame, bm25: bool = True) -> DataFrame:
@@ -47,8 +56,9 @@ def keywords(records: DataFrame, text: str, top: int = 10, pool: int = 200, clus
 
     A vocabulary that stop words or very common terms leave empty is built again without that rule.
     """
+    every = term_counts(records, text, cluster).persist()  # a row per cluster and term
     for stop_words, max_df in ((True, 0.95), (True, 1.0), (False, 1.0)):
-        counts = tokens(records, text, cluster, stop_words, max_df)
+        counts = limited(every, stop_words, max_df)
         if not counts.isEmpty():
             break
     scored = class_tfidf(counts)
