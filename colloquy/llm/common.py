@@ -15,8 +15,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Every character that any tokenizer counts as white space, and the ASCII separators that some do.
-_UNICODE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_ODD_PAIRS = tuple(" " + c for c in _UNICODE_SPACE)
+_UNICODE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD_PAIR = re.compile(" [" + re.escape(_UNICODE_SPACE) + "]")
 _SAFE_CUT = re.compile(" (?=[^" + re.escape(_UNICODE_SPACE) + "])")
 
 
@@ -65,7 +65,7 @@ def space_parts(text: str) -> list[str]:
     it. A pre-tokenizer that binds one leading space to a word never matches across such a cut, so
     the parts can be encoded one by one.
     """
-    if text.endswith(" ") or any(p in text for p in _ODD_PAIRS):
+    if text.endswith(" ") or _ODD_PAIR.search(text):
         return _SAFE_CUT.split(text)
     return text.split(" ")
 

@@ -21,13 +21,15 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, space_parts
+from .common import partitions, pick, space_parts
 
 BLOCK_IDS = 1 << 16
 _BLOCKS = (
@@ -37,7 +39,7 @@ _BLOCKS = (
 _PARTS = "shard int, doc_no long, doc_id long, fragment int, at long, n long, crc long"
 
 
-def to_planes(ids: np.ndarray, bits: bool = False, level: int = 3) -> list[bytes]:
+def to_planes(ids: np.ndarray, bits: bool = False, level: int = 1) -> list[bytes]:
     """Compressed planes of unsigned 32-bit ids: 4 byte planes, or 32 bit planes."""
     import zstandard
 
@@ -81,26 +83,57 @@ class UnitEncoder:
         find = regex.compile(pattern).findall
 
         def encoded(text: str) -> bytes:
-            return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+        model = tok.model
+
+        def word(unit: str) -> bytes:
+            """An alphabetic unit with its space: the library's merges on the byte-level form."""
+            return array("I", [t.id for t in model.tokenize("\u0120" + unit)]).tobytes() if unit.isascii() else encoded(" " + unit)
+
+        if any(word(w) != encoded(" " + w) for w in ("the", "Word", "thshouerst", "A")):  # another pre-tokenizer
+            def word(unit: str) -> bytes:
+                return encoded(" " + unit)
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 if piece[0] == " " and piece[1:].isalpha():
                     return units[piece[1:]]
-                out = encoded(piece)
+                out = encoded(piece)  # a piece, or what stands behind a line end
                 if len(piece) < 100:
-                    if len(self) >= most // 3:
+                    if len(self) >= most // 6:
                         self.clear()
                     self[piece] = out
                 return out
 
+        def composed(unit: str) -> bytes:
+            """A unit that isn't a word: by its plain cuts if it has no others, else by the pattern."""
+            stem = unit.rstrip(punctuation)
+            if stem.isalpha():  # a word and one run of marks
+                return units[stem] + pieces[unit[len(stem) :]]
+            head, line_end, tail = unit.partition("\n")
+            if line_end and head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return units[head] + pieces[line_end] + pieces[tail]
+            return b"".join(map(pieces.__getitem__, find(" " + unit)))
+
         class Units(dict):
+            missed = 0
+
             def __missing__(self, unit: str) -> bytes:
-                out = encoded(" " + unit) if unit.isalpha() else b"".join(map(pieces.__getitem__, find(" " + unit)))
-                if len(unit) < 100:
-                    if len(self) >= most:
+                if unit.isalpha():
+                    out = word(unit)
+                else:
+                    out = composed(unit)
+                    if "\n" in unit:  # two words and a line end seldom meet again
+                        return out
+                if len(self) < most:
+                    if len(unit) < 100:
+                        self[unit] = out
+                else:  # full: common units are in; only as many misses as there are units call for a new start
+                    self.missed += 1
+                    if self.missed > most:
                         self.clear()
-                    self[unit] = out
+                        self.missed = 0
                 return out
 
         pieces, units = Pieces(), Units()
@@ -138,8 +171,8 @@ def _write(path: str, pattern: str, end_id: int | None, block_ids: int, bits: bo
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, _types)], names=_names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = encode(text) + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = encode(text.as_py()) + end
                 left, fragment, at = len(data) // 4, 0, 0
                 while True:
                     room = block_ids - len(held) // 4
@@ -172,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     stand one after the other. An empty table writes a file of no blocks.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     # equal ids are told apart by their texts, so that no id is bound to one shard
     tie = F.xxhash64("text").alias("tie")
     dealt = src.select("*", tie).repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
