@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_chars, pick, space_parts
+from .common import by_chars, pick, small_batches, space_parts
 
 WIDEST = 256
 _NONE = np.int32(2**31 - 1)
@@ -164,20 +164,21 @@ class MatrixBPE:
 class TextEncoder:
     """Whole texts to ids; a unit between spaces is encoded once while it is remembered."""
 
-    def __init__(self, path: str, pattern: str, most: int = 900_000):
+    def __init__(self, path: str, pattern: str, most: int = 400_000):
         import regex
 
         self.bpe, self.find, self.most = MatrixBPE(load_ranks(path)), regex.compile(pattern).findall, most
         self.units: dict[str, bytes] = {}
+        self.missed = 0
         self.decimal = [str(i) for i in range(len(self.bpe.tokens))]
 
-    def _learn(self, units: set[str]) -> None:
+    def _coded(self, units: set[str]) -> dict[str, bytes]:
         units = list(units)
         pieces = [(u,) if u[1:].isalpha() and u[0] == " " else self.find(u) for u in units]
         known = list({p for ps in pieces for p in ps})
         coded = self.bpe.encode([p.encode("utf-8", "surrogatepass") for p in known])
         ids = {p: x.astype("<u4").tobytes() for p, x in zip(known, coded)}
-        self.units.update((u, b"".join(map(ids.__getitem__, ps))) for u, ps in zip(units, pieces))
+        return {u: b"".join(map(ids.__getitem__, ps)) for u, ps in zip(units, pieces)}
 
     def __call__(self, texts: list) -> list[np.ndarray]:
         """The ids of each text."""
@@ -185,14 +186,19 @@ class TextEncoder:
         for t in texts:
             head, *rest = space_parts(t or "")
             cut.append(([head] if head else []) + [" " + p for p in rest])
-        units = set().union(*cut)
-        new = units - self.units.keys()
-        if len(self.units) + len(new) > self.most:
+        fresh = self._coded(set().union(*cut) - self.units.keys())
+        self.units.update(fresh)
+        out = [np.frombuffer(b"".join(map(self.units.__getitem__, u)), "<u4") for u in cut]
+        if len(self.units) <= self.most:
+            return out
+        # full: common units are in; only as many misses as there are units call for a new start
+        self.missed += len(fresh)
+        if self.missed > self.most:
             self.units.clear()
-            new = units
-        if new:
-            self._learn(new)
-        return [np.frombuffer(b"".join(map(self.units.__getitem__, u)), "<u4") for u in cut]
+            self.missed = 0
+        for u in fresh:
+            self.units.pop(u, None)
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bpe.tokens.__getitem__, ids))
@@ -235,5 +241,6 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
     bind one leading space to a piece. Ids are decoded again, and decoded_sha256 is that of the
     bytes. Null texts count as empty; ids may be null or repeat; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).mapInArrow(_encode(ranks, pattern, keep_ids), out)

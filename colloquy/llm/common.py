@@ -129,3 +129,11 @@ def pick(docs: DataFrame, **columns: tuple[str, str | None]) -> DataFrame:
     folded = {k.lower(): v for k, v in reversed(names.items())}
     found = {alias: F.col(names.get(name) or folded[name.lower()]) for alias, (name, _) in columns.items()}
     return inner.select(*((c.cast(columns[a][1]) if columns[a][1] else c).alias(a) for a, c in found.items()))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of whole texts travel in Arrow batches of at most ``rows``, so that a batch stays small in
+    the JVM and in Python; a lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

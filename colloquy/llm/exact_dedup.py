@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checked_broadcast, id_bitmap, materialise, partitions, pick, positional
+from .common import SPACE_CLASS, checked_broadcast, id_bitmap, materialise, partitions, pick, positional, small_batches
 
 _TO_SPACE = bytes(32 if c in (32, 9, 10, 11, 12, 13) else c for c in range(256))
 _SPACES = re.compile(b" {2,}")
@@ -240,6 +240,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns of ``docs`` are not read, so their names can't clash.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     rows = materialise(src.mapInArrow(_runs(digest, memtable_bytes), _RUN_SCHEMA), "dedup-runs")
     entries = rows.where(F.col("n").isNotNull()).select("digest", "doc_id", "run", "seq", "n")

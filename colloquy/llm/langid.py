@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chars, pick
+from .common import by_chars, pick, small_batches
 
 BITS, LONGEST = 16, 3
 SAMPLE_ROWS, LANDMARKS, RIDGE = 2000, 96, 1e-2
@@ -94,6 +94,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``sample_rows`` labelled rows that aren't held out."""
+    small_batches(docs.sparkSession)
     src = pick(docs, doc_id=(id_col, None), text=(text_col, "string"), lang=(lang_col, "string"))
     usable = src.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))

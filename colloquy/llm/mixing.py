@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, pick, positional
+from .common import materialise, partitions, pick, positional, small_batches
 
 WEIGHTS, MOST = (5, 2, 1), 3
 _SPACE = np.zeros(256, bool)
@@ -69,6 +69,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string")).withColumn("tie", F.xxhash64("text"))
     order = [F.col("source").asc_nulls_last(), "size", "doc_id", "tie"]
     sized = materialise(src.mapInArrow(_sized, "doc_id long, source string, tie long, size long"), "mix-sized")

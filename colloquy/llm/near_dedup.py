@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chars, checked_broadcast, id_bitmap, in_bitmap, materialise, pick, positional
+from .common import by_chars, checked_broadcast, id_bitmap, in_bitmap, materialise, pick, positional, small_batches
 from .shingles import shared, shingle_sets
 
 HASHES, ROWS = 64, 5
@@ -218,6 +218,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null; such rows have a null component and are kept. Rows that repeat an id are judged by their
     own texts. An empty table gives no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     at_least = Fraction(str(similarity))
     num, den = at_least.numerator, at_least.denominator
     src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))

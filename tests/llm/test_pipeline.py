@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from colloquy.llm import langid, mixing
+
 from colloquy.llm.bpe import TextEncoder
 from colloquy.llm.common import materialise
 from test_dedup import brute_components, brute_sets
