@@ -4,11 +4,16 @@ Lengths are counted in words, so that one long line weighs as much as many short
 line is the hash of the lines from there on that start within ``gram_words`` words; a window at a
 line holds the grams of the lines that start within the next ``window_words`` words. The minimum of
 each window is a fingerprint. A run of whole lines of at least ``gram_words + window_words`` words
-contains a window of its own, so whatever text repeats shares a fingerprint with its first
-occurrence. Each later occurrence joins the first one of its fingerprint, both ends are extended
-over equal lines, and runs of at least ``least_words`` words are deleted from the later document.
+contains a window of its own, so wherever it stands it has the same fingerprint, and only documents
+with a fingerprint that occurs elsewhere are looked at again.
 
-The first occurrence of a line is never deleted. A passage in n documents gives n - 1 joins.
+In those documents the shortest spans of at least ``least_words`` words that start, and those that
+end, at each line are grouped by their content, and every occurrence of a span but the first is
+deleted. A line of a run of ``least_words`` words lies in a span of the run that starts at the line
+or at the run's first line, or that ends at the line, so the spans cover all of the run, whichever
+document had it first, and no two occurrences need be joined.
+
+The first occurrence of a line is never deleted.
 """
 
 from __future__ import annotations
@@ -42,34 +47,47 @@ def winnow(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = W
     return rows.withColumn("pick", F.min("gram").over(ahead.rangeBetween(0, window_words - 1))).drop("gram", "start")
 
 
+def spans(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, tie, g, p, lines: the shortest runs of ``least_words`` words from each line on and up to each line.
+
+    g tells contents apart, p is the pos of the first line and lines their number.
+    """
+    doc = Window.partitionBy("doc_id", "tie")
+    rows = lines.select("doc_id", "tie", "pos", "h", "words", F.sum("words").over(doc.orderBy("pos")).alias("end"))
+    rows = rows.withColumn("start", F.col("end") - F.col("words"))
+    ahead, back = doc.orderBy("start").rangeBetween(0, least_words - 1), doc.orderBy("end").rangeBetween(1 - least_words, 0)
+    for name, frame in (("ahead", ahead), ("back", back)):
+        rows = rows.withColumn(name, F.collect_list("h").over(frame)).withColumn(f"{name}_words", F.sum("words").over(frame))
+
+    def span(hashes, p):
+        return F.struct(F.struct(F.xxhash64(hashes).alias("x"), F.hash(hashes).alias("y")).alias("g"), p.alias("p"), F.size(hashes).alias("lines"))
+
+    # a span up to a line that is too short without the line is also the span from its first line on
+    found = F.array(
+        F.when(F.col("ahead_words") >= least_words, span("ahead", F.col("pos"))),
+        F.when(F.col("back_words") - F.col("words") >= least_words, span("back", F.col("pos") - F.size("back") + 1)),
+    )
+    return rows.select("doc_id", "tie", F.explode(F.array_compact(found)).alias("s")).select("doc_id", "tie", "s.g", "s.p", "s.lines")
+
+
 def repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, tie, line, words of each line to delete. ``docs`` has doc_id, text, tie."""
     lines = materialise(winnow(line_table(docs), gram_words, window_words), "lines")
     prints = lines.where("pick is not null").select("doc_id", "tie", F.col("pick.g").alias("g"), F.col("pick.p").alias("p")).distinct()
     prints = materialise(prints, "line-prints")
-    first = prints.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("numbered"), "doc_id", "tie", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(prints.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "line-shared")
+    again = materialise(prints.join(shared, "g").select(F.col("doc_id").alias("n_id"), F.col("tie").alias("n_tie")).distinct(), "line-documents")
+    need = F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("tie") == F.col("n_tie"))
+    lines = materialise(lines.drop("pick").join(again, need, "left_semi"), "line-candidates")
+
+    found = materialise(spans(lines, least_words), "line-spans")
+    first = found.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("numbered"), "doc_id", "tie", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = materialise(first.select("g", F.col("first.doc_id").alias("a_id"), F.col("first.tie").alias("a_tie"), F.col("first.p").alias("a_p")), "line-first")
-    seeds = prints.join(first, "g").where(~(F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("tie") == F.col("a_tie")) & (F.col("p") == F.col("a_p"))))
-    # one row per pair of documents and offset, whatever the number of fingerprints on it
-    seeds = seeds.select(F.col("doc_id").alias("b_id"), F.col("tie").alias("b_tie"), "a_id", "a_tie", (F.col("p") - F.col("a_p")).alias("offset")).distinct()
-    seeds = materialise(seeds, "line-seeds")
-
-    ordered = lines.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "line", "words"))).alias("rows"))
-    needed = seeds.select(F.col("a_id").alias("doc_id"), F.col("a_tie").alias("tie")).union(seeds.select("b_id", "b_tie")).distinct()
-    need = (F.col("doc_id").eqNullSafe(F.col("n_id"))) & (F.col("tie") == F.col("n_tie"))
-    ordered = materialise(ordered.join(needed.withColumnsRenamed({"doc_id": "n_id", "tie": "n_tie"}), need, "left_semi"), "line-arrays")
-    a = ordered.select(F.col("doc_id").alias("ra_id"), F.col("tie").alias("ra_tie"), F.col("rows.h").alias("ha"))
-    b = ordered.select(F.col("doc_id").alias("rb_id"), F.col("tie").alias("rb_tie"), F.col("rows.h").alias("hb"), F.col("rows.line").alias("lb"), F.col("rows.words").alias("wb"))
-    wide = seeds.join(a, F.col("a_id").eqNullSafe(F.col("ra_id")) & (F.col("a_tie") == F.col("ra_tie"))).join(b, F.col("b_id").eqNullSafe(F.col("rb_id")) & (F.col("b_tie") == F.col("rb_tie")))
-    # extension both ways: all lines that are equal at this offset
-    low, high = F.greatest(F.col("offset"), F.lit(0)), F.least(F.size("hb"), F.size("ha") + F.col("offset")) - 1
-    equal = F.filter(F.sequence(low, high), lambda i: F.get(F.col("hb"), i) == F.get(F.col("ha"), i - F.col("offset")))
-    pair = ["b_id", "b_tie", "a_id", "a_tie", "offset"]
-    hits = wide.where(low <= high).select(*pair, "lb", "wb", F.explode(equal).alias("pos"))
-    hits = hits.select(*pair, "pos", F.get("lb", F.col("pos")).alias("line"), F.get("wb", F.col("pos")).alias("words"))
-    runs = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*pair).orderBy("pos")))
-    long = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy(*pair, "run"))).where(F.col("run_words") >= least_words)
-    return long.select(F.col("b_id").alias("doc_id"), F.col("b_tie").alias("tie"), "line", "words").distinct()
+    later = found.join(first, "g").where(~(F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("tie") == F.col("a_tie")) & (F.col("p") == F.col("a_p"))))
+    gone = later.select(F.col("doc_id").alias("b_id"), F.col("tie").alias("b_tie"), F.explode(F.sequence(F.col("p"), F.col("p") + F.col("lines") - 1)).alias("b_pos"))
+    gone = materialise(gone.distinct(), "line-repeats")
+    at = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("tie") == F.col("b_tie")) & (F.col("pos") == F.col("b_pos"))
+    return lines.join(gone, at, "left_semi").select("doc_id", "tie", "line", "words")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -253,6 +253,26 @@ def test_line_runs(spark):
         assert r.text == "\n".join(x for i, x in enumerate(text[r.doc_id].split("\n")) if (r.doc_id, i) not in gone)
 
 
+def test_line_runs_that_the_first_document_has_in_part(spark):
+    """Every run of 50 words goes from later documents, also where the first occurrence of a part has no more of it."""
+    rnd = random.Random(21)
+
+    def line(n):
+        return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+    docs = []
+    for case in range(60):
+        parts = [line(n) for n in ((20, 30, 20), (30, 26, 30), (9, 60, 9, 12), (4, 25, 4, 30, 7))[case % 4]]
+        low = rnd.randrange(len(parts))
+        some = [parts[low:], parts[: low + 1], parts[low : low + 1]][case % 3]
+        for body in (parts[1:2], some, parts, parts, [*some, line(8), *parts]):
+            docs.append((len(docs), "\n".join([line(12), *body, line(12)])))
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    gone = {(r.doc_id, i) for r in got for i in r.removed}
+    assert {(3, 1), (3, 2), (3, 3)} <= gone  # 20 + 30 + 20 words, of which the first document has 30
+    assert brute_line_runs(docs, 50) <= gone <= brute_line_runs(docs, 25)
+
+
 def test_line_dedup_of_odd_tables(spark, odd_docs, no_docs):
     assert line_dedup.line_dedup(no_docs).count() == 0
     got = line_dedup.line_dedup(odd_docs).collect()
