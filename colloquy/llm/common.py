@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word and line contracts: space and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+SPACES = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Every character that any tokenizer counts as white space, and the ASCII separators that some do.

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checked_broadcast, materialise, partitions, pick
+from .common import SPACE_CLASS, SPACES, checked_broadcast, materialise, partitions, pick
 
 GRAM_WORDS, WINDOW_WORDS, LEAST_WORDS = 25, 25, 25
 
@@ -30,7 +30,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, tie, line, pos (among lines with words), h, words: one row per line with words."""
     words = F.size(F.filter(F.split("text_line", f"{SPACE_CLASS}+"), lambda w: w != ""))
     rows = docs.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line", "text_line"))
-    rows = rows.select("doc_id", "tie", "line", F.xxhash64(F.rtrim("text_line")).alias("h"), words.alias("words")).where("words > 0")
+    rows = rows.select("doc_id", "tie", "line", F.xxhash64(F.rtrim("text_line", F.lit(SPACES))).alias("h"), words.alias("words")).where("words > 0")
     # rows that repeat id and text are one document; its lines meet in one partition, where the windows need them
     rows = rows.repartition(partitions(docs.sparkSession), "doc_id", "tie").dropDuplicates(["doc_id", "tie", "line"])
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("line")) - 1)

@@ -273,6 +273,15 @@ def test_line_runs_that_the_first_document_has_in_part(spark):
     assert brute_line_runs(docs, 50) <= gone <= brute_line_runs(docs, 25)
 
 
+def test_trailing_white_space_of_lines(spark):
+    lines = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(4)]
+    ends = ["", "\r", " \t\x0b", "\x0c \r"]
+    docs = [(k, "".join(x + end + "\n" for x in lines)) for k, end in enumerate(ends)]
+    docs.append((len(docs), "".join(" " + x + "\x85\n" for x in lines)))  # only trailing white space of the class
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [0, 1, 2, 3], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3], 4: []}
+
+
 def test_line_dedup_of_odd_tables(spark, odd_docs, no_docs):
     assert line_dedup.line_dedup(no_docs).count() == 0
     got = line_dedup.line_dedup(odd_docs).collect()
