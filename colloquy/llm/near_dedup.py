@@ -31,7 +31,7 @@ from .common import by_chars, checked_broadcast, id_bitmap, in_bitmap, materiali
 from .shingles import shared, shingle_sets
 
 HASHES, ROWS = 64, 5
-_SET_SCHEMA = "doc_id long, n_shingles long, class binary, bands binary"
+_SET_SCHEMA = "doc_id long, tie long, n_shingles long, class binary, bands binary"
 
 
 def coefficients(hashes: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def _sign(shingle: int, hashes: int, rows: int):
         a, b = coefficients(hashes)
         known: set[bytes] = set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             n, cls, bands = [], [], []
             for i, j in by_chars(texts, 1 << 20):
                 for items in shingle_sets(texts[i:j], shingle):
@@ -78,13 +78,13 @@ def _sign(shingle: int, hashes: int, rows: int):
                         known.clear()
                     known.add(key)
                     bands.append(band_keys(signature(items, a, b), rows))
-            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "n_shingles", "class", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "tie", "n_shingles", "class", "bands"])
 
     return task
 
 
 def _sets(shingle: int, bitmap: np.ndarray):
-    """Task: the sets of documents whose id is in the bitmap, each class once per task."""
+    """Task: the sets of (row_key, text) whose key is in the bitmap, each class once per task."""
 
     def task(batches):
         known: set[bytes] = set()
@@ -209,22 +209,19 @@ def block_links(open_: DataFrame, sets: DataFrame, num: int, den: int, block: in
     return x.unionByName(y).groupBy("bucket", "i", "j").applyInArrow(_blocks(num, den), "a binary, b binary")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hashes: int = HASHES, rows: int = ROWS, block: int = 512) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, hashes: int, rows: int, block: int) -> DataFrame:
+    """One row per document: doc_id, tie (hash of the text), n_shingles, component_id, first.
 
-    Documents are linked when the resemblance of their shingle sets is at least ``similarity``;
-    ``component_id`` is the smallest id that links reach. Texts without words (and null) have empty
-    sets and are linked with nothing. A null id never names a component unless all ids of it are
-    null; such rows have a null component and are kept. Rows that repeat an id are judged by their
-    own texts. An empty table gives no rows. Other columns are not read.
+    ``first`` marks one document of each component: the smallest id's, null last, then the smallest tie's.
     """
     small_batches(docs.sparkSession)
     at_least = Fraction(str(similarity))
     num, den = at_least.numerator, at_least.denominator
-    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    row_key = F.coalesce("doc_id", "tie")
     signed = materialise(src.mapInArrow(_sign(shingle, hashes, rows), _SET_SCHEMA), "near-signed")
     has = signed.where("class is not null")
-    classes = materialise(has.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("docs"), F.max("bands").alias("bands")), "near-classes")
+    classes = materialise(has.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "tie")).alias("first"), F.min(row_key).alias("row_key"), F.count("*").alias("docs"), F.max("bands").alias("bands")), "near-classes")
 
     count = 2 * hashes // rows
     key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8))))
@@ -233,8 +230,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialise(spread.join(buckets, "bucket"), "near-members")
 
     first = materialise(members.where("class <> leader").groupBy(F.col("class").alias("b")).agg(F.min("leader").alias("a")), "near-first")
-    wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select("first_id")
-    sets = materialise(src.where("doc_id is not null").mapInArrow(_sets(shingle, id_bitmap(wanted, "first_id")), "class binary, items binary"), "near-sets")
+    wanted = classes.join(members.select("class").distinct(), "class", "left_semi").select("row_key")
+    sets = materialise(src.select(row_key.alias("row_key"), "text").mapInArrow(_sets(shingle, id_bitmap(wanted, "row_key")), "class binary, items binary"), "near-sets")
 
     led = materialise(compare(first, sets), "near-led")
     linked = F.expr(f"common * {den} >= whole * {num}")
@@ -262,12 +259,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = placed()
     labels = relabelled(labels, materialise(block_links(open_, sets, num, den, block), "near-blocks"), "near-all")
 
-    named = classes.select("class", "first_id", "docs").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
+    named = classes.select("class", "first", "docs").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
     named = named.withColumn("label", F.coalesce("label", "class"))
-    least = materialise(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.sum("docs").alias("docs")).where("docs > 1").drop("docs"), "near-least")
-    named = materialise(named.select("class", "label").join(least, "label").select("class", "component_id"), "near-named")
-    out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
+    least = materialise(named.groupBy("label").agg(F.min("first").alias("least"), F.sum("docs").alias("docs")).where("docs > 1").drop("docs"), "near-least")
+    named = materialise(named.select("class", "label").join(least, "label").select("class", "least"), "near-named")
+    out = signed.select("doc_id", "tie", "n_shingles", "class").join(named, "class", "left")
+    first = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("tie") == F.col("least.tie")))
+    return out.select("doc_id", "tie", "n_shingles", F.coalesce("least.doc_id", "doc_id").alias("component_id"), first.alias("first"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hashes: int = HASHES, rows: int = ROWS, block: int = 512) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when the resemblance of their shingle sets is at least ``similarity``;
+    ``component_id`` is the smallest id that links reach. Texts without words (and null) have empty
+    sets and are linked with nothing. A null id never names a component unless all ids of it are
+    null; such rows have a null component. Rows with a null id are compared like others and always
+    kept. Rows that repeat an id are judged by their own texts; of several texts under a component's
+    smallest id the one with the smallest hash is kept. An empty table gives no rows. Other columns
+    are not read.
+    """
+    judged = _judged(docs, id_col, text_col, shingle, similarity, hashes, rows, block)
+    return judged.select("doc_id", "n_shingles", "component_id", (F.col("first") | F.col("doc_id").isNull()).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

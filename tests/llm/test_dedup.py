@@ -143,6 +143,21 @@ def test_near_dedup_of_odd_tables(spark, odd_docs, no_docs):
     assert near_dedup.near_groups(no_docs).count() == near_dedup.near_dedup(no_docs).count() == 0
 
 
+def near_chain():
+    """Three texts of which the middle one is near both others, and these aren't near each other."""
+    left, middle, right = ([f"w{i}" for i in range(100)] for _ in range(3))
+    left[:6], right[-6:] = (f"x{i}" for i in range(6)), (f"y{i}" for i in range(6))
+    left[30], right[60] = "x", "y"
+    return [" ".join(x) for x in (left, middle, right)]
+
+
+def test_texts_under_null_ids_are_compared(spark):
+    left, middle, right = near_chain()
+    docs = spark.createDataFrame([(5, left), (None, middle), (7, right), (8, "other words"), (None, "more of them"), (None, "a b c d e f g"), (None, "A b c d e f g")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs, shingle=2).collect()}
+    assert got == {(5, 5, True), (None, 5, True), (7, 5, False), (8, 8, True), (None, None, True)}
+
+
 def test_min_max_signature():
     a, b = near_dedup.coefficients(200)
     rng = np.random.default_rng(1)
