@@ -283,9 +283,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judged.select("doc_id", "n_shingles", "component_id", (F.col("first") | F.col("doc_id").isNull()).alias("kept"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns (rules as in ``near_groups``)."""
-    gone = materialise(near_groups(docs, id_col, text_col, **options).where("not kept").select("doc_id").distinct(), "near-gone")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, hashes: int = HASHES, rows: int = ROWS, block: int = 512) -> DataFrame:
+    """The documents that stay, one of each group, with all their columns (groups as in ``near_groups``).
+
+    A row is known by its id and text, so other texts under the id of a dropped row stay. A row with a
+    null id stays only if nothing else of its group has an id; of several such rows one text stays.
+    """
+    judged = _judged(docs, id_col, text_col, shingle, similarity, hashes, rows, block)
+    gone = materialise(judged.where("not first").select("doc_id", "tie").distinct(), "near-gone")
     inner, names = positional(docs)
-    out = inner.join(checked_broadcast(gone), F.col(names[id_col]).cast("long") == F.col("doc_id"), "left_anti")
+    same = F.col(names[id_col]).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(names[text_col]).cast("string")) == F.col("tie"))
+    out = inner.join(checked_broadcast(gone), same, "left_anti")
     return out.toDF(*docs.columns)

@@ -156,6 +156,19 @@ def test_texts_under_null_ids_are_compared(spark):
     docs = spark.createDataFrame([(5, left), (None, middle), (7, right), (8, "other words"), (None, "more of them"), (None, "a b c d e f g"), (None, "A b c d e f g")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(docs, shingle=2).collect()}
     assert got == {(5, 5, True), (None, 5, True), (7, 5, False), (8, 8, True), (None, None, True)}
+    left_over = [(r.doc_id, r.text.lower()) for r in near_dedup.near_dedup(docs, shingle=2).collect()]
+    assert sorted(left_over, key=str) == sorted([(5, left), (8, "other words"), (None, "more of them"), (None, "a b c d e f g")], key=str)
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Only the near copy goes of an id with a clean text too, and of near copies under the smallest id one stays."""
+    left, middle, right = near_chain()
+    rows = [(1, left), (1, middle), (2, right), (2, "a clean text"), (3, "one more"), (3, "one more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.text) for r in near_dedup.near_dedup(docs, shingle=2).collect()]
+    assert sorted(out)[1:] == sorted(rows[3:]) and out.count((1, left)) + out.count((1, middle)) == 1
+    groups = near_dedup.near_groups(docs, shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in groups) == [(1, 1, False), (1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True)]
 
 
 def test_min_max_signature():
