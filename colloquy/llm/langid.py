@@ -143,13 +143,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, with all their columns; those that ``predict`` calls ``und`` go."""
+    """The rows whose language is known, with all their columns; those that ``predict`` calls ``und`` go.
+
+    Where nothing was learned, only texts without a letter go.
+    """
     names = docs.columns
 
     def task(batches):
         judge = _predict(model)
         for batch in batches:
             text = batch.column(names.index(text_col))
+            if not model.languages:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in text.to_pylist()], pa.bool_()))
+                continue
             fed = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), text, pa.nulls(batch.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
             (told,) = judge(iter([fed]))
             yield batch.filter(pa.array([x != UNKNOWN for x in told.column("lang_pred").to_pylist()], pa.bool_()))

@@ -162,6 +162,14 @@ def test_languages(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, empty).collect()} == {"und"}
 
 
+def test_without_labels_only_texts_without_a_letter_go(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_known(docs, langid.fit(docs))
+    assert kept.columns == docs.columns and {3, 4, 5, 9}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == docs.count() - 4
+
+
 def test_held_out_labels_are_not_learned(spark):
     import zlib
 
