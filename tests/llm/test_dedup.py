@@ -180,6 +180,14 @@ def test_min_max_signature():
     assert abs(agree - 1 / 3) < 0.08
 
 
+def test_bands_hold_a_permutation_once():
+    """On one item minimum and maximum are equal, so a band with both would repeat a value."""
+    a, b = near_dedup.coefficients(near_dedup.HASHES)
+    sig = near_dedup.signature(np.array([12345], np.uint64), a, b)
+    rows = near_dedup.ROWS
+    assert all(len(set(sig[i : i + rows])) == rows for i in range(0, len(sig) // rows * rows, rows))
+
+
 # --- fingerprints
 
 
