@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import keep_terms
+from ..functions.text import keep_terms, meaningful_term
 
 
 def tokens(records: DataFrame, text: str, cluster: str = "cluster_id", stop_words: bool = True, max_df: float = 0.95) -> DataFrame:
@@ -55,6 +55,7 @@ def keywords(records: DataFrame, text: str, top: int = 10, pool: int = 200, clus
     """cluster_id, words array<struct<term, score>>: the best meaningful terms of each cluster.
 
     A vocabulary that stop words or very common terms leave empty is built again without that rule.
+    The ``pool`` best meaningful terms are looked at, and more where they leave a cluster short of ``top``.
     """
     every = term_counts(records, text, cluster).persist()  # a row per cluster and term
     for stop_words, max_df in ((True, 0.95), (True, 1.0), (False, 1.0)):
@@ -62,9 +63,14 @@ def keywords(records: DataFrame, text: str, top: int = 10, pool: int = 200, clus
         if not counts.isEmpty():
             break
     scored = class_tfidf(counts)
-    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("score").desc(), "term"))
-    best = scored.withColumn("k", rank).where(F.col("k") <= pool)
-    return best.groupBy("cluster_id").agg(F.collect_list(F.struct("term", "score")).alias("w")).select("cluster_id", keep_terms(F.col("w"), top).alias("words"))
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("good").desc(), F.col("score").desc(), "term"))
+    ranked = scored.withColumn("good", meaningful_term(F.col("term"))).withColumn("k", rank).persist()
+    while True:
+        best = ranked.where(F.col("k") <= pool).groupBy("cluster_id").agg(F.collect_list(F.struct("term", "score")).alias("w"), (F.bool_and("good") & (F.count("*") == pool)).alias("more"))
+        words = best.select("cluster_id", keep_terms(F.col("w"), top).alias("words"), "more")
+        if words.where(F.col("more") & (F.size("words") < top)).isEmpty():
+            return words.drop("more")
+        pool *= 8
 
 
 def labels(words: DataFrame, top: int = 4, sep: str = ".") -> DataFrame:

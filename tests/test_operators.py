@@ -329,3 +329,13 @@ def test_simulation(spark):
     stopped = simulation.simulate(df, Echo("u"), Echo("s"), 5, stop=lambda h: True).collect()
     assert {len(r.history) for r in stopped} == {2}
     assert {r.dialog_id: len(r.history) for r in simulation.one_reply(df, Echo("s")).collect()} == {"a": 1, "b": 2}
+
+
+def test_keywords_look_beyond_terms_without_meaning(spark):
+    names = [f"{a}{b}" for a in ("kiwi", "plum", "fig") for b in ("stone", "water", "cloud", "grass")]
+    junk = [str(n) for n in range(1000, 1300)] * 2
+    inside = ["kiwistone" * 4] * 9 + ["k"]
+    df = spark.createDataFrame([(0, " ".join(junk + names)), (1, " ".join(inside + ["other"]))], "cluster_id int, text string")
+    got = {r.cluster_id: [w.term for w in r.words] for r in topics.keywords(df, "text").collect()}
+    assert got[0] == sorted(names)[:10]
+    assert {r.cluster_id: [w.term for w in r.words] for r in topics.keywords(df, "text", pool=2).collect()} == got
