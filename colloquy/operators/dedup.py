@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,11 +25,17 @@ def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
 def semantic_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", tables: int = 24, bits: int = 8, seed: int = 7) -> DataFrame:
     """Candidate pairs (i < j) with cosine >= threshold by signed random projections, checked exactly.
 
-    ``tables`` times ``bits`` planes: at cosine 0.95 a pair shares no table with probability below
-    1e-5. ``exact_pairs`` compares all pairs of a small sample.
+    ``tables`` times ``bits`` planes, and more tables for lower thresholds: at the threshold a pair
+    shares no table with probability below 1e-5. Where that takes more tables than a table has
+    buckets, comparing all pairs is less work, and ``exact_pairs`` does it.
     """
     from .metrics import dot, unit
 
+    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    needed = math.inf if agree < 1e-9 else 1 if agree == 1 else math.ceil(math.log(1e-5) / math.log1p(-agree))
+    if needed > 1 << bits:
+        return exact_pairs(vectors, threshold, key, vector)
+    tables = max(tables, needed)
     unit_rows = vectors.select(F.col(key).alias("i"), unit(F.col(vector)).alias("u")).where("u is not null")
     first = unit_rows.select(F.size("u").alias("n")).first()
     if first is None:

@@ -339,3 +339,13 @@ def test_keywords_look_beyond_terms_without_meaning(spark):
     got = {r.cluster_id: [w.term for w in r.words] for r in topics.keywords(df, "text").collect()}
     assert got[0] == sorted(names)[:10]
     assert {r.cluster_id: [w.term for w in r.words] for r in topics.keywords(df, "text", pool=2).collect()} == got
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_semantic_pairs_at_low_thresholds(spark, threshold):
+    rnd = np.random.default_rng(4)
+    base = rnd.standard_normal((12, 16))
+    vectors = [(i, (base[i % 12] + 0.7 * rnd.standard_normal(16)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(vectors, "row_idx long, embedding array<double>")
+    want = {(r.i, r.j) for r in dedup.exact_pairs(df, threshold).collect()}
+    assert len(want) > 300 and {(r.i, r.j) for r in dedup.semantic_pairs(df, threshold).collect()} == want
