@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, pick, space_parts
+from .common import partitions, pick, small_batches, space_parts
 
 BLOCK_IDS = 1 << 16
 _BLOCKS = (
@@ -68,7 +68,8 @@ class UnitEncoder:
 
     The pre-tokenizer binds one leading space to what follows and never matches across the cuts of
     ``space_parts``, so the ids of a text are those of its units one after the other; and it cuts a
-    unit where ``pattern`` does, so the ids of a unit are those of its pieces.
+    unit where ``pattern`` does, so the ids of a unit are those of its pieces. The library looks for
+    the strings of added tokens first; a text that has one is given to it as a whole.
     """
 
     def __init__(self, path: str, pattern: str, most: int = 900_000):
@@ -79,7 +80,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # their strings are ordinary text in a document
+        added = sorted({t.content for t in tok.get_added_tokens_decoder().values()})
         find = regex.compile(pattern).findall
 
         def encoded(text: str) -> bytes:
@@ -137,12 +138,14 @@ class UnitEncoder:
                 return out
 
         pieces, units = Pieces(), Units()
-        self._first, self._units = encoded, units
+        self._first, self._units, self._added = encoded, units, added
 
     def __call__(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return b""
+        if any(a in text for a in self._added):
+            return self._first(text)
         head, *rest = space_parts(text)
         return (self._first(head) if head else b"") + b"".join(map(self._units.__getitem__, rest))
 
@@ -201,10 +204,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     ``tokenizer`` is the path of a tokenizer file of the tokenizers library whose pre-tokenizer cuts
     by ``pattern``.
 
+    Strings of added tokens in a text get those tokens' ids, as the library's plain call gives them.
     Null texts count as empty and still get ``end_id``. Null ids come first; rows that repeat an id
     stand one after the other. An empty table writes a file of no blocks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     # equal ids are told apart by their texts, so that no id is bound to one shard
     tie = F.xxhash64("text").alias("tie")

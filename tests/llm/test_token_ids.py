@@ -19,14 +19,13 @@ def strange_texts(n=3000):
     rnd = random.Random(3)
     letters = "aab  béß字💩1２'s.,!-" + SPACES + "  \n "
     out = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(n)]
-    return out + ["a" * 3000, "ab" * 5000, " " * 1000, "é" * 700, "", "\n" * 600 + "x", " lead", "trail \n ", "a<|endoftext|> <|endoftext|>b"]
+    return out + ["a" * 3000, "ab" * 5000, " " * 1000, "é" * 700, "", "\n" * 600 + "x", " lead", "trail \n ", "a<|endoftext|> <|endoftext|>b", "a <|endoftext|> b c", "<|endoftext |> a"]
 
 
 def test_units_give_the_ids_of_the_whole_text():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     encode = token_planes.UnitEncoder(JSON, PATTERN, most=500)  # the memory fills and empties on the way
     for t in strange_texts(1500):
         assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
@@ -75,6 +74,8 @@ def expected_ids(rows):
 
 @pytest.mark.parametrize("block_ids", [64, 1 << 16])
 def test_token_file(spark, odd_docs, block_ids):
+    strange = [(100 + i, t) for i, t in enumerate(strange_texts(60))]
+    odd_docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(strange, "doc_id long, text string"))
     path = scratch(spark, "test-tokens")
     token_planes.write_tokens(odd_docs, path, JSON, PATTERN, block_ids=block_ids, bits=block_ids == 64)
     got = sorted(token_planes.read_digests(spark, path).collect(), key=lambda r: r.start)
