@@ -13,26 +13,12 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, pick, positional, small_batches
+from .common import WORD_PATTERN, checked_broadcast, materialise, partitions, pick, positional
 
 WEIGHTS, MOST = (5, 2, 1), 3
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _sized(batches):
-    for batch in batches:
-        n = []
-        for text in batch.column("text"):
-            raw = text.as_buffer()
-            word = ~_SPACE[np.frombuffer(raw, np.uint8)] if raw is not None and raw.size else np.zeros(0, bool)
-            n.append(int(np.count_nonzero(word[1:] & ~word[:-1]) + word[:1].sum()))
-        yield pa.record_batch([batch.column("doc_id"), batch.column("source"), batch.column("tie"), pa.array(n, pa.int64())], names=["doc_id", "source", "tie", "size"])
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST, share: float = 1.0) -> DataFrame:
@@ -68,20 +54,19 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the text, so a rerun gives the same copies. No document gets more than ``most`` copies. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string")).withColumn("tie", F.xxhash64("text"))
+    src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), source=(source_col, "string"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    sized = materialise(src.select("doc_id", "source", F.xxhash64("text").alias("tie"), size.alias("size")), "mix-sized")
     order = [F.col("source").asc_nulls_last(), "size", "doc_id", "tie"]
-    sized = materialise(src.mapInArrow(_sized, "doc_id long, source string, tie long, size long"), "mix-sized")
     targets = materialise(source_targets(sized, weights, most), "mix-targets")
-    dealt = materialise(sized.repartitionByRange(4 * partitions(spark), *order).withColumn("part", F.spark_partition_id()), "mix-dealt")
+    dealt = materialise(sized.repartitionByRange(4 * partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id()), "mix-dealt")
     # rows of the source in the partitions before: a row per partition and source
     counts = dealt.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("source", "part", before.alias("before")).join(F.broadcast(targets.withColumnRenamed("source", "t_source")), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    counts = counts.select("source", "part", before.alias("before")).join(checked_broadcast(targets.withColumnRenamed("source", "t_source")), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     counts = materialise(counts, "mix-counts").withColumnsRenamed({"source": "c_source", "part": "c_part"})
     rank = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "doc_id", "tie"))
-    rows = dealt.withColumn("rank", rank).join(F.broadcast(counts), (F.col("part") == F.col("c_part")) & F.col("source").eqNullSafe(F.col("c_source")))
+    rows = dealt.withColumn("rank", rank).join(checked_broadcast(counts), (F.col("part") == F.col("c_part")) & F.col("source").eqNullSafe(F.col("c_source")))
     offset = F.lit(random.Random(seed).random())
     k = F.col("rank") + F.col("before")
 
@@ -93,13 +78,26 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    A row is known by its id, text and source. Only rows that repeat all three are numbered to share
+    out the copies of their group; of the others each has one row of the plan.
+    """
     inner, names = positional(docs)
-    copies = mix_copies(docs, id_col, text_col, source_col, **options).select("doc_id", "tie", "copies")
-    occurrence = Window.partitionBy("doc_id", "tie")
-    left = inner.withColumn("doc_id", F.col(names[id_col]).cast("long")).withColumn("tie", F.xxhash64(F.col(names[text_col]).cast("string")))
-    left = left.withColumn("turn", F.row_number().over(occurrence.orderBy(F.xxhash64(F.col(names[source_col])))))
-    right = copies.withColumn("turn", F.row_number().over(occurrence.orderBy("copies"))).where("copies > 0").withColumnsRenamed({"doc_id": "r_id", "tie": "r_tie", "turn": "r_turn"})
-    on = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")) & (F.col("turn") == F.col("r_turn"))
-    out = left.join(right, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*inner.columns).toDF(*docs.columns)
+    plan = materialise(mix_copies(docs, id_col, text_col, source_col, **options).select("doc_id", "tie", "source", "copies"), "mix-plan")
+    key = ["doc_id", "tie", "source"]
+    other = {"doc_id": "r_id", "tie": "r_tie", "source": "r_source", "turn": "r_turn"}
+    left = inner.select("*", F.col(names[id_col]).cast("long").alias("doc_id"), F.xxhash64(F.col(names[text_col]).cast("string")).alias("tie"), F.col(names[source_col]).cast("string").alias("source"))
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")) & F.col("source").eqNullSafe(F.col("r_source"))
+    repeated = materialise(plan.groupBy(*key).count().where("count > 1").select(*key).withColumnsRenamed(other), "mix-repeats")
+    if repeated.isEmpty():
+        out = left.join(plan.where("copies > 0").withColumnsRenamed(other), same)
+    else:
+        repeated = checked_broadcast(repeated)
+        single = left.join(repeated, same, "left_anti").join(plan.join(repeated, same, "left_anti").where("copies > 0").withColumnsRenamed(other), same)
+        group = Window.partitionBy(*key)
+        told = [f.name for f in inner.schema if "map<" not in f.dataType.simpleString()]
+        several = left.join(repeated, same, "left_semi").withColumn("turn", F.row_number().over(group.orderBy(F.xxhash64(*told))))
+        turns = plan.join(repeated, same, "left_semi").withColumn("turn", F.row_number().over(group.orderBy("copies"))).where("copies > 0")
+        out = single.select(*inner.columns, "copies").unionByName(several.join(turns.withColumnsRenamed(other), same & (F.col("turn") == F.col("r_turn"))).select(*inner.columns, "copies"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*inner.columns).toDF(*docs.columns)

@@ -136,6 +136,18 @@ def test_mix_meets_targets(spark, odd_docs, no_docs):
     assert mixed.columns == odd_docs.columns and mixed.count() == sum(r.copies for r in plan) and len(plan) == odd_docs.count()
 
 
+def test_mix_gives_copies_to_the_source_that_the_plan_names(spark):
+    """Texts that stand under two sources, also with the same id, and rows that repeat id, text and source."""
+    rows = [(i, f"word{i} and more", s) for i in range(100) for s in ("a", "b")] + [(i, "one two three", "c") for i in (7, 7, 7, 8)] + [(None, "x y", None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan, out = defaultdict(int), defaultdict(int)
+    for r in mixing.mix_copies(docs).collect():
+        plan[(r.doc_id, r.source)] += r.copies
+    for r in mixing.mix(docs).collect():
+        out[(r.doc_id, r.source)] += 1
+    assert dict(out) == {k: n for k, n in plan.items() if n}
+
+
 # --- language identification
 
 
