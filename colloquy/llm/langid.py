@@ -6,8 +6,8 @@ Nyström approximation of it, on which one-versus-rest kernel ridge regression i
 form. A batch of texts is scored by two matrix products: presence bits by landmarks, and kernels by
 weights.
 
-The model is fitted on a bounded sample of labelled rows (``sample_rows``, by a hash of the id);
-everything else covers whole texts.
+The model is fitted on a bounded sample of labelled rows: at most ``sample_rows`` in all, shared out
+evenly among the languages, so that rare ones are learned too. Everything else covers whole texts.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_chars, pick, small_batches
 
 BITS, LONGEST = 16, 3
 SAMPLE_ROWS, LANDMARKS, RIDGE = 2000, 96, 1e-2
+SURE = 0.9
 UNKNOWN = "und"
 
 
@@ -60,11 +61,11 @@ def kernels(seen: np.ndarray, sizes: np.ndarray, landmarks: np.ndarray, landmark
 
 
 def train(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on packed presence bits; landmarks are taken from the languages in turn."""
+    """Fit on packed presence bits; landmarks are taken from the languages in turn, one of each at least."""
     languages = sorted(set(langs))
     rows = {l: [i for i, x in enumerate(langs) if x == l] for l in languages}
     turns = [rows[l][k] for k in range(max(map(len, rows.values()), default=0)) for l in languages if k < len(rows[l])]
-    chosen = turns[:landmarks]
+    chosen = turns[: max(landmarks, len(languages))]
     sizes = np.array([int(np.unpackbits(r).sum()) for r in packed])
     model = Model(languages, packed[chosen], sizes[chosen], np.zeros((len(chosen), len(languages))), np.zeros(len(languages)))
     columns, z = model.prepared()
@@ -92,18 +93,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on at most ``sample_rows`` labelled rows that aren't held out."""
-    small_batches(docs.sparkSession)
+def shares(counts: list[tuple[str, int]], most: int) -> list[tuple[str, int]]:
+    """``most`` rows shared out evenly: a language with fewer rows than its share leaves the rest to the others."""
+    out, left = [], most
+    for i, (lang, n) in enumerate(sorted(counts, key=lambda c: (c[1], c[0]))):
+        take = min(n, left // (len(counts) - i))
+        out.append((lang, take))
+        left -= take
+    return out
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS) -> Model:
+    """Train on at most ``sample_rows`` labelled rows that aren't held out.
+
+    The ``sample_rows`` most frequent languages take part, each with an even share of the rows (or
+    all its rows), chosen by a hash of id and text; rows that repeat both count once. Texts without a
+    letter and rows without id or language aren't used. There are at least as many landmarks as
+    languages. Of a table without a usable row nothing is learned.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     src = pick(docs, doc_id=(id_col, None), text=(text_col, "string"), lang=(lang_col, "string"))
-    usable = src.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    ids = usable.select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(sample_rows).select("doc_id").distinct()
-    table = usable.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id").select("text", "lang").mapInArrow(_features, "lang string, bits binary").toArrow()
+    labelled = src.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
+    quota = shares([(r.lang, r.n) for r in counts], sample_rows)
+    n = {r.lang: r.n for r in counts}
+    # a slice by hash that holds several times the share; the rank then cuts it to size
+    slices = [(lang, take, min(1.0, 4 * (take + 25) / n[lang])) for lang, take in quota if take]
+    if not slices:
+        return _nothing()
+    slices = spark.createDataFrame(slices, "lang string, take int, part double")
+    dice = labelled.join(F.broadcast(slices), "lang").withColumn("o", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    dice = dice.where((F.pmod("o", F.lit(1 << 30)) < F.col("part") * (1 << 30)) & F.col("text").rlike(r"\p{L}"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
+    table = dice.dropDuplicates(["lang", "doc_id", "o"]).withColumn("rank", rank).where("rank <= take").orderBy("lang", "o", "doc_id").select("text", "lang").mapInArrow(_features, "lang string, bits binary").toArrow()
     if not table.num_rows:
-        return Model([], np.zeros((0, 1 << (BITS - 3)), np.uint8), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+        return _nothing()
     packed = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
-    return train(packed, table["lang"].to_pylist())
+    return train(packed, table["lang"].to_pylist(), landmarks)
+
+
+def _nothing() -> Model:
+    return Model([], np.zeros((0, 1 << (BITS - 3)), np.uint8), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
 
 
 def _predict(model: Model):
@@ -142,22 +173,28 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return src.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, with all their columns; those that ``predict`` calls ``und`` go.
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", sure: float = SURE) -> DataFrame:
+    """The rows that the prediction doesn't reject, with all their columns.
 
-    Where nothing was learned, only texts without a letter go.
+    Rejected are texts without a language (``und``), and rows whose own language the model knows and
+    contradicts with a score of at least ``sure``: a page that claims one language and is written in
+    another. Rows without a language of their own are judged by their text alone. Where nothing was
+    learned, only texts without a letter go.
     """
-    names = docs.columns
+    names = [c.lower() for c in docs.columns]
+    text_at = docs.columns.index(text_col) if text_col in docs.columns else names.index(text_col.lower())
+    lang_at = docs.columns.index(lang_col) if lang_col in docs.columns else names.index(lang_col.lower())
 
     def task(batches):
-        judge = _predict(model)
+        judge, known = _predict(model), set(model.languages)
         for batch in batches:
-            text = batch.column(names.index(text_col))
-            if not model.languages:
+            text = batch.column(text_at)
+            if not known:
                 yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in text.to_pylist()], pa.bool_()))
                 continue
             fed = pa.record_batch([pa.nulls(batch.num_rows, pa.int64()), text, pa.nulls(batch.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
             (told,) = judge(iter([fed]))
-            yield batch.filter(pa.array([x != UNKNOWN for x in told.column("lang_pred").to_pylist()], pa.bool_()))
+            rows = zip(told.column("lang_pred").to_pylist(), told.column("score").to_pylist(), batch.column(lang_at).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN and not (own in known and own != x and score >= sure) for x, score, own in rows], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)

@@ -182,6 +182,63 @@ def test_without_labels_only_texts_without_a_letter_go(spark, odd_docs):
     assert kept.columns == docs.columns and {3, 4, 5, 9}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == docs.count() - 4
 
 
+def test_kernel_and_ridge_equal_the_plain_formulas():
+    """Kernels by sets of hashed n-grams, the Nystroem map and ridge regression written out for few texts."""
+    import math
+
+    import numpy as np
+
+    rnd = random.Random(31)
+    texts = [" ".join(rnd.choice(["abc", "bcd", "xyz", "Été", "zzz q"]) for _ in range(rnd.randint(1, 9))) for _ in range(40)]
+    langs = [rnd.choice("uvw") for _ in texts]
+
+    def grams(text):
+        raw = text.lower().encode()
+        whole = {(n, int.from_bytes(raw[i : i + n], "big")) for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+        return {(((g + n * 0x3C6EF372) * 0x9E3779B1) % 2**32) >> (32 - langid.BITS) for n, g in whole}
+
+    sets = [grams(t) for t in texts]
+    assert all(set(np.flatnonzero(langid.presence(t))) == s for t, s in zip(texts, sets))
+    packed = np.array([np.packbits(langid.presence(t)) for t in texts])
+    model = langid.train(packed, langs, landmarks=12, ridge=0.01)
+    chosen = [next(i for i, p in enumerate(packed) if (p == mark).all()) for mark in model.landmarks]
+    k = np.array([[len(s & sets[c]) / math.sqrt(len(s) * len(sets[c])) for c in chosen] for s in sets])
+    # ridge regression in the space of the landmarks, by its normal equations in kernel form
+    values, vectors = np.linalg.eigh(k[chosen])
+    keep = values > 1e-6 * values.max()
+    phi = k @ (vectors[:, keep] * values[keep] ** -0.5)
+    y = np.array([[1.0 if l == m else -1.0 for m in sorted(set(langs))] for l in langs])
+    ones = np.column_stack([phi, np.ones(len(phi))])
+    penalty = np.diag([0.01 * len(phi)] * phi.shape[1] + [0.0])
+    want = ones @ np.linalg.solve(ones.T @ ones + penalty, ones.T @ y)
+    got = k @ model.weights + model.bias
+    assert np.allclose(got, want, atol=1e-4)
+    batch = __import__("pyarrow").record_batch({"doc_id": list(range(len(texts))), "text": texts, "held_out": [False] * len(texts)})
+    (told,) = langid._predict(model)(iter([batch]))
+    assert told.column("lang_pred").to_pylist() == [model.languages[i] for i in want.argmax(axis=1)]
+    assert np.allclose(told.column("score").to_numpy(), np.clip((1 + want.max(axis=1)) / 2, 0, 1), atol=1e-4)
+
+
+def test_the_sample_is_bounded_and_has_rare_languages(spark, monkeypatch):
+    rows = [(1, f"one id many texts {i}", "aa") for i in range(3000)] + [(i, "the same text", "aa") for i in range(2000)]
+    rows += [(5000 + i, f"seldom seen {i}", "bb") for i in range(6)] + [(6000 + i, f"x{i} y", f"l{i}") for i in range(30)]
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda packed, langs, landmarks: seen.update(langs=langs))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100)
+    assert len(seen["langs"]) <= 100 and {"aa", "bb"} <= set(seen["langs"]) and seen["langs"].count("aa") >= 30
+    assert langid.shares([("a", 5), ("b", 1000), ("c", 1000)], 100) == [("a", 5), ("b", 47), ("c", 48)]
+
+
+def test_a_contradicted_language_goes(spark):
+    rnd = random.Random(9)
+    words = {"en": "the of and to in is that with was for".split(), "de": "der die und das nicht ein mit auf über für".split()}
+    rows = [(i, " ".join(rnd.choice(words[l]) for _ in range(60)), l) for i, l in enumerate(rnd.choice(list(words)) for _ in range(300))]
+    rows += [(1000, " ".join(words["en"] * 6), "de"), (1001, " ".join(words["en"] * 6), None), (1002, " ".join(words["en"] * 6), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, TEXT string, Lang string")
+    kept = {r.doc_id for r in langid.keep_known(docs, langid.fit(docs.where("doc_id < 1000"))).collect()}
+    assert kept == {r[0] for r in rows} - {1000}
+
+
 def test_held_out_labels_are_not_learned(spark):
     import zlib
 
