@@ -27,10 +27,14 @@ GRAM_WORDS, WINDOW_WORDS, LEAST_WORDS = 25, 25, 25
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, line, pos (among lines with words), h, words: one row per line with words."""
+    """doc_id, tie, line, pos (among lines with words), h, h2, words: one row per line with words.
+
+    h and h2 are independent 64-bit hashes: h finds places, both together tell contents apart.
+    """
     words = F.size(F.filter(F.split("text_line", f"{SPACE_CLASS}+"), lambda w: w != ""))
     rows = docs.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line", "text_line"))
-    rows = rows.select("doc_id", "tie", "line", F.xxhash64(F.rtrim("text_line", F.lit(SPACES))).alias("h"), words.alias("words")).where("words > 0")
+    rows = rows.select("doc_id", "tie", "line", F.rtrim("text_line", F.lit(SPACES)).alias("own"), words.alias("words")).where("words > 0")
+    rows = rows.select("doc_id", "tie", "line", F.xxhash64("own").alias("h"), F.xxhash64(F.lit("again"), "own").alias("h2"), "words")
     # rows that repeat id and text are one document; its lines meet in one partition, where the windows need them
     rows = rows.repartition(partitions(docs.sparkSession), "doc_id", "tie").dropDuplicates(["doc_id", "tie", "line"])
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("line")) - 1)
@@ -50,17 +54,17 @@ def winnow(lines: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = W
 def spans(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, tie, g, p, lines: the shortest runs of ``least_words`` words from each line on and up to each line.
 
-    g tells contents apart, p is the pos of the first line and lines their number.
+    g, 128 bits, tells contents apart, p is the pos of the first line and lines their number.
     """
     doc = Window.partitionBy("doc_id", "tie")
-    rows = lines.select("doc_id", "tie", "pos", "h", "words", F.sum("words").over(doc.orderBy("pos")).alias("end"))
+    rows = lines.select("doc_id", "tie", "pos", "h", "h2", "words", F.sum("words").over(doc.orderBy("pos")).alias("end"))
     rows = rows.withColumn("start", F.col("end") - F.col("words"))
     ahead, back = doc.orderBy("start").rangeBetween(0, least_words - 1), doc.orderBy("end").rangeBetween(1 - least_words, 0)
     for name, frame in (("ahead", ahead), ("back", back)):
-        rows = rows.withColumn(name, F.collect_list("h").over(frame)).withColumn(f"{name}_words", F.sum("words").over(frame))
+        rows = rows.withColumn(name, F.collect_list("h").over(frame)).withColumn(f"{name}2", F.collect_list("h2").over(frame)).withColumn(f"{name}_words", F.sum("words").over(frame))
 
-    def span(hashes, p):
-        return F.struct(F.struct(F.xxhash64(hashes).alias("x"), F.hash(hashes).alias("y")).alias("g"), p.alias("p"), F.size(hashes).alias("lines"))
+    def span(name, p):
+        return F.struct(F.struct(F.xxhash64(name).alias("x"), F.xxhash64(f"{name}2").alias("y")).alias("g"), p.alias("p"), F.size(name).alias("lines"))
 
     # a span up to a line that is too short without the line is also the span from its first line on
     found = F.array(
@@ -104,6 +108,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = checked_broadcast(materialise(gone.withColumnsRenamed({"doc_id": "g_id", "tie": "g_tie"}), "line-gone"), arrays="removed")
     out = src.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie")), "left")
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
+
+    def without(own):
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "removed"), lambda i: F.get(own, i)), "\n")
+
+    # the lines are bound once to a lambda variable; as an expression they'd be split per line
+    left = F.element_at(F.transform(F.array(lines), without), 1)
     none = F.array().cast("array<int>")
     return out.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("removed_lines"), F.coalesce("removed_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("removed", none).alias("removed"))
