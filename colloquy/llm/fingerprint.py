@@ -63,8 +63,8 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def as_string(a: Column) -> Column:
-    """The sketch as base64 of its big-endian hashes."""
-    return F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
+    """The sketch as base64 of its big-endian hashes, in one line."""
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))), "\r\n", "")
 
 
 def _part_of(value: Column, bounds: list[int], wide: int = 32) -> Column:
@@ -78,6 +78,25 @@ def _part_of(value: Column, bounds: list[int], wide: int = 32) -> Column:
     return F.when(value.isNull() | (i == 0), F.lit(0)).otherwise((i - 1) * wide + F.size(F.filter(inner, lambda b: b <= value)))
 
 
+def _ranges(docs: DataFrame, m: int) -> Column:
+    """The range of a row with doc_id and tie: about ``m`` ranges in ascending order of both, null ids first.
+
+    At most 2 m numbers reach the driver. An id (or null) that fills several ranges is cut by its
+    ties, which are hashes and so fall evenly into parts.
+    """
+    told = docs.agg(F.percentile_approx("doc_id", [i / m for i in range(1, m)], 20 * m).alias("b"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count("*").alias("n")).first()
+    bounds = told.b or []
+    share = F.col("tie") / F.lit(2.0**64) + 0.5
+    no_id = max(1, -(-m * told.nulls // max(1, told.n)))
+    apart = sorted(set(bounds))
+    times = [bounds.count(b) for b in apart]
+    # rows below the first bound fill one range, rows from a bound on as many as the bound stands for
+    first = [no_id, *(no_id + 1 + sum(times[:i]) for i in range(len(apart)))]
+    i = _part_of(F.col("doc_id"), apart)
+    within = F.when(F.col("doc_id") == F.get(F.lit(apart), i - 1), F.least(F.floor(share * F.get(F.lit(times), i - 1)).cast("int"), F.get(F.lit(times), i - 1) - 1)).otherwise(F.get(F.lit(times), i - 1) - 1) if apart else F.lit(0)
+    return F.when(F.col("doc_id").isNull(), F.least(F.floor(share * no_id).cast("int"), F.lit(no_id - 1))).otherwise(F.get(F.lit(first), i) + F.coalesce(within, F.lit(0)))
+
+
 def with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch: each row with the next in ascending order of id.
 
@@ -86,10 +105,8 @@ def with_next(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     ids are ordered by a hash of their texts. After the last row comes the first.
     """
     spark = docs.sparkSession
-    m = 4 * partitions(spark)
-    # m numbers at most: the bounds of the ranges
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / m for i in range(1, m)], 20 * m).alias("b")).first()["b"] or []
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text")).withColumn("part", _part_of(F.col("doc_id"), sorted(set(bounds))))
+    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tie", F.xxhash64("text"))
+    keyed = keyed.withColumn("part", _ranges(keyed, 4 * partitions(spark)))
     # a row per range: its first document
     firsts = keyed.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("f")).orderBy("part").collect()
     firsts = [(r.part, r.f.doc_id, r.f.tie) for r in firsts]
