@@ -6,18 +6,22 @@ The index lives in hash shards of the digest space, so any number of tasks build
    their bytes, and flushes it as a run of one entry per text (smallest identifier, count);
 2. the entries, not the texts, are dealt by digest; a shard takes them through memtables into
    sorted runs with a Bloom filter each, and compaction merges the runs, keeping the smallest
-   identifier and adding the counts;
+   identifier and adding the counts. A shard that holds ``shard_entries`` writes its merged run out
+   and starts afresh; a last compaction, an aggregation by digest that spills, merges what shards
+   wrote, so a worker's memory has a bound whatever the data;
 3. a digest that stands in more than one run is a hit. The texts of hits are read again (a bitmap
    of fixed size picks them) and compared byte for byte with the text that stays, in two rounds:
    within a salt first, so that no digest gathers in one task. Texts that share a digest but not
    their bytes are regrouped by the text itself.
 
-A group of any size sends one entry per run into a shuffle, never its members.
+A group of any size sends one entry per run into a shuffle, never its members; these learn what
+became of their text from the entry of their own run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -165,10 +169,15 @@ class MergeIndex:
         if len(self.runs) > 1:
             self.runs = [SortedRun(np.concatenate([r.digests for r in self.runs]), [v for r in self.runs for v in r.values])]
 
+    def __len__(self) -> int:
+        return len(self.table) + sum(len(r.values) for r in self.runs)
+
     def entries(self):
+        """All entries in the order of their digests; the index is empty afterwards."""
         self.flush()
         self.compact()
-        for run in self.runs:
+        runs, self.runs = self.runs, []
+        for run in runs:
             yield from zip(run.digests.tolist(), run.values)
 
 
@@ -177,20 +186,24 @@ def _fixed(table) -> np.ndarray:
     return np.array([k.hex().encode() for k in table])
 
 
-def _index(memtable: int):
+def _index(memtable: int, most: int):
+    def written(index):
+        entries = index.entries()
+        while part := list(itertools.islice(entries, 20_000)):
+            yield pa.record_batch(
+                [pa.array([bytes.fromhex(d.decode()) for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part]), *(pa.array([v[k] for _, v in part], pa.int64()) for k in range(1, 6))],
+                names=["digest", "none", "keep_id", "keep_run", "keep_seq", "group_size", "runs"],
+            )
+
     def task(batches):
         index = MergeIndex(memtable)
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(5)]
             for d, doc_id, run, seq, n in zip(*cols):
                 index.put(d, (doc_id is None, doc_id or 0, run, seq, n, 1))
-        out = list(index.entries())
-        for i in range(0, len(out), 20_000):
-            part = out[i : i + 20_000]
-            yield pa.record_batch(
-                [pa.array([bytes.fromhex(d.decode()) for d, _ in part], pa.binary()), pa.array([v[0] for _, v in part]), *(pa.array([v[k] for _, v in part], pa.int64()) for k in range(1, 6))],
-                names=["digest", "none", "keep_id", "keep_run", "keep_seq", "group_size", "runs"],
-            )
+            if len(index) > most:
+                yield from written(index)
+        yield from written(index)
 
     return task
 
@@ -231,7 +244,7 @@ def _verify(batches):
         yield pa.record_batch([pa.array([d for d, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())], names=["digest", "data"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, memtable_bytes: int = 64 << 20, memtable_entries: int = 50_000) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, memtable_bytes: int = 64 << 20, memtable_entries: int = 50_000, shard_entries: int = 400_000) -> DataFrame:
     """One row per document: doc_id, run, seq, keep_id, group_size, kept, digest.
 
     Texts are equal when identical after each run of white space became one space; null counts as
@@ -244,8 +257,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"))
     rows = materialise(src.mapInArrow(_runs(digest, memtable_bytes), _RUN_SCHEMA), "dedup-runs")
     entries = rows.where(F.col("n").isNotNull()).select("digest", "doc_id", "run", "seq", "n")
-    index = materialise(entries.repartition(partitions(spark), "digest").mapInArrow(_index(memtable_entries), _INDEX_SCHEMA), "dedup-index")
-    index = index.withColumn("keep_id", F.when(~F.col("none"), F.col("keep_id"))).drop("none")
+    shards = entries.repartition(partitions(spark), "digest").mapInArrow(_index(memtable_entries, shard_entries), _INDEX_SCHEMA)
+    merged = shards.groupBy("digest").agg(F.min(F.struct("none", "keep_id", "keep_run", "keep_seq")).alias("k"), F.sum("group_size").alias("group_size"), F.sum("runs").alias("runs"))
+    index = materialise(merged.select("digest", F.when(~F.col("k.none"), F.col("k.keep_id")).alias("keep_id"), "k.keep_run", "k.keep_seq", "group_size", "runs"), "dedup-index")
 
     several = index.where("runs > 1").select("digest")
     slot = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
@@ -258,7 +272,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         twice = once.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(_verify, "digest binary, data binary")
         torn = materialise(twice.groupBy("digest").count().where("count > 1").select("digest"), "dedup-torn")
         torn = None if torn.isEmpty() else torn
-    same = rows.select("doc_id", "run", "seq", "digest").join(index, "digest", "left")
+    # a run's entries look the index up, one for each text; the run's rows then look their entry up
+    told = rows.where(F.col("n").isNotNull()).select("run", "first_seq", "digest").join(index.drop("runs"), "digest")
+    told = materialise(told.drop("digest"), "dedup-told")
+    same = rows.select("doc_id", "run", "seq", "first_seq", "digest").join(told, ["run", "first_seq"])
     if torn is None:
         return _decided(same)
     # a digest that several texts share: the text itself is the key

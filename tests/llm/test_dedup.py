@@ -31,7 +31,7 @@ def test_exact_groups(spark, odd_docs, digest):
     docs = docs_of(spark, texts).repartition(6)
     for table in (docs, odd_docs):
         want = brute_groups(table.collect())
-        got = exact_dedup.exact_groups(table, digest=digest, memtable_bytes=2000, memtable_entries=20).collect()
+        got = exact_dedup.exact_groups(table, digest=digest, memtable_bytes=2000, memtable_entries=20, shard_entries=50).collect()
         assert len(got) == table.count()
         text = {r.doc_id: SPACE.sub(" ", r.text or "") for r in table.collect()}
         for g in got:
@@ -213,6 +213,70 @@ def test_edited_fingerprints(spark, odd_docs, no_docs):
     assert one.edited_sha256 == hashlib.sha256(b"abcd efab").hexdigest() and one.near_next == 1
 
 
+def xxh64(data: bytes, seed: int) -> int:
+    import xxhash
+
+    v = xxhash.xxh64(data, seed=seed).intdigest()
+    return v - (1 << 64) if v >> 63 else v
+
+
+def brute_sketch(text, k, n=5):
+    """Bottom-k by the published hash: a value's hash is the seed of the next one's; the first seed is 42."""
+    hashed = [xxh64(w.encode(), 42) for w in WORD.findall(text or "")]
+
+    def joined(values):
+        seed = 42
+        for v in values:
+            seed = xxh64(v.to_bytes(8, "little", signed=True), seed % (1 << 64))
+        return seed
+
+    if len(hashed) >= n:
+        found = {joined(hashed[i : i + n]) for i in range(len(hashed) - n + 1)}
+    elif hashed:
+        found = {xxh64(n.to_bytes(4, "little"), joined(hashed) % (1 << 64))}
+    else:
+        found = set()
+    return sorted(found)[:k]
+
+
+def brute_likeness(a, b, k):
+    merged = sorted({*a, *b})[:k]
+    return len(set(merged) & set(a) & set(b)) / len(merged) if merged else 1.0
+
+
+def as_text(sketch):
+    import base64
+
+    return base64.b64encode(b"".join(x.to_bytes(8, "big", signed=True) for x in sketch)).decode()
+
+
+@pytest.mark.parametrize("k", [16, 128])
+def test_fingerprints_equal_a_plain_bottom_k(spark, k):
+    """Sketches, both likenesses and the edited texts, value for value; null and repeated ids too."""
+    texts = families(16, 9) + ["é字 b\x85 c\x0bd " * 7, "\U0001f600 " * 5, "a b c d", "a b c d e", " ", "x"]
+    rows = list(enumerate(texts)) + [(None, f"no id {i} " * 4) for i in range(40)] + [(7, f"the same id {i} of many") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    chain = sorted(((d is not None, d or 0), xxh64((t or "").encode(), 42), t or "") for d, t in rows)
+    want = []
+    for i, ((numbered, d), _, text) in enumerate(chain):
+        after = chain[(i + 1) % len(chain)][2]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        own, other, changed = (brute_sketch(t, k) for t in (text, after, edited))
+        want.append((d if numbered else None, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(changed), brute_likeness(own, changed, k), brute_likeness(own, other, k)))
+    got = fingerprint.edited_fingerprints(docs, k=k)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_an_id_of_many_rows_fills_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"n{i}") for i in range(300)] + [(5, f"t{i}") for i in range(400)] + [(i, "x") for i in range(-50, 250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    parts = docs.withColumn("part", fingerprint._ranges(docs, 20)).groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 130 and len(parts) >= 16
+
+
 def brute_case_sets(text, k=5):
     w = WORD.findall(text)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
@@ -318,6 +382,17 @@ def test_trailing_white_space_of_lines(spark):
     assert got == {0: [], 1: [0, 1, 2, 3], 2: [0, 1, 2, 3], 3: [0, 1, 2, 3], 4: []}
 
 
+def test_a_document_of_one_line_many_times(spark):
+    """50,000 equal short lines: linear work, and what lies beyond the first occurrence of a span goes."""
+    import time
+
+    docs = spark.createDataFrame([(1, "\n".join(["same old line"] * 50_000)), (2, "a b c")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert got[1].n_lines == 50_000 and got[1].removed_lines >= 49_980 and got[1].text.startswith("same old line")
+    assert got[2].text == "a b c" and time.time() - began < 60
+
+
 def test_line_dedup_of_odd_tables(spark, odd_docs, no_docs):
     assert line_dedup.line_dedup(no_docs).count() == 0
     got = line_dedup.line_dedup(odd_docs).collect()
