@@ -1,10 +1,12 @@
 """WARC archives: writing with revisits and segments, reading with reassembly.
 
-Archives are WARC/1.1 record files, gzip-compressed, written by Spark's text writer: a record ends
-with two line ends, which serve as line separator. So any store that Spark writes will do, and a
-lost task is written again. Blocks beyond ``segment_bytes`` are cut into a first record and
-continuation records; reading groups them by origin, orders them by segment number, checks the
-total length and decodes the chunked transfer framing.
+Archives are WARC/1.1 files in which each record is a gzip member of its own, so a reader can start
+at any record. Spark's text writer writes them, so any store that Spark writes will do and a lost
+task is written again: the last byte of a member is the high byte of its length, which is zero for
+records below 16 MB, and the writer adds that zero as its line separator. An archive holds a bounded
+number of records. Blocks beyond ``segment_bytes`` are cut into a first record and continuation
+records; reading groups them by origin, orders them by segment number, checks the total length and
+decodes the chunked transfer framing.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, pick
+from .common import checked_broadcast, materialise, pick, small_batches
 
 CRLF = b"\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _RECORD = "page_id long, record_type string, refers_to long, payload_digest string, payload binary"
-_SEGMENT = "origin string, number long, total long, page_id long, record_type string, payload_digest string, block binary"
+_RAW = "origin string, number long, total long, page_id long, record_type string, refers_to long, payload_digest string, block binary"
+_RAW_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+MOST_SEGMENT = 8 << 20
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -54,7 +58,20 @@ def unchunked(block: bytes) -> bytes:
 
 def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
-    return b"WARC/1.1\r\n" + head.encode() + CRLF + block
+    return b"WARC/1.1\r\n" + head.encode() + CRLF + block + CRLF + CRLF
+
+
+def _member(record: bytes) -> bytes:
+    """The record as a gzip member without its last byte, which is a zero."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = pack.compress(record) + pack.flush()
+    if out[-1]:
+        raise ValueError("a record of 16 MB or more")
+    return out[:-1]
+
+
+def _name(page_id: int | None, digest: str) -> str:
+    return f"urn:x-page:{'' if page_id is None else page_id}:{digest}"
 
 
 def _write(segment_bytes: int, chunk_bytes: int, date: str):
@@ -65,13 +82,14 @@ def _write(segment_bytes: int, chunk_bytes: int, date: str):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                key = f"<urn:x-page:{'' if r['page_id'] is None else r['page_id']}#{part}-{seq}>"
                 seq += 1
+                key = f"<{_name(r['page_id'], r['payload_digest'])}{'' if r['own_name'] else f'#{part}-{seq}'}>"
                 uri = "".join(c for c in (r["url"] or "urn:x-page") if c > " ")
                 base = [("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}")]
                 if r["record_type"] == "revisit":
                     profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-                    out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", key), *base, profile, ("WARC-Refers-To", f"<urn:x-page:{r['refers_to']}>"), ("Content-Type", "application/http;msgtype=response")], _HTTP))
+                    refers = ("WARC-Refers-To", f"<{_name(r['refers_to'], r['payload_digest'])}>")
+                    out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", key), *base, profile, refers, ("Content-Type", "application/http;msgtype=response")], _HTTP))
                     continue
                 block = _HTTP + chunked((r["html"] or "").encode("utf-8", "surrogatepass"), chunk_bytes)
                 head = [("WARC-Type", "response"), ("WARC-Record-ID", key), *base, ("Content-Type", "application/http;msgtype=response")]
@@ -82,31 +100,40 @@ def _write(segment_bytes: int, chunk_bytes: int, date: str):
                 for k, i in enumerate(cuts, 1):
                     own = [("WARC-Segment-Number", str(k))]
                     if k > 1:
-                        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{key[:-1]}-{k}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", key), *own]
+                        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{key[:-1]}/{k}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Segment-Origin-ID", key), *own]
                         own += [("WARC-Segment-Total-Length", str(len(block)))] * (k == len(cuts))
                     out.append(_record((head + own) if k == 1 else own, block[i : i + segment_bytes]))
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+            yield pa.record_batch([pa.array([_member(x) for x in out], pa.binary())], names=["value"])
 
     return task
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = 1 << 15, chunk_bytes: int = 1 << 12, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = 1 << 15, chunk_bytes: int = 1 << 12, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = 1 << 29) -> None:
     """One record per row, payload the html in UTF-8 (null: empty).
 
     Of the rows with equal payloads of at least ``least_bytes``, that with the largest id is a
     response and the others revisit it; smaller payloads are all responses. Null ids come before all
     numbers: they revisit a numbered row, and are responses where no number has the payload. Rows
-    that repeat the largest id are all responses. An empty table writes an archive without records.
+    that repeat the largest id are all responses. A response that revisits name has id and digest as
+    its record id; other record ids have a suffix that no other record has. An empty table writes an
+    archive without records. No archive holds more than ``archive_bytes`` of blocks.
     """
+    if not 0 < segment_bytes <= MOST_SEGMENT:
+        raise ValueError(f"segments of 1 to {MOST_SEGMENT} bytes")
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     src = pick(pages, page_id=(id_col, "long"), url=(url_col, "string"), html=(html_col, "string")).select("*", sha1_base32(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    same = src.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    payload = ["payload_digest", "payload_bytes"]
+    ids = src.where(F.col("payload_bytes") >= least_bytes).groupBy(*payload, "page_id").agg(F.count("*").alias("n"))
+    same = ids.groupBy(*payload).agg(F.max("page_id").alias("last_id"), F.max_by("n", "page_id").alias("n_last"), F.sum("n").alias("n")).where("n > 1").drop("n")
     same = checked_broadcast(materialise(same, "warc-same"))
-    told = src.join(same, ["payload_digest", "payload_bytes"], "left")
+    told = src.join(same, payload, "left")
     revisit = F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
-    rows = told.select("page_id", "url", "html", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last_id")).alias("refers_to"))
+    # the only row of its payload, or the only one with the largest id
+    own_name = F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_bytes) & ~revisit & (F.coalesce("n_last", F.lit(1)) == 1)
+    rows = told.select("page_id", "url", "html", "payload_digest", own_name.alias("own_name"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last_id")).alias("refers_to"))
     records = rows.mapInArrow(_write(segment_bytes, chunk_bytes, date), "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, archive_bytes // segment_bytes)).option("compression", "none").text(path)
 
 
 def parse_records(data: bytes):
@@ -125,18 +152,26 @@ def parse_records(data: bytes):
         at = end + 4 + n + 4
 
 
-def _inflate(data: bytes) -> bytes:
-    """All members of a gzip file; anything else as it is."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out) if out else data
+def _members(data: bytes):
+    """Each gzip member of an archive, inflated; anything else as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    rest = memoryview(data)
+    while len(rest):
+        member, parts = zlib.decompressobj(31), []
+        # feeding short slices keeps the unused rest, which is copied, short
+        while not member.eof:
+            if not len(rest):
+                raise ValueError("the last member is cut short")
+            step, rest = rest[:65536], rest[65536:]
+            parts.append(member.decompress(step))
+        rest = memoryview(data)[len(data) - len(rest) - len(member.unused_data) :]
+        yield b"".join(parts)
 
 
 def _page(urn: str | None) -> int | None:
-    found = (urn or "").strip("<>").removeprefix("urn:x-page:").split("#")[0]
+    found = (urn or "").strip("<>").removeprefix("urn:x-page:").split(":")[0]
     return int(found) if found.lstrip("-").isdigit() else None
 
 
@@ -151,33 +186,40 @@ def _checked(payload: bytes, digest: str) -> bytes:
     return payload
 
 
-def _whole(batches):
-    """Task: archives -> records that stand in one piece."""
-    for batch in batches:
-        for data in batch.column(0):
-            out = []
-            for f, block in parse_records(_inflate(data.as_py())):
-                if "warc-segment-number" in f:
-                    continue
-                digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-                revisit = f["warc-type"] == "revisit"
-                out.append((_page(f["warc-record-id"]), f["warc-type"], _page(f.get("warc-refers-to")), digest, None if revisit else _checked(_payload(block), digest)))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()])], names=["page_id", "record_type", "refers_to", "payload_digest", "payload"])
+def _raw(batches):
+    """Task: archives -> records, about a megabyte of them at a time; whole ones have no segment number."""
 
+    def packed(rows):
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _RAW_TYPES)], names=_RAW_NAMES)
 
-def _pieces(batches):
-    """Task: archives -> segments."""
     for batch in batches:
         for data in batch.column(0):
-            out = []
-            for f, block in parse_records(_inflate(data.as_py())):
-                if "warc-segment-number" in f:
-                    first = f["warc-type"] != "continuation"
-                    total = f.get("warc-segment-total-length")
-                    out.append((f["warc-record-id"] if first else f["warc-segment-origin-id"], int(f["warc-segment-number"]), int(total) if total else None, _page(f["warc-record-id"]) if first else None, f["warc-type"] if first else None, f.get("warc-payload-digest", "").removeprefix("sha1:") if first else None, block))
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()])], names=["origin", "number", "total", "page_id", "record_type", "payload_digest", "block"])
+            rows, size = [], 0
+            for member in _members(data.as_py()):
+                for f, block in parse_records(member):
+                    number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                    if f["warc-type"] == "continuation":
+                        rows.append((f["warc-segment-origin-id"], int(number), int(total) if total else None, None, None, None, None, block))
+                    else:
+                        rows.append((f["warc-record-id"], number and int(number), None, _page(f["warc-record-id"]), f["warc-type"], _page(f.get("warc-refers-to")), f.get("warc-payload-digest", "").removeprefix("sha1:"), block))
+                    size += len(block) + 500
+                    if size > 1 << 20:
+                        yield packed(rows)
+                        rows, size = [], 0
+            if rows:
+                yield packed(rows)
+
+
+_RAW_NAMES = [part.split()[0] for part in _RAW.split(", ")]
+
+
+def _unpacked(batches):
+    """Task: whole records -> payloads without transfer framing; a revisit's is null."""
+    for batch in batches:
+        payloads = []
+        for kind, digest, block in zip(*(batch.column(c).to_pylist() for c in ("record_type", "payload_digest", "block"))):
+            payloads.append(None if kind == "revisit" else _checked(_payload(block), digest))
+        yield pa.record_batch([*(batch.column(c) for c in ("page_id", "record_type", "refers_to", "payload_digest")), pa.array(payloads, pa.binary())], names=["page_id", "record_type", "refers_to", "payload_digest", "payload"])
 
 
 def _reassembled(batches):
@@ -199,9 +241,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     The payload of a revisit is null. A wrong total length, a missing segment, a cut chunk or a
     payload that doesn't have its digest raises.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
-    segments = files.mapInArrow(_pieces, _SEGMENT).groupBy("origin").agg(F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("record_type").alias("record_type"), F.max("payload_digest").alias("payload_digest"), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("segments"))
-    return files.mapInArrow(_whole, _RECORD).unionByName(segments.mapInArrow(_reassembled, _RECORD))
+    small_batches(spark)
+    raw = materialise(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_raw, _RAW), "warc-records")
+    whole = raw.where("number is null").drop("origin", "number", "total").mapInArrow(_unpacked, _RECORD)
+    segments = raw.where("number is not null").groupBy("origin").agg(F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("record_type").alias("record_type"), F.max("payload_digest").alias("payload_digest"), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("segments"))
+    return whole.unionByName(segments.mapInArrow(_reassembled, _RECORD))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -210,7 +254,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     A revisit has the bytes of the payload that it refers to.
     """
     rows = materialise(read_warc(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"), "warc-read")
-    full = rows.where("record_type = 'revisit'").select("refers_to").distinct().join(rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes")), "refers_to").dropDuplicates(["refers_to"])
-    full = materialise(full, "warc-full")
-    out = rows.join(full, "refers_to", "left")
-    return out.select("page_id", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    responses, revisits = rows.where("record_type <> 'revisit'"), rows.where("record_type = 'revisit'")
+    full = revisits.select("refers_to", "payload_digest").distinct().join(responses.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("full_bytes")), ["refers_to", "payload_digest"]).dropDuplicates(["refers_to", "payload_digest"])
+    full = checked_broadcast(materialise(full, "warc-full"))
+    told = revisits.drop("payload_bytes").join(full, ["refers_to", "payload_digest"], "left").withColumnRenamed("full_bytes", "payload_bytes")
+    return responses.unionByName(told).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -80,6 +80,41 @@ def test_warc_round_trip(spark, least_bytes):
     assert all(bytes(p).decode() == (html[k] or "") for k, p in full.items() if k is not None)
 
 
+def test_archives_are_members_with_names_that_resolve(spark):
+    """Every record is a gzip member; a revisit names the record id of the response it repeats; ids are unique."""
+    import gzip
+    from pathlib import Path
+
+    html = ["one", "two", "one", "one", "x" * 3000, "y" * 50, None]
+    rows = [(i - 3, f"http://x.org/{i}", h) for i, h in enumerate(html)] + [(None, "u", "y" * 50), (9, "u", "twice"), (9, "u", "twice"), (2, "u", "twice")]
+    path = scratch(spark, "test-warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, segment_bytes=900, chunk_bytes=100, archive_bytes=4500)
+    files = sorted(Path(path.removeprefix("file://")).glob("part-*"))
+    assert len(files) > 2  # no more than five records in one
+    fields = []
+    for file in files:
+        members = list(warc._members(file.read_bytes()))
+        for member in members:
+            ((f, _),) = warc.parse_records(member)
+            fields.append(f)
+        assert gzip.decompress(file.read_bytes()) == b"".join(members)
+    ids = [f["warc-record-id"] for f in fields]
+    assert len(ids) == len(set(ids)) == len(rows) + 3
+    responses = {f["warc-record-id"]: f for f in fields if f["warc-type"] == "response"}
+    for f in fields:
+        if f["warc-type"] == "revisit" and warc._page(f["warc-refers-to"]) != 9:
+            assert responses[f["warc-refers-to"]]["warc-payload-digest"] == f["warc-payload-digest"]
+    got = warc.read_digests(spark, path).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got if r.page_id is not None) == sorted((p, len(h or "")) for p, _, h in rows if p is not None)
+
+
+def test_cut_members_raise():
+    import gzip
+
+    with pytest.raises(ValueError):
+        list(warc._members(gzip.compress(b"a record") + gzip.compress(b"another" * 50)[:-9]))
+
+
 def test_warc_of_nothing(spark):
     path = scratch(spark, "test-warc")
     warc.write_warc(spark.createDataFrame([], PAGES), path)
