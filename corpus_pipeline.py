@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled rows that aren't held out; documents without a language go."""
+    """Learn from the labelled rows that aren't held out; documents without a language go, and those whose own is contradicted."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
