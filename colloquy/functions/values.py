@@ -11,17 +11,18 @@ from .text import non_blank, strip
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT, ... of a VARIANT, upper case; VOID for JSON null."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def variant_text(v: Column, path: str = "$") -> Column:
     """Text of a value: strings as they are, everything else as canonical JSON."""
-    got = F.try_variant_get(v, path, "variant")
-    return F.when(kind(got) == "STRING", F.try_variant_get(v, path, "string")).when(kind(got) == "VOID", F.lit(None)).otherwise(F.to_json(got))
+    got = F.try_variant_get(v, path, "variant") if path != "$" else v
+    # a scalar has a text of its own; what is left is an object, a list or null
+    return F.coalesce(F.try_variant_get(v, path, "string"), F.when(~F.is_variant_null(got), F.to_json(got)))
 
 
 def json_path(dotted: str) -> str:

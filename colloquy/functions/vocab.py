@@ -35,7 +35,8 @@ NOISE_LABEL, NO_KEYWORDS, NO_GOAL, NO_CATEGORY, EMPTY = "шум", "ключев
 HISTORY_FIELDS = ("dialog", "assistant", "user")
 RESERVED_FIELDS = ("history", "cluster_id", "cluster_label", "topic_keywords")
 HISTORY_CHARS, FIELD_CHARS, EMPTY_FIELD = 8000, 1000, "[пустой {field}]"
-# a word that doesn't begin with a digit or underscore
-TOKEN = r"(?<![\p{L}\p{N}_])[\p{L}\p{Nl}\p{No}][\p{L}\p{N}_]+"
+# what stands between words, and a word of two characters or more that doesn't begin with a digit or underscore
+BETWEEN_TOKENS = r"[^\p{L}\p{N}_]+"
+TOKEN = r"^[\p{L}\p{Nl}\p{No}]."
 MAX_TERM = 24
 Z_SCORES = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}

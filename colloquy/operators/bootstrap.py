@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+from .ranks import rank_within
 from .sampling import MOD, scramble
 
+LEVELS = 64
 
 
 def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
@@ -22,19 +25,25 @@ def draw(seed: int, b: Column, i: Column, n: Column) -> Column:
 def resample(values: DataFrame, value: str, replicates: int, seed: int = 42, order: str | None = None) -> DataFrame:
     """b, value, k: how often each level is drawn in replicate b.
 
-    Levels are put in order with their cumulative counts; each of the n draws of a replicate finds
-    its level by a join with that table, which has a row per level.
+    Levels are put in order with their cumulative counts; each of the n draws of a replicate, which
+    are numbered as one range over all replicates, finds its level there: in an array of the ends of
+    the levels, or, where there are more than ``LEVELS``, by a join with the rows in order.
     """
-    levels = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.orderBy("value"))
-    levels = levels.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("m"))
-    n = levels.agg(F.sum("m").alias("n"))
     spark = values.sparkSession
-    reps = spark.range(replicates).select(F.col("id").alias("b")).crossJoin(F.broadcast(n))
-    draws = reps.where("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    at = draws.select("b", draw(seed, F.col("b"), F.col("i"), F.col("n")).alias("at"))
-    hit = at.join(F.broadcast(levels), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    return hit.groupBy("b", "value").agg(F.count("*").alias("k"))
+    rows = values.where(F.col(value).isNotNull()).select(F.col(value).alias("value"))
+    levels = materialise(rows.groupBy("value").agg(F.count("*").alias("m")), "levels")
+    told = levels.agg(F.count("*").alias("levels"), F.coalesce(F.sum("m"), F.lit(0)).alias("n")).first()
+    n = F.lit(told.n)
+    draws = spark.range(replicates * told.n).select(F.expr(f"id div {max(1, told.n)}").alias("b"), (F.col("id") % max(1, told.n)).alias("i"))
+    at = draws.select("b", draw(seed, F.col("b"), F.col("i"), n).alias("at"))
+    if told.levels > LEVELS:
+        ranked = rank_within(rows, [], ["value"], "at").withColumn("at", F.col("at") - 1)
+        return at.join(ranked, "at").groupBy("b", "value").agg(F.count("*").alias("k"))
+    upto = levels.withColumn("hi", F.sum("m").over(Window.orderBy("value")))
+    table = upto.agg(F.array_sort(F.collect_list(F.struct("hi", "value"))).alias("t"))  # one row of at most LEVELS
+    hit = at.groupBy("b", "at").agg(F.count("*").alias("k")).crossJoin(F.broadcast(table))
+    first = F.element_at(F.filter("t", lambda x: x["hi"] > F.col("at")), 1)["value"]
+    return hit.withColumn("value", first).groupBy("b", "value").agg(F.sum("k").alias("k"))
 
 
 def bootstrap_mean(values: DataFrame, value: str, replicates: int = 5000, confidence: float = 0.95, seed: int = 42) -> DataFrame:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+from ..shared import materialise
+
 
 def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
     """Adds kept_idx and dup: the first row of each text stays; blank texts are never duplicates.
@@ -16,8 +19,9 @@ def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
     The first row is an aggregate with map-side combination, joined back, so that a text that a
     third of all rows share needs no task of its own.
     """
-    key = F.trim(F.coalesce(F.col(text), F.lit("")))
-    first = records.where(key != "").groupBy(key.alias("dedup_key")).agg(F.min(order).alias("kept_idx"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    own = strip(F.coalesce(F.col(text), F.lit("")))
+    key = F.when(own != "", F.unhex(F.sha2(own, 256)))  # a digest travels, not the text
+    first = records.where(key.isNotNull()).groupBy(key.alias("dedup_key")).agg(F.min(order).alias("kept_idx"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     out = records.withColumn("dedup_key", key).join(first, "dedup_key", "left").drop("dedup_key")
     return out.withColumn("kept_idx", F.coalesce("kept_idx", order)).withColumn("dup", F.col("kept_idx") != F.col(order))
 
@@ -25,22 +29,25 @@ def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
 def semantic_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", tables: int = 24, bits: int = 8, seed: int = 7) -> DataFrame:
     """Candidate pairs (i < j) with cosine >= threshold by signed random projections, checked exactly.
 
-    ``tables`` times ``bits`` planes, and more tables for lower thresholds: at the threshold a pair
-    shares no table with probability below 1e-5. Where that takes more tables than a table has
-    buckets, comparing all pairs is less work, and ``exact_pairs`` does it.
+    ``tables`` times ``bits`` planes: more bits for more rows, so that buckets of unlike rows stay
+    small, and more tables for more bits and lower thresholds, so that at the threshold a pair shares
+    no table with probability below 1e-5. Where that takes more tables than a table has buckets,
+    comparing all pairs is less work, and ``exact_pairs`` does it.
     """
     from .metrics import dot, unit
 
+    unit_rows = vectors.select(F.col(key).alias("i"), unit(F.col(vector)).alias("u")).where("u is not null")
+    told = unit_rows.agg(F.count("*").alias("rows"), F.max(F.size("u")).alias("n")).first()
+    if not told.rows:
+        return vectors.sparkSession.createDataFrame([], "i long, j long, sim double")
+    bits = max(bits, min(24, math.ceil(math.log2(told.rows / 64 + 1))))
+
     agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
     needed = math.inf if agree < 1e-9 else 1 if agree == 1 else math.ceil(math.log(1e-5) / math.log1p(-agree))
     if needed > 1 << bits:
         return exact_pairs(vectors, threshold, key, vector)
     tables = max(tables, needed)
-    unit_rows = vectors.select(F.col(key).alias("i"), unit(F.col(vector)).alias("u")).where("u is not null")
-    first = unit_rows.select(F.size("u").alias("n")).first()
-    if first is None:
-        return vectors.sparkSession.createDataFrame([], "i long, j long, sim double")
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, first.n))
+    planes = np.random.default_rng(seed).standard_normal((tables * bits, told.n))
 
     @F.pandas_udf("array<long>")
     def keys(u: pd.Series) -> pd.Series:
@@ -63,25 +70,26 @@ def exact_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", vect
     return u.join(w, F.col("i") < F.col("j")).select("i", "j", dot(F.col("u"), F.col("w")).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx", checkpoint: bool = False) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx") -> DataFrame:
     """Drop j if it is linked to a kept i < j, in row order; returns key, kept_idx, similarity of what goes.
 
     Rounds: a row none of whose earlier partners is undecided is decided; each round settles at
-    least the smallest undecided row of every chain, and only open pairs take part.
+    least the smallest undecided row of every chain, and only open pairs take part. Every round is a
+    written table.
     """
     spark = nodes.sparkSession
     gone = spark.createDataFrame([], "j long, kept_idx long, sim double")
-    open_pairs = pairs.select("i", "j", "sim")
+    open_pairs = materialise(pairs.select("i", "j", "sim"), "open-pairs")
     while True:
         blocked = open_pairs.select(F.col("j").alias("i")).distinct()
         firm = open_pairs.join(blocked, "i", "left_anti")  # i has no earlier open partner: it is kept
         lost = firm.groupBy("j").agg(F.min_by(F.struct(F.col("i"), F.col("sim")), "i").alias("k")).select("j", F.col("k.i").alias("kept_idx"), F.col("k.sim").alias("sim"))
-        lost = lost.checkpoint() if checkpoint else lost.cache()
+        lost = materialise(lost, "lost")
         if lost.isEmpty():
             return gone.select(F.col("j").alias(key), "kept_idx", F.col("sim").alias("similarity"))
         gone = gone.unionByName(lost)
         open_pairs = open_pairs.join(lost.select("j"), "j", "left_anti").join(lost.select(F.col("j").alias("i")), "i", "left_anti")
-        open_pairs = open_pairs.checkpoint() if checkpoint else open_pairs.cache()
+        open_pairs = materialise(open_pairs, "open-pairs")
 
 
 def by_conversation(cases: DataFrame, order: str = "row_idx") -> DataFrame:
@@ -90,7 +98,10 @@ def by_conversation(cases: DataFrame, order: str = "row_idx") -> DataFrame:
     ``cases`` has conv_key, hist_len, ts (text). dialog_id becomes the trace id, else the key.
     """
     keyed = cases.where(F.coalesce(F.col("conv_key"), F.lit("")) != "")
-    best = keyed.groupBy("conv_key").agg(F.max_by(F.struct(*[c for c in cases.columns if c != "conv_key"]), F.struct("hist_len", F.coalesce("ts", F.lit("")), order)).alias("r"))
-    rows = best.select(*(F.col("conv_key") if c == "conv_key" else F.col(f"r.{c}").alias(c) for c in cases.columns))
+    # only what decides goes into the aggregation; ``order`` tells the rows of a conversation apart
+    place = F.struct("hist_len", F.coalesce("ts", F.lit("")).alias("ts"), F.col(order).alias("o"))
+    best = keyed.select("conv_key", place.alias("place")).groupBy("conv_key").agg(F.max("place").alias("best"))
+    best = best.select(F.col("conv_key").alias("best_key"), F.col("best.o").alias("best_o"))
+    rows = keyed.join(best, (F.col("conv_key") == F.col("best_key")) & F.col(order).eqNullSafe(F.col("best_o")), "left_semi")
     rows = rows.withColumn("dialog_id", F.coalesce(F.nullif("trace_id", F.lit("")), "conv_key")) if "trace_id" in cases.columns else rows
     return rows.unionByName(cases.where(F.coalesce(F.col("conv_key"), F.lit("")) == ""), allowMissingColumns=True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from .ranks import rank_within
 
 
 def normalized_entropy(counts: DataFrame, n: str = "n") -> DataFrame:
@@ -112,8 +113,15 @@ def cluster_sizes(records: DataFrame, cluster: str = "cluster_id", label: str =
 def cluster_summary(records: DataFrame, text: str, cluster: str = "cluster_id", order: str = "row_idx", examples: int = 3) -> DataFrame:
     """Per cluster: count, distinct texts and the first distinct examples."""
     per_text = records.groupBy(F.col(cluster).alias("cluster_id"), F.col(text).alias("t")).agg(F.count("*").alias("n"), F.min(order).alias("o"))
-    ranked = per_text.withColumn("k", F.row_number().over(Window.partitionBy("cluster_id").orderBy("o", "t")))
-    return ranked.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_texts"), F.array_sort(F.collect_list(F.when(F.col("k") <= examples, F.struct("k", "t")))).alias("e")).select("cluster_id", "n", "distinct_texts", F.col("e.t").alias("examples"))
+    counts = per_text.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_texts"))
+    return counts.join(_first(per_text, "cluster_id", ["o", "t"], "t", examples), "cluster_id").withColumnRenamed("first", "examples")
+
+
+def _first(rows: DataFrame, by: str, order: list[str], value: str, most: int) -> DataFrame:
+    """by, first: the values of the first rows of a group; each task keeps ``most`` rows of a group."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    best = rows.select(by, *dict.fromkeys([*order, value])).withColumn("k", rank).where(F.col("k") <= most)
+    return best.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("k", value))).alias("e")).select(by, F.col(f"e.{value}").alias("first"))
 
 
 def stats_report(records: DataFrame, label: str, source: str) -> DataFrame:
@@ -132,23 +140,30 @@ def mode_value(records: DataFrame, by: str, value: str, order: str) -> DataFrame
 def failure_groups(failures: DataFrame, field: str, id_col: str, order: str, examples: int = 5, width: int = 120) -> DataFrame:
     """Groups of failures by a field: rank, value, count, share and the first ids."""
     value = F.coalesce(F.nullif(F.trim(F.col(field).cast("string")), F.lit("")), F.lit(vocab.EMPTY))
-    ranked = failures.select(value.alias("value"), F.substring(F.col(id_col).cast("string"), 1, 12).alias("id"), F.col(order).alias("o"))
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("value").orderBy("o")))
-    groups = ranked.groupBy("value").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= examples, F.struct("k", "id")))).alias("e"))
+    rows = failures.select(value.alias("value"), F.substring(F.col(id_col).cast("string"), 1, 12).alias("id"), F.col(order).alias("o"))
+    groups = rows.groupBy("value").agg(F.count("*").alias("n")).join(_first(rows, "value", ["o"], "id", examples), "value")
     total = failures.agg(F.count("*").alias("total"))
-    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), F.lower("value"), "value"))
+    ranked = rank_within(groups.withColumn("low", F.lower("value")), [], [F.col("n").desc(), "low", "value"])
     cut = F.when(F.length("value") > width, F.concat(F.substring("value", 1, width - 1), F.lit("…"))).otherwise(F.col("value"))
-    return groups.crossJoin(F.broadcast(total)).select(rank.alias("rank"), cut.alias("value"), "n", (100.0 * F.col("n") / F.col("total")).alias("share_pct"), F.array_join("e.id", ",").alias("ids"))
+    return ranked.crossJoin(F.broadcast(total)).select(F.col("rank").cast("int").alias("rank"), cut.alias("value"), "n", (100.0 * F.col("n") / F.col("total")).alias("share_pct"), F.array_join("first", ",").alias("ids"))
 
 
 def fingerprint(rows: DataFrame, field: str, turn: int, id_col: str, text_col: str, order: str) -> DataFrame:
     """16 hex digits that change with the field, the number, order, ids or texts of the rows.
 
-    Rows are hashed on their own first, so what is gathered is a digest per row of the failures.
+    A tree of digests: rows are hashed on their own, then the hashes of 1024 neighbours in ``order``
+    (a whole number) together, and so on three levels up; no row gathers more than its own branch.
     """
     one = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))), 256)
-    all_ = rows.select(F.struct(F.col(order).alias("o"), one.alias("h")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("a"), F.count("*").alias("n"))
-    return all_.select(F.substring(F.sha2(F.concat(F.lit(f"{field}|{turn}|"), F.col("n").cast("string"), F.lit("|"), F.array_join("a.h", "|")), 256), 1, 16).alias("fingerprint"))
+    level = rows.select(F.col(order).cast("long").alias("o"), one.alias("h"), F.lit(1).cast("long").alias("n"))
+    for _ in range(3):
+        level = level.groupBy(F.shiftright("o", 10).alias("o")).agg(_joined_hash(), F.sum("n").alias("n"))
+    top = level.groupBy().agg(_joined_hash(), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return top.select(F.substring(F.sha2(F.concat(F.lit(f"{field}|{turn}|"), F.col("n").cast("string"), F.lit("|"), "h"), 256), 1, 16).alias("fingerprint"))
+
+
+def _joined_hash() -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "|"), 256).alias("h")
 
 
 def length_stats(records: DataFrame, turns: str = "turns") -> DataFrame:

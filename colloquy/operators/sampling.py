@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from .ranks import rank_within
 
 
 MOD = 2**31
@@ -37,10 +38,10 @@ def stratified_split(items: DataFrame, stratum: str, ratio: float = 0.2, seed: i
     s = F.coalesce(F.col(stratum).cast("string"), F.lit("__unlabeled__"))
     rows = items.withColumn("stratum", s)
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("n_stratum"))
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(seed, F.col(key)), key))
+    ranked = rank_within(rows.withColumn("at", hash_order(seed, F.col(key))), ["stratum"], ["at", key], "k").drop("at")
     n = F.col("n_stratum")
     test = F.when(n >= 2, F.greatest(F.lit(1.0), F.least((n - 1).cast("double"), F.rint(n * ratio)))).otherwise(F.rint(n * ratio))
-    return rows.withColumn("k", rank).join(F.broadcast(sizes), "stratum").withColumn("split", F.when(F.col("k") <= test, "test").otherwise("train")).drop("k", "n_stratum")
+    return ranked.join(sizes, "stratum").withColumn("split", F.when(F.col("k") <= test, "test").otherwise("train")).drop("k", "n_stratum")
 
 
 def split_marginals(items: DataFrame, criteria: list[str]) -> DataFrame:

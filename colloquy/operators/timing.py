@@ -19,17 +19,39 @@ def turn_duration(seconds: list[Column], milliseconds: Column | None = None, nes
 
 
 def infer_durations(turns: DataFrame, dialog: str = "dialog_id", order: str = "turn_idx") -> DataFrame:
-    """Missing durations become the time since the previous turn if it isn't negative, rounded to 4 places."""
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy(dialog).orderBy(order))
-    return turns.withColumn("duration", F.coalesce("duration", F.when(gap >= 0, F.bround(gap, 4))))
+    """Missing durations become the time since the previous turn if it isn't negative, rounded to 4 places.
+
+    Times are compared in whole microseconds, and ties go to the even side, so results don't depend
+    on how far from zero the clock stands.
+    """
+    micros = _micros(F.col("ts"))
+    gap = micros - F.lag(micros).over(Window.partitionBy(dialog).orderBy(order))
+    return turns.withColumn("duration", F.coalesce("duration", F.when(gap >= 0, F.bround(gap, -2) / 1_000_000)))
+
+
+def _micros(seconds: Column) -> Column:
+    return F.round(seconds * 1_000_000).cast("long")
+
+
+def _known(dialog) -> Column:
+    """Sum of the known durations, in whole microseconds, so that their order doesn't matter."""
+    return F.coalesce(F.sum(_micros(F.col("duration"))).over(dialog), F.lit(0).cast("long"))
+
+
+def _share(micros: Column, among: Column) -> Column:
+    """An even share in seconds, rounded to 4 places; in whole numbers, ties to the even side."""
+    unit = 100 * F.nullif(among, F.lit(0))
+    whole, rest = F.floor(micros / unit), 2 * (micros % unit)
+    up = (rest > unit) | ((rest == unit) & (whole % 2 == 1))
+    return (whole + up.cast("long")) / 10_000
 
 
 def share_wall(turns: DataFrame, dialog: str = "dialog_id", wall: str = "wall") -> DataFrame:
     """Turns without a duration share what the known ones leave of the dialog's wall time; nothing if none is left."""
     w = Window.partitionBy(dialog)
     missing = F.count_if(F.col("duration").isNull()).over(w)
-    budget = F.col(wall) - F.coalesce(F.sum("duration").over(w), F.lit(0.0))
-    return turns.withColumn("duration", F.coalesce("duration", F.when(budget > 0, F.bround(F.try_divide(budget, missing), 4))))
+    budget = _micros(F.col(wall)) - _known(w)
+    return turns.withColumn("duration", F.coalesce("duration", F.when(budget > 0, _share(budget, missing))))
 
 
 def backfill(turns: DataFrame, total: str, dialog: str = "dialog_id") -> DataFrame:
@@ -37,8 +59,8 @@ def backfill(turns: DataFrame, total: str, dialog: str = "dialog_id") -> DataFra
     w = Window.partitionBy(dialog)
     spoken = side(F.lower("role")).isNotNull()
     missing = F.count_if(F.col("duration").isNull() & spoken).over(w)
-    budget = F.greatest(F.lit(0.0), F.col(total) - F.coalesce(F.sum("duration").over(w), F.lit(0.0)))
-    return turns.withColumn("duration", F.coalesce("duration", F.when(spoken & F.col(total).isNotNull(), F.bround(F.try_divide(budget, missing), 4))))
+    budget = F.greatest(F.lit(0), _micros(F.col(total)) - _known(w))
+    return turns.withColumn("duration", F.coalesce("duration", F.when(spoken & F.col(total).isNotNull(), _share(budget, missing))))
 
 
 def dialog_times(turns: DataFrame, dialog: str = "dialog_id") -> DataFrame:

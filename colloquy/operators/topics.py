@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import keep_terms, meaningful_term
+from ..shared import materialise, spread
 
 
 def tokens(records: DataFrame, text: str, cluster: str = "cluster_id", stop_words: bool = True, max_df: float = 0.95) -> DataFrame:
@@ -17,10 +18,13 @@ def tokens(records: DataFrame, text: str, cluster: str = "cluster_id", stop_word
 def term_counts(records: DataFrame, text: str, cluster: str = "cluster_id") -> DataFrame:
     """cluster_id, term, n, df, n_docs of all tokens in one pass over the texts."""
     docs = records.where((F.col(cluster) >= 0) & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(vocab.TOKEN), F.lit(0))
-    rows = docs.select(F.col(cluster).alias("cluster_id"), F.monotonically_increasing_id().alias("doc"), F.explode(found).alias("term"))
-    per_doc = rows.groupBy("cluster_id", "doc", "term").agg(F.count("*").alias("k"))
-    counts = per_doc.groupBy("cluster_id", "term").agg(F.sum("k").alias("n"), F.count("*").alias("df"))
+    words = F.array_sort(F.split(F.lower(F.col(text)), vocab.BETWEEN_TOKENS))
+    # in the order of the words a text's first one of each term is known by its neighbour, so one
+    # aggregation with map-side combination gives both numbers and no row travels by document
+    rows = spread(docs.select(cluster, text)).select(F.col(cluster).alias("cluster_id"), words.alias("term"))
+    rows = rows.select("cluster_id", F.explode(F.arrays_zip("term", F.concat(F.array(F.lit("")), "term").alias("before"))).alias("w")).select("cluster_id", "w.*")
+    rows = rows.where(F.col("term").rlike(vocab.TOKEN))
+    counts = rows.groupBy("cluster_id", "term").agg(F.count("*").alias("n"), F.count_if(F.col("term") != F.col("before")).alias("df"))
     return counts.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
 
 
@@ -57,14 +61,15 @@ def keywords(records: DataFrame, text: str, top: int = 10, pool: int = 200, clus
     A vocabulary that stop words or very common terms leave empty is built again without that rule.
     The ``pool`` best meaningful terms are looked at, and more where they leave a cluster short of ``top``.
     """
-    every = term_counts(records, text, cluster).persist()  # a row per cluster and term
+    every = materialise(term_counts(records, text, cluster), "terms")  # a row per cluster and term
     for stop_words, max_df in ((True, 0.95), (True, 1.0), (False, 1.0)):
         counts = limited(every, stop_words, max_df)
         if not counts.isEmpty():
             break
     scored = class_tfidf(counts)
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("good").desc(), F.col("score").desc(), "term"))
-    ranked = scored.withColumn("good", meaningful_term(F.col("term"))).withColumn("k", rank).persist()
+    ranked = scored.withColumn("good", meaningful_term(F.col("term"))).withColumn("k", rank)
+    ranked = materialise(ranked, "ranked-terms")
     while True:
         best = ranked.where(F.col("k") <= pool).groupBy("cluster_id").agg(F.collect_list(F.struct("term", "score")).alias("w"), (F.bool_and("good") & (F.count("*") == pool)).alias("more"))
         words = best.select("cluster_id", keep_terms(F.col("w"), top).alias("words"), "more")

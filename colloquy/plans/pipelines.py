@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.text import cluster_text, for_embedding, goals_text, template, transcript, validate_field
 from ..operators import agreement, cluster, dedup, metrics, scoring, topics
+from ..shared import materialise
 from .providers import Embedder, Judge, ask, embed
 
 
@@ -30,13 +31,13 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
     marked = dedup.exact(rows, "text")
     exact = marked.where("dup").select("row_idx", "kept_idx", F.lit("exact").alias("reason"), F.lit(1.0).alias("similarity"))
     rows = marked.where("not dup").drop("dup", "kept_idx").withColumn("model_text", for_embedding(F.col("text"), field))
-    rows = embed(rows, "model_text", embedder).cache()  # the provider is asked once
+    rows = materialise(embed(rows, "model_text", embedder), "embedded")  # the provider is asked once
     removed = exact
     if threshold is not None:
-        gone = dedup.greedy_keep(rows.select("row_idx"), dedup.exact_pairs(rows.where("text <> ''"), threshold))
+        gone = dedup.greedy_keep(rows.select("row_idx"), dedup.semantic_pairs(rows.where("text <> ''"), threshold))
         removed = removed.unionByName(gone.select("row_idx", "kept_idx", F.lit("semantic").alias("reason"), "similarity"))
         rows = rows.join(gone.select("row_idx"), "row_idx", "left_anti")
-    rows = cluster.density_clusters(rows, min_cluster_size, min_samples).cache()
+    rows = materialise(cluster.density_clusters(rows, min_cluster_size, min_samples), "clustered")
     if outliers:
         near = cluster.reassign_noise(rows).withColumnRenamed("cluster_id", "near")
         rows = rows.join(near, "row_idx", "left").withColumn("cluster_id", F.coalesce("near", "cluster_id")).drop("near")

@@ -1,39 +1,14 @@
-"""Queries over the driver tables, each with the SQL that says the same to DuckDB."""
+"""Dialogs, duplicates, similarity, clusters, metrics, agreement, scoring, timing, traces and topics."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text, values, vocab
-from .operators import agreement, bootstrap, cases, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics
-from .sources import traces
-
-_Q: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _Q[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_Q)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from ..functions import text, values, vocab
+from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics
+from ..sources import traces
+from .base import query, rounded, table
 
 def dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, row_idx, turns, history of the conversations."""
@@ -142,7 +117,7 @@ def display_times(spark, sf_dir):
 # --- de-duplication
 
 
-@query("SELECT doc_id, min(doc_id) OVER w AS kept_idx, doc_id <> min(doc_id) OVER w AS dup FROM documents WINDOW w AS (PARTITION BY CASE WHEN trim(coalesce(text, '')) = '' THEN doc_id::VARCHAR ELSE 't' || trim(text) END)")
+@query(r"SELECT doc_id, min(doc_id) OVER w AS kept_idx, doc_id <> min(doc_id) OVER w AS dup FROM documents WINDOW w AS (PARTITION BY CASE WHEN trim(regexp_replace(coalesce(text, ''), '\s', ' ', 'g')) = '' THEN doc_id::VARCHAR ELSE 't' || regexp_replace(text, '^\s+|\s+$', '', 'g') END)")
 def exact_dedup_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup.exact(d, "text", "doc_id").select("doc_id", "kept_idx", "dup")
@@ -332,7 +307,9 @@ def failure_groups(spark, sf_dir):
     return metrics.failure_groups(_failures(spark, sf_dir), "source", "doc_id", "doc_id").withColumn("share_pct", F.round("share_pct", 9))
 
 
-@query("""WITH f AS (SELECT l.doc_id, d.text FROM labels l JOIN documents d USING (doc_id) WHERE quality = 0) SELECT substr(sha256('text|0|' || count(*) || '|' || string_agg(sha256(doc_id || chr(0) || text), '|' ORDER BY doc_id)), 1, 16) AS fingerprint FROM f""")
+@query("""WITH f AS (SELECT l.doc_id AS o, sha256(l.doc_id || chr(0) || d.text) AS h FROM labels l JOIN documents d USING (doc_id) WHERE quality = 0),
+    a AS (SELECT o >> 10 AS o, sha256(string_agg(h, '|' ORDER BY o, h)) AS h FROM f GROUP BY o >> 10), b AS (SELECT o >> 10 AS o, sha256(string_agg(h, '|' ORDER BY o, h)) AS h FROM a GROUP BY o >> 10), c AS (SELECT o >> 10 AS o, sha256(string_agg(h, '|' ORDER BY o, h)) AS h FROM b GROUP BY o >> 10)
+    SELECT substr(sha256('text|0|' || (SELECT count(*) FROM f) || '|' || (SELECT sha256(string_agg(h, '|' ORDER BY o, h)) FROM c)), 1, 16) AS fingerprint""")
 def failures_fingerprint(spark, sf_dir):
     return metrics.fingerprint(_failures(spark, sf_dir), "text", 0, "doc_id", "text", "doc_id")
 
@@ -376,14 +353,10 @@ _AGREE = """SELECT {by} n::BIGINT AS n, po AS exact, 2 * po - 1 AS pabak, round(
     (power(sum(y1) + sum(y2), 2) + power(sum(1 - y1) + sum(1 - y2), 2))::DOUBLE AS m2 FROM ({q}) {group})"""
 
 
-def _rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 9) for c in cols})
-
-
 @query(_AGREE.format(by="", group="", q="SELECT quality AS y1, 1 - toxic AS y2 FROM labels"))
 def agreement_binary(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
-    return _rounded(agreement.two_rater_metrics(agreement.confusion(lab, "quality", "clean")), "kappa", "alpha_nominal")
+    return rounded(agreement.two_rater_metrics(agreement.confusion(lab, "quality", "clean")), "kappa", "alpha_nominal")
 
 
 _BIN = "count(*) FILTER (WHERE quality = 1 AND toxic = 0)::DOUBLE AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0)::DOUBLE AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1)::DOUBLE AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 1)::DOUBLE AS tn"
@@ -392,7 +365,7 @@ _BIN = "count(*) FILTER (WHERE quality = 1 AND toxic = 0)::DOUBLE AS tp, count(*
 @query(f"WITH c AS (SELECT {_BIN} FROM labels) SELECT tp, fp, fn, tn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 9) AS mcc FROM c")
 def binary_scores(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
-    return _rounded(agreement.binary_scores(agreement.binary_counts(agreement.confusion(lab, "quality", "clean"), 1)), "precision", "recall", "f1", "mcc")
+    return rounded(agreement.binary_scores(agreement.binary_counts(agreement.confusion(lab, "quality", "clean"), 1)), "precision", "recall", "f1", "mcc")
 
 
 @query("SELECT y1, count(*) FILTER (WHERE y2 = 0)::DOUBLE AS \"0\", count(*) FILTER (WHERE y2 = 1)::DOUBLE AS \"1\" FROM (SELECT quality AS y1, toxic AS y2 FROM labels) GROUP BY y1")
@@ -413,7 +386,7 @@ def _ratings(spark, sf_dir) -> DataFrame:
 
 @query(_AGREE.format(by="rater_a, rater_b,", group="GROUP BY rater_a, rater_b", q=f"SELECT a.rater AS rater_a, b.rater AS rater_b, a.label AS y1, b.label AS y2 FROM {_RATERS} a JOIN {_RATERS} b ON a.item_id = b.item_id AND a.rater < b.rater"))
 def inter_annotator_pairs(spark, sf_dir):
-    return _rounded(agreement.rater_pairs(_ratings(spark, sf_dir)), "kappa", "alpha_nominal")
+    return rounded(agreement.rater_pairs(_ratings(spark, sf_dir)), "kappa", "alpha_nominal")
 
 
 @query(f"SELECT count(*) FILTER (WHERE k >= 2) AS n_compared, count(*) FILTER (WHERE k = 3) AS n_full FROM (SELECT item_id, count(DISTINCT rater) AS k FROM {_RATERS} GROUP BY 1)")
@@ -425,7 +398,7 @@ def annotator_overlap(spark, sf_dir):
     o AS (SELECT a.label AS c, b.label AS d, sum(CASE WHEN a.label = b.label THEN a.k * (a.k - 1) ELSE a.k * b.k END / (a.m - 1)) AS o FROM u a JOIN u b USING (item_id) GROUP BY 1, 2), n AS (SELECT c, sum(o) AS n FROM o GROUP BY c)
     SELECT round(1 - ((SELECT sum(o) FROM o) - 1) * (SELECT sum(o) FROM o WHERE c <> d) / (SELECT sum(a.n * b.n) FROM n a JOIN n b ON a.c <> b.c), 9) AS alpha""")
 def krippendorff_nominal(spark, sf_dir):
-    return _rounded(agreement.krippendorff(_ratings(spark, sf_dir)), "alpha")
+    return rounded(agreement.krippendorff(_ratings(spark, sf_dir)), "alpha")
 
 
 _ORD = "SELECT substr(o_orderpriority, 1, 1)::INT AS y1, (o_orderkey % 5 + 1)::INT AS y2 FROM orders"
@@ -452,7 +425,7 @@ def krippendorff_ordinal(spark, sf_dir):
 def macro_scores(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
     r = agreement.macro_scores(agreement.confusion(lab, "quality", "clean"))
-    return _rounded(r, *r.columns)
+    return rounded(r, *r.columns)
 
 
 @query("SELECT n::BIGINT AS population, CASE WHEN n <= 0 THEN 0 ELSE greatest(1, least(ceil((1.96 * 1.96 * 0.25 / 0.0025) / (1 + (1.96 * 1.96 * 0.25 / 0.0025 - 1) / n))::BIGINT, n)) END::BIGINT AS size FROM (SELECT unnest([0, 1, 10, 400, 100000]) AS n)")
@@ -465,18 +438,18 @@ def sample_sizes(spark, sf_dir):
 
 
 @query(f"""WITH v AS (SELECT quality::DOUBLE AS value, count(*) AS m FROM labels GROUP BY 1), l AS (SELECT value, sum(m) OVER (ORDER BY value) AS hi, sum(m) OVER (ORDER BY value) - m AS lo FROM v), n AS (SELECT sum(m)::BIGINT AS n FROM v),
-    x0 AS (SELECT b, n, {_scrambled('42::BIGINT * 1000003 + b * 1566083941 + i * 1812433253')} AS x FROM n, (SELECT unnest(range(200)) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i)),
+    x0 AS (SELECT b, n, {_scrambled('42::BIGINT * 1000003 + b * 1566083941 + i * 1812433253')} AS x FROM n, (SELECT unnest(range(5000)) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i)),
     d AS (SELECT b, (x >> 8) * n // 8388608 AS drawn FROM x0), r AS (SELECT b, avg(value) AS mean FROM d JOIN l ON drawn >= lo AND drawn < hi GROUP BY b)
     SELECT (SELECT n FROM n) AS n, (SELECT avg(quality) FROM labels) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM r""")
 def bootstrap_ci_accuracy(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("a"))
-    return _rounded(bootstrap.bootstrap_mean(lab, "a", replicates=200), "low", "high")
+    return rounded(bootstrap.bootstrap_mean(lab, "a"), "low", "high")
 
 
 @query()
 def bootstrap_ci_kappa(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
-    return bootstrap.agreement_interval(lab, "quality", "clean", replicates=200)
+    return bootstrap.agreement_interval(lab, "quality", "clean")
 
 
 @query(f"""WITH r AS (SELECT doc_id, quality, toxic, count(*) OVER w AS n, row_number() OVER (PARTITION BY quality, toxic ORDER BY {_order('doc_id')}, doc_id) AS k FROM labels WINDOW w AS (PARTITION BY quality, toxic))
@@ -501,7 +474,7 @@ def criterion_accuracy(spark, sf_dir):
 def mean_criterion_score(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
     m = F.create_map(F.lit("quality"), F.col("quality").cast("double"), F.lit("clean"), F.when(F.col("doc_id") % 3 != 0, (1 - F.col("toxic")).cast("double")))
-    return _rounded(scoring.mean_score(lab.withColumn("criterion_accuracy", m)), "mean_score")
+    return rounded(scoring.mean_score(lab.withColumn("criterion_accuracy", m)), "mean_score")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS source_id, l_linenumber AS k, (l_returnflag = 'N')::INT::DOUBLE AS a FROM lineitem) SELECT source_id, count(*) AS repeats, round(avg(a), 4) AS accuracy, max(a) = 1 AS pass_at_least_once, min(a) = 1 AS pass_all,
@@ -545,7 +518,7 @@ def semantic_scores(spark, sf_dir):
 # --- timing
 
 
-_TURNS = """(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_idx, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, epoch_us(ts) / 1e6 AS ts, CASE WHEN event_id % 3 = 0 THEN value END AS duration FROM events)"""
+_TURNS = """(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn_idx, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN value END AS duration FROM events)"""
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -556,9 +529,11 @@ def _turns(spark, sf_dir) -> DataFrame:
     return e.select(F.col("user_id").alias("dialog_id"), "event_id", idx.alias("turn_idx"), F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("duration"))
 
 
-@query(f"WITH d AS (SELECT event_id, coalesce(duration, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY turn_idx)) AS duration FROM {_TURNS}) SELECT event_id, floor(duration * 10 + 0.37)::BIGINT AS duration FROM d")
+@query(f"""WITH g AS (SELECT event_id, duration, us - lag(us) OVER (PARTITION BY user_id ORDER BY turn_idx) AS gap FROM {_TURNS}),
+    r AS (SELECT *, gap // 100 AS q, gap % 100 AS rest FROM g)
+    SELECT event_id, coalesce(duration, CASE WHEN gap >= 0 THEN (100 * (q + CASE WHEN rest > 50 OR (rest = 50 AND q % 2 = 1) THEN 1 ELSE 0 END))::DOUBLE / 1000000 END) AS duration FROM r""")
 def reply_timing_lag(spark, sf_dir):
-    return timing.infer_durations(_turns(spark, sf_dir)).select("event_id", F.floor(F.col("duration") * 10 + 0.37).alias("duration"))
+    return timing.infer_durations(_turns(spark, sf_dir)).select("event_id", "duration")
 
 
 @query(f"SELECT user_id AS dialog_id, round(avg(duration) FILTER (WHERE role = 'assistant'), 6) AS avg_assistant, round(avg(duration) FILTER (WHERE role = 'user'), 6) AS avg_user, round(sum(duration), 5) AS known_total FROM {_TURNS} GROUP BY user_id")
@@ -566,11 +541,12 @@ def reply_times_by_role(spark, sf_dir):
     return timing.dialog_times(_turns(spark, sf_dir)).select("dialog_id", F.round("avg_assistant", 6).alias("avg_assistant"), F.round("avg_user", 6).alias("avg_user"), F.round("known_total", 5).alias("known_total"))
 
 
-@query(f"""WITH w AS (SELECT *, 100000.0 - coalesce(sum(duration) OVER p, 0) AS budget, count(*) FILTER (WHERE duration IS NULL) OVER p AS missing FROM {_TURNS} WINDOW p AS (PARTITION BY user_id))
-    SELECT event_id, floor(coalesce(duration, CASE WHEN budget > 0 THEN budget / missing END) * 100 + 0.3)::BIGINT AS duration FROM w""")
+@query(f"""WITH w AS (SELECT *, 100000000000 - coalesce(sum(round(duration * 1000000)::BIGINT) OVER p, 0)::BIGINT AS budget, 100 * nullif(count(*) FILTER (WHERE duration IS NULL) OVER p, 0) AS unit FROM {_TURNS} WINDOW p AS (PARTITION BY user_id)),
+    s AS (SELECT *, budget // unit AS whole, 2 * (budget % unit) AS rest FROM w)
+    SELECT event_id, coalesce(duration, CASE WHEN budget > 0 THEN (whole + (rest > unit OR (rest = unit AND whole % 2 = 1))::INT)::DOUBLE / 10000 END) AS duration FROM s""")
 def wall_budget_share(spark, sf_dir):
     t = _turns(spark, sf_dir).withColumn("wall", F.lit(100000.0))
-    return timing.share_wall(t).select("event_id", F.floor(F.col("duration") * 100 + 0.3).alias("duration"))
+    return timing.share_wall(t).select("event_id", "duration")
 
 
 # --- traces, contexts

@@ -13,11 +13,15 @@ from ..functions.values import goals_list, is_object, kind, parse_context, varia
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, value of every physical line.
 
-    A file is numbered by itself; files are the unit of parallelism here, as a line number needs all
-    lines before it.
+    A large file is read in blocks by many tasks. Ids that grow by one within a task number the lines
+    of a block; the lines of the blocks before come from a table with a row per block.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "value"))
-    return files.select("file", (F.col("pos") + 1).alias("line_no"), "value")
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.text(path).select(*block, F.monotonically_increasing_id().alias("id"), "value")
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", (before + 1 - F.col("first")).alias("shift"))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line_no"), "value")
 
 
 def lines_of(spark: SparkSession, text: str) -> DataFrame:
@@ -159,5 +163,7 @@ def annotators(items: DataFrame) -> DataFrame:
 
 
 def row_index(records: DataFrame, order: list[str]) -> DataFrame:
-    """Adds row_idx from 0 in the given order, for small tables."""
-    return records.withColumn("row_idx", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Adds row_idx from 0 in the given order."""
+    from ..operators.ranks import rank_within
+
+    return rank_within(records, [], order, "row_idx").withColumn("row_idx", F.col("row_idx") - 1)
