@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
@@ -190,6 +190,22 @@ def format_terms(pairs: Column, most: int = 10) -> Column:
     return F.array_join(F.transform(F.slice(pairs, 1, most), lambda p: F.format_string("%s (%.3f)", p["term"], p["score"].cast("double"))), ", ")
 
 
+def words_to_json(words: DataFrame) -> DataFrame:
+    """One row, value: the words (term, score) of all clusters as a JSON object. There is an entry per cluster."""
+    pairs = F.transform("words", lambda p: F.concat(F.lit("["), F.regexp_replace(F.to_json(F.array(p["term"])), r"^\[|\]$", ""), F.lit(","), p["score"].cast("double").cast("string"), F.lit("]")))
+    entry = F.concat(F.lit('"'), F.col("cluster_id").cast("string"), F.lit('":['), F.array_join(pairs, ","), F.lit("]"))
+    return words.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("value"))
+
+
+def words_from_json(stored: DataFrame) -> DataFrame:
+    """cluster_id, words of such objects; keys that aren't numbers, values that aren't lists and short pairs go."""
+    fields = F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")
+    rows = stored.select(F.explode(fields).alias("key", "list")).select(F.col("key").try_cast("int").alias("cluster_id"), F.try_variant_get("list", "$", "array<variant>").alias("list"))
+    pair = lambda p: F.struct(F.try_variant_get(p, "$[0]", "string").alias("term"), F.try_variant_get(p, "$[1]", "double").alias("score"))
+    words = F.filter(F.transform("list", pair), lambda p: p["term"].isNotNull() & p["score"].isNotNull())
+    return rows.where("cluster_id is not null and list is not null").select("cluster_id", words.alias("words")).where(F.size("words") > 0)
+
+
 def cluster_name(cluster: Column, label: Column) -> Column:
     named = F.concat(cluster.cast("string"), F.lit(": "), F.coalesce(non_blank(label), F.concat(F.lit("Кластер "), cluster.cast("string"))))
     return F.when(cluster == vocab.NOISE, F.lit("шум (-1)")).when(cluster == vocab.NO_EMBEDDING, F.lit("нет эмбеддинга (-2)")).otherwise(named)

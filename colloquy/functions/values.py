@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,6 +155,26 @@ def rename_keys(fields: Column, names: dict[str, str] | None) -> Column:
     return F.transform_keys(kept, lambda k, v: F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), k))
 
 
+def field_map(raw: str) -> dict[str, str] | None:
+    """A mapping of field names in JSON; anything but an object of texts gives None."""
+    try:
+        found = json.loads(raw or "")
+    except ValueError:
+        return None
+    ok = isinstance(found, dict) and all(isinstance(v, str) and v.strip() for v in found.values())
+    return {k.strip(): v.strip() for k, v in found.items() if k.strip()} if ok else None
+
+
+def whole_numbers(fields: Column, names: list[str]) -> Column:
+    """A map as a JSON object whose named fields, where they are whole numbers, stand as numbers."""
+    def entry(x: Column) -> Column:
+        number = F.when(x["key"].isin(names), integral(x["value"]).cast("string"))
+        quote = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+        return F.concat(quote(x["key"]), F.lit(":"), F.coalesce(number, quote(x["value"]), F.lit("null")))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(fields)), entry), ","), F.lit("}"))
+
+
 def allow_keys(fields: Column, allowed: list[str]) -> Column:
     return F.map_filter(fields, lambda k, v: k.isin(allowed)) if allowed else fields
 

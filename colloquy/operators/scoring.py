@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.values import criterion_passed
+from ..functions.text import strip
+from ..functions.values import criterion_passed, json_path, variant_text
 
 
 def scoring_fields(fields: str | list[str]) -> list[str]:
@@ -101,6 +102,18 @@ def semantic_match(similarity: Column, threshold: float = 0.85) -> Column:
     return F.coalesce(similarity >= threshold, F.lit(False))
 
 
+def semantic_prediction(response: Column, content: Column, path: str = "response") -> Column:
+    """The predicted text of the last turn: a field of its response (VARIANT), or its content where the path means that."""
+    found = F.nullif(strip(F.coalesce(variant_text(response, json_path(path)), F.lit(""))), F.lit(""))
+    said = F.nullif(strip(F.coalesce(content, F.lit(""))), F.lit("")) if path in ("response", "content", "") else F.lit(None).cast("string")
+    return F.coalesce(found, said, F.lit(""))
+
+
+def semantic_reference(case: Column, path: str = "subtopic") -> Column:
+    """The reference text at a path of the case (VARIANT)."""
+    return strip(F.coalesce(variant_text(case, json_path(path)), F.lit("")))
+
+
 def block_ids(text: Column) -> Column:
     """Distinct integers of 1 to 9 digits in a text."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)\d{1,9}(?!\d)"), F.lit(0)), lambda x: x.cast("int"))))

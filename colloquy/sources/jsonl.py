@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import strip
-from ..functions.values import goals_list, is_object, kind, parse_context, variant_text
+from ..functions.values import goals_list, is_object, kind, parse_context, redact_json, variant_text
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -141,11 +141,26 @@ def to_jsonl_with_report(records: DataFrame, report: list[str], path: str) -> No
 
 
 def annotation_records(results: DataFrame) -> DataFrame:
-    """dialog_id, scenario_id, goals, history (role, content) for annotators; missing values are empty."""
-    has = lambda c: c in results.columns
-    goals = F.coalesce(F.col("goals") if has("goals") else F.lit(None).cast("array<string>"), F.when(F.col("goals_text").isNotNull(), F.array("goals_text")) if has("goals_text") else F.lit(None).cast("array<string>"), F.array(F.lit("")))
-    turns = F.transform("history", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return results.select(F.coalesce("dialog_id", F.lit("")).alias("dialog_id"), (F.coalesce("scenario_id", F.lit("")) if has("scenario_id") else F.lit("")).alias("scenario_id"), goals.alias("goals"), turns.alias("history"))
+    """dialog_id, scenario_id, goals, history (role, content, tool_calls), context for annotators.
+
+    Missing ids are empty; goals come from goals, else goals_text, else one empty goal. Tool calls
+    (JSON texts) are a turn's own, else those of its full response; an empty list counts as none.
+    Secrets of the context (JSON text) are redacted, and columns that the results lack are null.
+    """
+    def col(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in results.columns else F.lit(None).cast(kind)
+
+    goals = F.coalesce(F.when(F.size(col("goals", "array<string>")) > 0, col("goals", "array<string>")), F.when(strip(col("goals_text")) != "", F.array(strip(col("goals_text")))), F.array(F.lit("")))
+    inner = results.schema["history"].dataType.elementType.names
+
+    def turn(t: Column) -> Column:
+        own = t["tool_calls"] if "tool_calls" in inner else F.lit(None).cast("string")
+        answer = F.get_json_object(t["full_response"], "$.tool_calls") if "full_response" in inner else F.lit(None).cast("string")
+        calls = F.coalesce(*(F.when(~F.trim(c).isin("", "[]", "{}", "null"), c) for c in (own, answer)))
+        return F.struct(t["role"].alias("role"), F.coalesce(t["content"].cast("string"), F.lit("")).alias("content"), calls.alias("tool_calls"))
+
+    context = F.nullif(strip(redact_json(col("context"))), F.lit(""))
+    return results.select(F.coalesce(col("dialog_id"), F.lit("")).alias("dialog_id"), F.coalesce(col("scenario_id"), F.lit("")).alias("scenario_id"), goals.alias("goals"), F.transform("history", turn).alias("history"), F.nullif(context, F.lit("{}")).alias("context"))
 
 
 def merged_labels(items: DataFrame, legacy: list[str]) -> DataFrame:
