@@ -152,12 +152,44 @@ def density_clusters(records: DataFrame, min_cluster_size: int = 5, min_samples:
     return records.drop("cluster_id").join(found, key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(vocab.NO_EMBEDDING)))
 
 
+def layout_neighbours(requested: int, n: int) -> int:
+    """Neighbours of a layout: the requested number, else a fifth of the rows up to 10, within what there is."""
+    return max(2, min(requested, n - 1)) if requested > 0 else max(2, min(10, max(2, n // 5), n - 1))
+
+
+def layout_components(requested: int, size: int, n: int) -> int:
+    """Dimensions after reduction: the requested number, else 50, within what vectors and rows allow."""
+    return max(2, min(requested, size, n - 1)) if requested > 0 else min(50, size, max(2, n - 1))
+
+
+def layout_start(start: str, n: int) -> str:
+    return start if start in ("spectral", "random") else "random" if n < 50 else "spectral"
+
+
+def reduced(records: DataFrame, requested: int = 0, key: str = "row_idx") -> DataFrame:
+    """``records`` whose embeddings are cut to their principal components, as many as ``layout_components`` says."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = records.where("embedding is not null").select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    told = records.where("embedding is not null").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size")).first()
+    if told.n < 3:
+        return records
+    model = PCA(k=layout_components(requested, told.size, told.n), inputCol="v", outputCol="p").fit(rows)
+    cut = model.transform(rows).select(F.col(key).alias("cut_key"), vector_to_array("p").alias("cut"))
+    joined = records.join(cut, F.col(key) == F.col("cut_key"), "left")
+    return joined.withColumn("embedding", F.col("cut")).select(*records.columns)
+
+
 def layout_2d(records: DataFrame, key: str = "row_idx") -> DataFrame:
     """key, x, y: the two principal components; the covariance comes from one distributed pass."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = records.where("embedding is not null").select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    few = rows.select(key).orderBy(key).limit(3).collect()
+    if len(few) < 3:  # one row stands at the origin, a second one beside it
+        return records.sparkSession.createDataFrame([(r[0], float(i), 0.0) for i, r in enumerate(few)], f"{key} {records.schema[key].dataType.simpleString()}, x double, y double")
     model = PCA(k=2, inputCol="v", outputCol="p").fit(rows)
     p = vector_to_array("p")
     return model.transform(rows).select(key, p[0].alias("x"), p[1].alias("y"))

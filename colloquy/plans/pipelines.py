@@ -23,7 +23,7 @@ class ClusteringResult:
     removed: DataFrame
 
 
-def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog", threshold: float | None = 0.95, min_cluster_size: int = 5, min_samples: int = 1, outliers: bool = False) -> ClusteringResult:
+def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog", threshold: float | None = 0.95, min_cluster_size: int = 5, min_samples: int = 1, outliers: bool = False, components: int | None = None) -> ClusteringResult:
     """Dedup, text, embeddings, density clusters, keywords and labels of a dialog sample (row_idx, history)."""
     field = validate_field(field)
     text = cluster_text(F.col("history"), field) if field in vocab.HISTORY_FIELDS else F.col(field)
@@ -37,6 +37,7 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
         gone = dedup.greedy_keep(rows.select("row_idx"), dedup.semantic_pairs(rows.where("text <> ''"), threshold))
         removed = removed.unionByName(gone.select("row_idx", "kept_idx", F.lit("semantic").alias("reason"), "similarity"))
         rows = rows.join(gone.select("row_idx"), "row_idx", "left_anti")
+    rows = cluster.reduced(rows, components) if components is not None else rows
     rows = materialise(cluster.density_clusters(rows, min_cluster_size, min_samples), "clustered")
     if outliers:
         near = cluster.reassign_noise(rows).withColumnRenamed("cluster_id", "near")
@@ -49,6 +50,33 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
     return ClusteringResult(rows, words, metrics.cluster_quality(rows), metrics.cluster_summary(rows, "text"), removed)
 
 
+def with_output(cases: DataFrame, results: DataFrame, key: str = "dialog_id", mode: str = "", scenario: str = "") -> DataFrame:
+    """Cases with what a run found: the run's columns win, and a scenario of the run replaces the case's.
+
+    ``results`` has ``key`` and the run's columns; a ``new_dialog_id`` that isn't blank becomes the id.
+    """
+    found = results.withColumnRenamed(key, "of_case")
+    own = [c for c in cases.columns if c not in results.columns or c == key]
+    rows = cases.select(*own).join(found, F.col(key) == F.col("of_case")).drop("of_case")
+    if "new_dialog_id" in results.columns:
+        rows = rows.withColumn(key, F.coalesce(F.nullif(F.trim("new_dialog_id"), F.lit("")), key)).drop("new_dialog_id")
+    rows = rows.withColumn("mode", F.lit(mode)) if mode else rows
+    return rows.withColumn("scenario_id", F.lit(scenario.strip())) if scenario.strip() else rows
+
+
+def existing_result(cases: DataFrame) -> DataFrame:
+    """dialog_id, predicted (the last assistant's content), turns of dialogs that need no new reply."""
+    last = scoring.last_turn(F.col("history"))
+    return cases.select("dialog_id", F.coalesce(last["content"].cast("string"), F.lit("")).alias("predicted"), F.size("history").alias("turns"))
+
+
+def failed_result(cases: DataFrame, error: str, fields: str = "result") -> DataFrame:
+    """Rows of cases that raised: accuracy 0, no turns, no passed criterion, and the error's type and text."""
+    kind, _, said = error.partition(": ")
+    zero = F.create_map(*[x for f in scoring.scoring_fields(fields) for x in (F.lit(f), F.lit(0.0))])
+    return cases.select("dialog_id", F.lit(0.0).alias("accuracy"), F.lit(0).alias("turns"), zero.alias("criterion_accuracy"), F.lit(kind).alias("error_type"), F.lit(said).alias("error"))
+
+
 PROMPT = "Цели: {goals}\n\nДиалог:\n{history}\n\nОтветьте JSON."
 
 

@@ -109,3 +109,31 @@ def ask(records: DataFrame, prompt: str, judge: Judge, attempts: int = 3) -> Dat
             yield pd.DataFrame(rows, columns=["answer", "error"])
 
     return records.withColumn("__r", run(prompt)).select("*", "__r.answer", "__r.error").drop("__r")
+
+
+def model_names(base: str | None, key: str | None, fallback: str, timeout: float = 15) -> list[str]:
+    """``owner/id`` of the models that a gateway lists; the fallback alone without settings or on any failure."""
+    import json
+    import urllib.request
+
+    if not (base or "").strip() or not (key or "").strip():
+        return [fallback]
+    try:
+        asked = urllib.request.Request(f"{base.rstrip('/')}/models", headers={"Authorization": f"Bearer {key}"})
+        with urllib.request.urlopen(asked, timeout=timeout) as got:
+            listed = json.load(got).get("data") or []
+        return [f"{m['owned_by']}/{m['id']}" for m in listed if isinstance(m, dict) and {"owned_by", "id"} <= m.keys()] or [fallback]
+    except (OSError, ValueError, AttributeError):
+        return [fallback]
+
+
+def role_options(model: str, key: str | None, base: str | None, params: str, default_model: str, protected: frozenset[str] = frozenset({"messages", "model", "api_key", "api_base"}), timeout: float = 300) -> dict:
+    """Options of a role's calls; its own JSON parameters win, but for those that the run sets itself."""
+    import json
+
+    options: dict = {"model": (model or "").strip() or default_model, "api_key": (key or "").strip() or None, "api_base": base or None, "timeout": timeout}
+    try:
+        own = json.loads((params or "").strip() or "{}")
+    except ValueError:
+        own = {}
+    return options | {k: v for k, v in own.items() if k not in protected} if isinstance(own, dict) else options

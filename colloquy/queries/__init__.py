@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogs, records  # noqa: F401
+from . import dialogs, labels, records, runs  # noqa: F401
 from .base import QUERIES, SQL
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text, values, vocab
 from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics
 from ..sources import traces
-from .base import query, rounded, table
+from .base import SQL, query, rounded, table
+
 
 def dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, row_idx, turns, history of the conversations."""
@@ -93,7 +94,7 @@ def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.escape_html(F.col("html")).alias("safe"))
 
 
-@query()
+@query(f"SELECT page_id, replace(regexp_replace(safe, '(article|title|the)', '<mark>\\1</mark>', 'gi'), chr(10), '<br>') AS marked FROM ({SQL['html_escape']})")
 def html_highlight(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.highlight_html(F.col("html"), ["article", "title", "the"]).alias("marked"))
 
@@ -244,7 +245,9 @@ def pca_layout(spark, sf_dir):
     return cluster.layout_2d(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), "embedding"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT row_idx, cluster_id, embedding::DOUBLE[] AS v FROM {_CLUSTERED} JOIN embeddings ON vec_id = row_idx), d AS (SELECT cluster_id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM e WHERE cluster_id >= 0),
+    m AS (SELECT cluster_id, d, avg(x) AS m FROM d GROUP BY 1, 2), c AS (SELECT cluster_id, list(m ORDER BY d) AS c FROM m GROUP BY 1)
+    SELECT row_idx, arg_max(c.cluster_id, (list_cosine_similarity(v, c), -c.cluster_id)) AS cluster_id FROM e, c WHERE e.cluster_id = -1 GROUP BY row_idx""")
 def reassigned_noise(spark, sf_dir):
     return cluster.reassign_noise(_clustered(spark, sf_dir))
 
@@ -276,10 +279,27 @@ def _sample(d: DataFrame, lang: str) -> DataFrame:
     return d.where(F.col("lang") == lang).select(F.col("source").alias("goal"), (F.col("doc_id") % 7).alias("turns"), (F.col("doc_id") % 11 - 1).cast("int").alias("cluster_id"))
 
 
-@query()
+def _sample_sql(lang: str) -> str:
+    rows = f"(SELECT source AS goal, doc_id % 7 AS turns, (doc_id % 11 - 1)::INT AS cluster FROM documents WHERE lang = '{lang}')"
+    out = [f"SELECT 'n_dialogs' AS metric, count(*)::DOUBLE AS v FROM {rows}", f"SELECT 'n_turns', coalesce(sum(turns), 0)::DOUBLE FROM {rows}", f"SELECT 'mean_turns', avg(turns) FROM {rows}"]
+    for name, counts in (("goals", f"SELECT goal AS category, count(*) AS n FROM {rows} WHERE goal IS NOT NULL GROUP BY 1"), ("clusters", f"SELECT cluster AS category, count(*) AS n FROM {rows} WHERE cluster >= 0 GROUP BY 1")):
+        out.append(f"SELECT 'n_{name}', count(*)::DOUBLE FROM ({counts})")
+        for c in ("entropy", "gini", "max_min"):
+            out.append(f"SELECT '{name}_{c}', {c} FROM ({_DISTRIBUTION.format(name=name, q=counts)})")
+    return " UNION ALL ".join(out)
+
+
+def _covered(column: str, value: str, where: str) -> str:
+    kinds = lambda lang: f"(SELECT DISTINCT {value} AS c FROM documents WHERE lang = '{lang}' AND {where})"
+    return f"SELECT '{column}_coverage_pct' AS metric, NULL::DOUBLE AS baseline, (SELECT round(100.0::DOUBLE * count(b.c) / count(*), 9) FROM {kinds('en')} a LEFT JOIN {kinds('de')} b ON a.c = b.c) AS current, NULL::DOUBLE AS delta, '=' AS trend"
+
+
+@query(f"""WITH a AS ({_sample_sql('en')}), b AS ({_sample_sql('de')}), j AS (SELECT metric, round(a.v, 9) AS baseline, round(b.v, 9) AS current, round(b.v - a.v, 8) AS delta FROM a FULL JOIN b USING (metric))
+    SELECT metric, baseline, current, delta, CASE WHEN delta IS NULL OR delta = 0 THEN '=' WHEN (delta > 0) <> regexp_matches(metric, 'gini|max_min|cosine') THEN 'better' ELSE 'worse' END AS trend FROM j
+    UNION ALL {_covered('goal', 'source', 'source IS NOT NULL')} UNION ALL {_covered('cluster_id', '(doc_id % 11 - 1)', 'true')}""")
 def sample_comparison(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return metrics.compare_samples(_sample(d, "en"), _sample(d, "de"))
+    return rounded(metrics.compare_samples(_sample(d, "en"), _sample(d, "de")), "baseline", "current").withColumn("delta", F.round("delta", 8))
 
 
 @query("""SELECT level::INT AS level, label, source, n FROM (SELECT grouping(label, source) AS level, label, source, count(*) AS n FROM (SELECT lang AS label, substr(coalesce(source, ''), 1, 80) AS source FROM documents) GROUP BY GROUPING SETS ((label), (source), (label, source)))""")
@@ -412,12 +432,14 @@ def ordinal_agreement(spark, sf_dir):
     return r.withColumns({c: F.round(c, 7) for c in ("pearson", "spearman")})
 
 
-@query()
+@query(f"""WITH r AS (SELECT o_orderkey AS u, unnest([y1, y2]) AS v FROM ({_ORD.replace('SELECT ', 'SELECT o_orderkey, ', 1)})), k AS (SELECT u, v, count(*)::DOUBLE AS k, 2.0::DOUBLE AS m FROM r GROUP BY 1, 2),
+    o AS (SELECT a.v AS c, b.v AS d, sum(CASE WHEN a.v = b.v THEN a.k * (a.k - 1) ELSE a.k * b.k END / (a.m - 1)) AS o FROM k a JOIN k b USING (u) GROUP BY 1, 2), n AS (SELECT c, sum(o) AS n FROM o GROUP BY c), p AS (SELECT c, n, sum(n) OVER (ORDER BY c) - n / 2 AS mid FROM n)
+    SELECT round(1 - ((SELECT sum(o) FROM o) - 1) * (SELECT sum(o * (x.mid - y.mid) * (x.mid - y.mid)) FROM o JOIN p x ON x.c = o.c JOIN p y ON y.c = o.d) / (SELECT sum(x.n * y.n * (x.mid - y.mid) * (x.mid - y.mid)) FROM p x, p y), 9) AS alpha""")
 def krippendorff_ordinal(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     a = o.select(F.col("o_orderkey").alias("item_id"), F.lit("a").alias("rater"), F.substring("o_orderpriority", 1, 1).cast("int").alias("label"))
     b = o.select(F.col("o_orderkey").alias("item_id"), F.lit("b").alias("rater"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("label"))
-    return agreement.krippendorff(a.unionByName(b), "ordinal")
+    return rounded(agreement.krippendorff(a.unionByName(b), "ordinal"), "alpha")
 
 
 @query(f"""WITH c AS (SELECT quality AS y1, 1 - toxic AS y2 FROM labels), k AS (SELECT unnest([0, 1]) AS l), s AS (SELECT l, count(*) FILTER (WHERE y1 = l AND y2 = l)::DOUBLE AS tp, count(*) FILTER (WHERE y1 <> l AND y2 = l)::DOUBLE AS fp, count(*) FILTER (WHERE y1 = l AND y2 <> l)::DOUBLE AS fn, count(*) FILTER (WHERE y1 <> l AND y2 <> l)::DOUBLE AS tn FROM c, k GROUP BY l)
@@ -446,10 +468,14 @@ def bootstrap_ci_accuracy(spark, sf_dir):
     return rounded(bootstrap.bootstrap_mean(lab, "a"), "low", "high")
 
 
-@query()
+@query(f"""WITH v AS (SELECT quality AS y1, 1 - toxic AS y2, count(*) AS m FROM labels GROUP BY 1, 2), l AS (SELECT y1, y2, sum(m) OVER (ORDER BY y1, y2) AS hi, sum(m) OVER (ORDER BY y1, y2) - m AS lo FROM v), n AS (SELECT sum(m)::BIGINT AS n FROM v),
+    x0 AS (SELECT b, n, {_scrambled('42::BIGINT * 1000003 + b * 1566083941 + i * 1812433253')} AS x FROM n, (SELECT unnest(range(1000)) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i)),
+    d AS (SELECT b, (x >> 8) * n // 8388608 AS drawn FROM x0), a AS (SELECT b, count(*)::DOUBLE AS n, avg((y1 = y2)::INT) AS po, (sum(y1) * sum(y2) + sum(1 - y1) * sum(1 - y2))::DOUBLE / (count(*) * count(*)) AS pe FROM d JOIN l ON drawn >= lo AND drawn < hi GROUP BY b),
+    k AS (SELECT list(kappa ORDER BY kappa) AS s FROM (SELECT CASE WHEN pe >= 1 THEN CASE WHEN po >= 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END AS kappa FROM a))
+    SELECT len(s)::INT AS valid, round(s[floor(len(s) * (1 - 0.95::DOUBLE) / 2)::INT + 1], 9) AS low, round(s[least(len(s) - 1, floor(len(s) * (1 - (1 - 0.95::DOUBLE) / 2)))::INT + 1], 9) AS high FROM k""")
 def bootstrap_ci_kappa(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
-    return bootstrap.agreement_interval(lab, "quality", "clean")
+    return rounded(bootstrap.agreement_interval(lab, "quality", "clean"), "low", "high")
 
 
 @query(f"""WITH r AS (SELECT doc_id, quality, toxic, count(*) OVER w AS n, row_number() OVER (PARTITION BY quality, toxic ORDER BY {_order('doc_id')}, doc_id) AS k FROM labels WINDOW w AS (PARTITION BY quality, toxic))

@@ -1,8 +1,9 @@
 """Queued runs as a stream: an inbox of job files, processed in micro-batches.
 
 A job file names a run. A batch claims the run, scores its cases, appends results below
-``results/run_id=...`` and moves the run on. A batch that is run again finds the run no longer
-queued, so a restart neither repeats nor loses work; the stream's checkpoint acknowledges jobs.
+``results/run_id=...`` and moves the run on. The claim names the stream's batch, which keeps its
+number over a restart: a batch that is run again takes up the runs that it had claimed when it died
+and leaves alone those that it had finished. The stream's checkpoint acknowledges jobs.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ def publish(spark: SparkSession, inbox: str, run_id: str) -> None:
     spark.createDataFrame([(run_id,)], JOB).coalesce(1).write.mode("append").json(inbox)
 
 
-def process_run(catalog: Catalog, run_id: str, evaluate: Callable[[DataFrame], DataFrame], results: str) -> str:
+def process_run(catalog: Catalog, run_id: str, evaluate: Callable[[DataFrame], DataFrame], results: str, by: str = "") -> str:
     """Claim, evaluate and finish one run; returns its status."""
-    if not catalog.claim(run_id):
+    if not catalog.claim(run_id, by):
         now = catalog.run(run_id)
         return now.status if now else "missing"
     try:
@@ -50,7 +51,7 @@ def worker(spark: SparkSession, catalog: Catalog, inbox: str, results: str, chec
     """Process the inbox, one file at a time; with ``once`` until it is empty."""
     def batch(jobs: DataFrame, epoch: int) -> None:
         for row in jobs.select("run_id").distinct().collect():  # at most a file of job names
-            process_run(catalog, row.run_id, evaluate, results)
+            process_run(catalog, row.run_id, evaluate, results, f"{checkpoint}#{epoch}")
 
     stream = spark.readStream.schema(JOB).option("maxFilesPerTrigger", 1).json(inbox)
     out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

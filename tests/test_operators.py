@@ -239,7 +239,7 @@ def test_catalog_and_worker(spark, tmp_path):
     c.table("runs")
     stopped = jobs.new_run(c, inbox, lines, title="third")
     assert c.cancel(stopped) and not c.cancel(stopped)
-    c._update("runs", bad, input_key="nowhere")
+    assert c._move(bad, ("queued",), input_key="nowhere")
     jobs.worker(spark, c, inbox, str(tmp_path / "results"), str(tmp_path / "ck"), evaluate).awaitTermination()
     assert (c.run(good).status, c.run(good).avg_accuracy, c.run(good).progress_done) == ("completed", 0.5, 2)
     assert c.run(bad).status == "failed" and c.run(stopped).status == "cancelled"
@@ -251,7 +251,27 @@ def test_catalog_and_worker(spark, tmp_path):
     with pytest.raises(ValueError):
         c.save_preset(" ", "{}")
     s = c.save_sample("set", lines)
+    key = c.sample_by_name(" set ").data_key
     assert c.sample_by_name(" set ").id == s and c.sample_lines(s).count() == 2 and c.sample_lines("none") is None
+    assert c.delete("samples", s) and c.get_lines(key) is None
+
+
+def test_catalog_decides_again_when_another_writer_was_first(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    run = c.create_run()
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda k: Catalog(spark, c.root).claim(run, f"worker-{k}"), range(4)))
+    assert won.count(True) == 1
+    number, version = c._pointer("runs")
+    assert not c._point("runs", number, "late") and c._pointer("runs") == (number, version)
+    owner = c.run(run).claimed_by
+    assert c.claim(run, owner) and not c.claim(run, "someone else")  # only a restart of the same batch takes it up again
+    evaluate = lambda df: df.select(F.lit(1.0).alias("accuracy"))
+    c.put_lines(c.run(run).input_key, spark.createDataFrame([("{}",)], "value string"))
+    assert jobs.process_run(c, run, evaluate, str(tmp_path / "results"), "someone else") == "running"
+    assert jobs.process_run(c, run, evaluate, str(tmp_path / "results"), owner) == "completed"
 
 
 def test_plans(spark):
