@@ -1,15 +1,15 @@
-"""What the training-data operators share: tables in the shared folder, text units, filters."""
+"""What the training-data operators share: text units, filters, columns by name, bounded broadcasts."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialise, scratch, shared_dir, spread  # noqa: F401
+
 #: White space of the word and line contracts: space and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,42 +21,12 @@ _ODD_PAIR = re.compile(" [" + re.escape(_UNICODE_SPACE) + "]")
 _SAFE_CUT = re.compile(" (?=[^" + re.escape(_UNICODE_SPACE) + "])")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a local session uses its own temp folder and a cluster the
-    warehouse folder, which is shared by definition.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return f"file://{tempfile.gettempdir()}/colloquy-shared"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_colloquy"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it again.
-
-    This cuts the lineage with files that every executor can reach, so a lost executor costs a
-    re-read and never a recomputation of what came before.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), 20 << 20)
 
 
 def space_parts(text: str) -> list[str]:
