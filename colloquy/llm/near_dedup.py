@@ -12,14 +12,10 @@ Nothing is enumerated within a group:
 * in each band bucket the smallest class is the leader; a class is compared with one leader first,
   and the links found join classes into components; then with the leaders of its other buckets that
   are in other components, and then with one more member of the main component of its buckets;
-* only classes of buckets that still hold several components are looked at again, by prefixes of
-  their sets: with the rarest shingles first, two linked sets share one of the first
-  n - ceil(0.8 n) + 1. A shingle that only one of these classes has takes up a place of the prefix
-  and leads nowhere, so classes that share a boilerplate and differ in a fifth of their shingles
-  don't meet again. Where classes of several components share a prefix shingle, every one outside
-  the main component is compared with every one of another component, in blocks of bounded size to
-  which the sets, not the pairs, are dealt. So every candidate pair is compared, or lies in one
-  component already, or can't be linked.
+* only buckets that still hold several components are looked at again: there every member outside
+  the main component is compared with every member of another component, in blocks of bounded size
+  to which the sets, not the pairs, are dealt. So every candidate pair is compared or lies in one
+  component already.
 """
 
 from __future__ import annotations
@@ -29,7 +25,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_chars, checked_broadcast, id_bitmap, in_bitmap, materialise, pick, positional, small_batches
@@ -196,28 +192,6 @@ def _blocks(num: int, den: int):
     return group
 
 
-def _shingles(batches):
-    """Task: class, items -> a row per shingle with the size of its set."""
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("items")]
-        size = np.array([len(x) for x in sets], np.int64)
-        for i, j in by_chars([range(n) for n in size], 1 << 18):
-            part = size[i:j]
-            owner = pa.array(np.repeat(np.arange(i, j), part))
-            yield pa.record_batch([batch.column("class").take(owner), pa.array(np.repeat(part, part)), pa.array(np.concatenate(sets[i:j]))], names=["class", "size", "shingle"])
-
-
-def prefix_members(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """bucket (a shingle), class: the classes of ``open_`` by the shared shingles of their prefixes, the rarest first."""
-    owned = materialise(open_.select("class").distinct().join(sets.dropDuplicates(["class"]), "class").select("class", "items"), "near-owned")
-    rows = owned.mapInArrow(_shingles, "class binary, size long, shingle long")
-    shared_by = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    own = Window.partitionBy("class")
-    hits = rows.join(shared_by, "shingle").withColumn("k", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("shared", F.count("*").over(own))
-    prefix = F.expr(f"size - (size * {num} + {den - 1}) div {den} + 1")
-    return hits.where(F.col("k") <= prefix - (F.col("size") - F.col("shared"))).select(F.col("shingle").alias("bucket"), "class")
-
-
 def block_links(open_: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Links (a, b) within the buckets of ``open_`` (bucket, class, label, main, x_blocks, y_blocks).
 
@@ -264,7 +238,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     linked = F.expr(f"common * {den} >= whole * {num}")
     labels = components(led.where(linked), "near-stars")
 
-    def placed(members: DataFrame) -> DataFrame:
+    def placed() -> DataFrame:
         """Members of buckets that hold several labels, with their label and the bucket's main one."""
         own = labels.select(F.col("node").alias("class"), "label")
         rows = materialise(members.join(own, "class", "left").withColumn("label", F.coalesce("label", "class")), "near-placed")
@@ -277,13 +251,13 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
         return relabelled(labels, materialise(compare(pairs, sets).where(linked), f"{name}-links"), name)
 
-    open_ = placed(members)
+    open_ = placed()
     own = labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
     apart = open_.join(own, "leader", "left").where(F.col("label") != F.coalesce("leader_label", "leader"))
     labels = join_pairs(apart.select(F.col("class").alias("a"), F.col("leader").alias("b")), "near-leaders")
-    open_ = placed(members)
+    open_ = placed()
     labels = join_pairs(open_.where("label <> main").select(F.col("class").alias("a"), F.col("pivot").alias("b")), "near-pivots")
-    open_ = placed(prefix_members(placed(members), sets, num, den))
+    open_ = placed()
     labels = relabelled(labels, materialise(block_links(open_, sets, num, den, block), "near-blocks"), "near-all")
 
     named = classes.select("class", "first", "docs").join(labels.select(F.col("node").alias("class"), "label"), "class", "left")
