@@ -164,7 +164,7 @@ class MatrixBPE:
 class TextEncoder:
     """Whole texts to ids; a unit between spaces is encoded once while it is remembered."""
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 250_000):
         import regex
 
         self.bpe, self.find, self.most = MatrixBPE(load_ranks(path)), regex.compile(pattern).findall, most
@@ -216,7 +216,7 @@ def _encode(path: str, pattern: str, keep_ids: bool):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             n, a, b, kept = [], [], [], []
-            for i, j in by_chars(texts, 1 << 20):
+            for i, j in by_chars(texts, 1 << 19):
                 for coded in encoder(texts[i:j]):
                     own = coded.tolist()
                     n.append(len(own))

@@ -244,7 +244,7 @@ def _verify(batches):
         yield pa.record_batch([pa.array([d for d, _ in got], pa.binary()), pa.array([x for _, x in got], pa.binary())], names=["digest", "data"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, memtable_bytes: int = 64 << 20, memtable_entries: int = 50_000, shard_entries: int = 400_000) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, memtable_bytes: int = 32 << 20, memtable_entries: int = 50_000, shard_entries: int = 400_000) -> DataFrame:
     """One row per document: doc_id, run, seq, keep_id, group_size, kept, digest.
 
     Texts are equal when identical after each run of white space became one space; null counts as

@@ -142,7 +142,7 @@ def _predict(model: Model):
         columns, z = model.prepared() if model.languages else (None, None)
         for batch in batches:
             texts, langs, scores = batch.column("text").to_pylist(), [], []
-            for i, j in by_chars(texts, 1 << 20):
+            for i, j in by_chars(texts, 1 << 19):
                 part = texts[i:j]
                 known = [k for k, t in enumerate(part) if t and model.languages and any(map(str.isalpha, t))]
                 own, own_scores = [UNKNOWN] * len(part), [0.0] * len(part)

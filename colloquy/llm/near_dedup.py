@@ -67,7 +67,7 @@ def _sign(shingle: int, hashes: int, rows: int):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             n, cls, bands = [], [], []
-            for i, j in by_chars(texts, 1 << 20):
+            for i, j in by_chars(texts, 1 << 19):
                 for items in shingle_sets(texts[i:j], shingle):
                     n.append(len(items))
                     key = class_of(items) if len(items) else None
@@ -92,7 +92,7 @@ def _sets(shingle: int, bitmap: np.ndarray):
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy(zero_copy_only=False))))
             texts, cls, sets = batch.column(1).to_pylist(), [], []
-            for i, j in by_chars(texts, 1 << 20):
+            for i, j in by_chars(texts, 1 << 19):
                 for items in shingle_sets(texts[i:j], shingle):
                     key = class_of(items)
                     if len(items) and key not in known:
