@@ -13,14 +13,15 @@ Nothing is enumerated within a group:
   and the links found join classes into components; then with the leaders of its other buckets that
   are in other components, and then with one more member of the main component of its buckets;
 * only buckets that still hold several components are looked at again: there every member outside
-  the main component is compared with every member of another component, in blocks of bounded size
-  to which the sets, not the pairs, are dealt. So every candidate pair is compared or lies in one
-  component already.
+  the main component is compared with every member of another component whose set is of a size that
+  the similarity allows, in blocks of bounded size to which the sets, not the pairs, are dealt. So
+  every candidate pair is compared, differs too much in size or lies in one component already.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -193,21 +194,36 @@ def _blocks(num: int, den: int):
 
 
 def block_links(open_: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links (a, b) within the buckets of ``open_`` (bucket, class, label, main, x_blocks, y_blocks).
+    """Links (a, b) within the buckets of ``open_`` (bucket, class, size, label, main, wide).
 
     Members outside the main component stand as x, all as y; x blocks and y blocks of a bucket meet
-    in one group each, so a group holds about two blocks whatever the size of its bucket.
+    in one group each, so a group holds about two blocks whatever the size of its bucket. Linked sets
+    differ in size by a factor of den / num at most. So a wide bucket, one of more than a block, is cut
+    into bands of that factor, in which an x meets the y of its own band and of the two beside it,
+    and a y goes nowhere that no x of a fitting size stands.
     """
+    step = math.log(max(den / num, 1.05)) * (1 + 1e-9)  # a little wide, so that rounding parts no pair
+    band = F.when(F.col("wide"), F.floor(F.log("size") / step)).otherwise(F.lit(0)).cast("long")
+    rows = materialise(open_.select("bucket", "class", "size", "label", (F.col("label") != F.col("main")).alias("stray"), "wide", band.alias("band")), "near-bands")
+    beside = F.explode(F.when(F.col("wide"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band")))
+    x = rows.where("stray").select("bucket", "band", "class", "label", "size")
+    y = rows.select("bucket", "class", "label", "size", beside.alias("band"))
+    strays = x.groupBy("bucket", "band").agg(F.count("*").alias("n_x"), F.min("size").alias("least"), F.max("size").alias("most"))
+    y = materialise(y.join(strays, ["bucket", "band"]).where(f"size * {den} >= least * {num} and size * {num} <= most * {den}").drop("least", "most", "size"), "near-fitting")
+    # strays are y as well, so a band of one label has nothing to join
+    cells = y.groupBy("bucket", "band").agg(F.ceil(F.max("n_x") / block).alias("x_blocks"), F.ceil(F.count("*") / block).alias("y_blocks"), (F.min("label") < F.max("label")).alias("several"))
+    cells = materialise(cells.where("several").drop("several"), "near-cells")
+
     def nth(n):
         return F.pmod(F.xxhash64("class", F.lit(n)), F.col(n)).cast("int")
 
     def upto(n):
         return F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
 
-    full = open_.join(sets.dropDuplicates(["class"]), "class")
-    x = full.where("label <> main").select("bucket", nth("x_blocks").alias("i"), upto("y_blocks").alias("j"), F.lit(True).alias("stray"), "class", "label", "items")
-    y = full.select("bucket", upto("x_blocks").alias("i"), nth("y_blocks").alias("j"), F.lit(False).alias("stray"), "class", "label", "items")
-    return x.unionByName(y).groupBy("bucket", "i", "j").applyInArrow(_blocks(num, den), "a binary, b binary")
+    x = x.join(cells, ["bucket", "band"]).select("bucket", "band", nth("x_blocks").alias("i"), upto("y_blocks").alias("j"), F.lit(True).alias("stray"), "class", "label")
+    y = y.join(cells, ["bucket", "band"]).select("bucket", "band", upto("x_blocks").alias("i"), nth("y_blocks").alias("j"), F.lit(False).alias("stray"), "class", "label")
+    full = x.unionByName(y).join(sets.dropDuplicates(["class"]), "class")
+    return full.groupBy("bucket", "band", "i", "j").applyInArrow(_blocks(num, den), "a binary, b binary")
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, hashes: int, rows: int, block: int) -> DataFrame:
@@ -222,11 +238,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     row_key = F.coalesce("doc_id", "tie")
     signed = materialise(src.mapInArrow(_sign(shingle, hashes, rows), _SET_SCHEMA), "near-signed")
     has = signed.where("class is not null")
-    classes = materialise(has.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "tie")).alias("first"), F.min(row_key).alias("row_key"), F.count("*").alias("docs"), F.max("bands").alias("bands")), "near-classes")
+    classes = materialise(has.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "tie")).alias("first"), F.min(row_key).alias("row_key"), F.count("*").alias("docs"), F.max("n_shingles").alias("size"), F.max("bands").alias("bands")), "near-classes")
 
     count = 2 * hashes // rows
     key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(F.col("bands"), i * 8 + 1, F.lit(8))))
-    spread = classes.select("class", key.alias("bucket"))
+    spread = classes.select("class", "size", key.alias("bucket"))
     buckets = materialise(spread.groupBy("bucket").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader"), "near-buckets")
     members = materialise(spread.join(buckets, "bucket"), "near-members")
 
@@ -243,8 +259,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
         own = labels.select(F.col("node").alias("class"), "label")
         rows = materialise(members.join(own, "class", "left").withColumn("label", F.coalesce("label", "class")), "near-placed")
         per = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max_by("class", F.xxhash64("class", "bucket")).alias("pivot")).groupBy("bucket")
-        per = per.agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("m"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.max("n").alias("n_main")).where("labels > 1")
-        per = materialise(per.select("bucket", F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot"), F.ceil(F.col("n") / block).alias("y_blocks"), F.ceil((F.col("n") - F.col("n_main")) / block).alias("x_blocks")), "near-mixed")
+        per = per.agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("m"), F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1")
+        per = materialise(per.select("bucket", F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot"), (F.col("n") > block).alias("wide")), "near-mixed")
         return materialise(rows.join(per, "bucket"), "near-open")
 
     def join_pairs(pairs: DataFrame, name: str) -> DataFrame:

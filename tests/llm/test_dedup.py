@@ -135,6 +135,29 @@ def test_one_large_family_in_blocks(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_components(list(range(300)), brute_sets(texts, 2))
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_blocks_join_what_all_pairs_join(spark, block):
+    """One bucket of sets of many sizes, each a component of its own: blocks by size lose no link."""
+    rng = random.Random(5)
+    sets = [sorted({(a * 1000 + k) << 20 for k in range(n)} | {(1 << 50) + rng.randrange(1 << 20) for _ in range(extra)}) for a in (1, 2) for n in (4, 5, 8, 10, 16, 20, 25, 40, 50, 61) for extra in (0, 0, 1, 3)]
+    sets = [list(x) for x in sorted(set(map(tuple, sets)))]
+    names = [bytes([i]) for i in range(len(sets))]
+    told = spark.createDataFrame([(b"k", c, len(x), c, names[0], len(sets) > block) for c, x in zip(names, sets)], "bucket binary, class binary, size long, label binary, main binary, wide boolean")
+    stored = spark.createDataFrame([(c, np.array(x, np.uint64).tobytes()) for c, x in zip(names, sets)], "class binary, items binary")
+
+    def groups(links):
+        root = {c: c for c in names}
+        for a, b in links:
+            a, b = root[a], root[b]
+            root = {c: min(a, b) if r in (a, b) else r for c, r in root.items()}
+        return root
+
+    linked = [(a, b) for a, x in zip(names, sets) for b, y in zip(names, sets) if a < b and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})]
+    found = [(bytes(r.a), bytes(r.b)) for r in near_dedup.block_links(told, stored, 4, 5, block).collect()]
+    assert all((min(p), max(p)) in linked for p in found)
+    assert groups(found) == groups(linked) and len(set(groups(linked).values())) < len(sets)
+
+
 def test_near_dedup_of_odd_tables(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(odd_docs).collect()}
     assert {(2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True), (7, 6, False), (None, 10, True)} <= got
