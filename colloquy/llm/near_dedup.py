@@ -208,7 +208,8 @@ def block_links(open_: DataFrame, sets: DataFrame, num: int, den: int, block: in
     beside = F.explode(F.when(F.col("wide"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band")))
     x = rows.where("stray").select("bucket", "band", "class", "label", "size")
     y = rows.select("bucket", "class", "label", "size", beside.alias("band"))
-    strays = x.groupBy("bucket", "band").agg(F.count("*").alias("n_x"), F.min("size").alias("least"), F.max("size").alias("most"))
+    # written, so that its size is known and a bucket with many members can be split in the join
+    strays = materialise(x.groupBy("bucket", "band").agg(F.count("*").alias("n_x"), F.min("size").alias("least"), F.max("size").alias("most")), "near-strays")
     y = materialise(y.join(strays, ["bucket", "band"]).where(f"size * {den} >= least * {num} and size * {num} <= most * {den}").drop("least", "most", "size"), "near-fitting")
     # strays are y as well, so a band of one label has nothing to join
     cells = y.groupBy("bucket", "band").agg(F.ceil(F.max("n_x") / block).alias("x_blocks"), F.ceil(F.count("*") / block).alias("y_blocks"), (F.min("label") < F.max("label")).alias("several"))
