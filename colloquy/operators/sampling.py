@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..shared import materialise
 from .ranks import rank_within
 
-
 MOD = 2**31
 
 
@@ -50,32 +50,41 @@ def split_marginals(items: DataFrame, criteria: list[str]) -> DataFrame:
     return long.groupBy("criterion", "value", "split").agg(F.count("*").alias("n"))
 
 
-def _mmr(lambda_: float, limit: int, key: str):
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        if len(pdf) <= limit:
-            return pdf.assign(pick=np.arange(len(pdf)))[[key, "cluster_id", "pick"]]
-        u = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        norm = np.linalg.norm(u, axis=1, keepdims=True)
-        u = u / np.where(norm > 0, norm, 1)
-        centre = u.mean(axis=0)
-        central = u @ (centre / (np.linalg.norm(centre) or 1))
-        picked, near = [int(central.argmax())], u @ u[int(central.argmax())]
-        while len(picked) < limit:  # one product per pick, never the square of the group
-            score = lambda_ * central - (1 - lambda_) * near
-            score[picked] = -np.inf
-            picked.append(int(score.argmax()))
-            near = np.maximum(near, u @ u[picked[-1]])
-        return pdf.iloc[picked].assign(pick=range(len(picked)))[[key, "cluster_id", "pick"]]
-
-    return group
-
-
 def mmr_select(records: DataFrame, limit: int, lambda_: float = 0.6, key: str = "row_idx") -> DataFrame:
-    """Per cluster the rows of maximal marginal relevance: key, cluster_id, pick (order of choice)."""
-    rows = records.where("embedding is not null").select(key, "cluster_id", "embedding")
-    kind = records.schema[key].dataType.simpleString()
-    return rows.groupBy("cluster_id").applyInPandas(_mmr(lambda_, limit, key), f"{key} {kind}, cluster_id int, pick int")
+    """Per cluster the rows of maximal marginal relevance: key, cluster_id, pick (order of choice).
+
+    The first pick is the row most like the cluster's centre; each further one has the largest
+    ``lambda_`` times its likeness to the centre less ``1 - lambda_`` times its likeness to the
+    nearest pick; the smallest key wins a tie. A cluster of no more than ``limit`` rows is taken whole,
+    in order of key. One round of aggregation per pick serves all clusters, so no cluster is bound to
+    one task. Zero vectors are like nothing; rows without an embedding or a cluster are never taken.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from .metrics import dot, unit
+
+    u = F.coalesce(unit(F.col("embedding")), F.transform("embedding", lambda x: F.lit(0.0)))
+    rows = records.where("embedding is not null and cluster_id is not null").select(key, "cluster_id", u.alias("u"))
+    centre = vector_to_array(Summarizer.mean(F.col("v")))
+    per = rows.withColumn("v", array_to_vector("u")).groupBy("cluster_id").agg(F.count("*").alias("n"), centre.alias("centre"))
+    placed = rows.join(materialise(per, "mmr-centres"), "cluster_id")
+    order = Window.partitionBy("cluster_id").orderBy(key)  # over at most ``limit`` rows
+    few = placed.where(F.col("n") <= limit).select(key, "cluster_id", (F.row_number().over(order) - 1).alias("pick"))
+    central = F.coalesce(dot(F.col("u"), unit(F.col("centre"))), F.lit(0.0))
+    many = materialise(placed.where(F.col("n") > limit).select(key, "cluster_id", "u", central.alias("central")), "mmr-rows")
+
+    picks = []
+    for k in range(limit):
+        free, score = many, F.col("central")
+        if picks:
+            taken = reduce(DataFrame.unionByName, picks).groupBy("cluster_id").agg(F.collect_list(F.struct(key, "u")).alias("p"))  # k of them
+            free = many.join(taken, "cluster_id").where(~F.array_contains(F.col(f"p.{key}"), F.col(key)))
+            near = F.array_max(F.transform("p.u", lambda w: dot(F.col("u"), w)))
+            score = lambda_ * F.col("central") - (1 - lambda_) * near
+        best = free.groupBy("cluster_id").agg(F.min(F.struct((-score).alias("s"), F.col(key))).alias("best")).select("cluster_id", F.col(f"best.{key}").alias(key))
+        picks.append(materialise(many.join(best, ["cluster_id", key]).select(key, "cluster_id", "u", F.lit(k).alias("pick")), "mmr-picks"))
+    return reduce(DataFrame.unionByName, [p.drop("u") for p in picks], few)
 
 
 def balanced_sample(records: DataFrame, per_cluster: int = 3, per_noise_label: int = 1, include_noise: bool = True, total: int | None = None, seed: int = 42, method: str = "random", key: str = "row_idx", lambda_: float = 0.6) -> DataFrame:

@@ -155,12 +155,30 @@ def test_spanning_tree_is_minimal():
     assert cluster.spanning_tree(x, 3)[:, 2].sum() == pytest.approx(total)
 
 
-def test_mmr_starts_central_and_grows(spark):
+def brute_mmr(x, limit, share):
+    """Row numbers of one cluster in order of choice."""
+    if len(x) <= limit:
+        return list(range(len(x)))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(norm > 0, norm, 1)
+    centre = u.mean(axis=0) / np.linalg.norm(u.mean(axis=0))
+    picked = [max(range(len(x)), key=lambda i: u[i] @ centre)]
+    while len(picked) < limit:
+        free = [i for i in range(len(x)) if i not in picked]
+        picked.append(max(free, key=lambda i: share * (u[i] @ centre) - (1 - share) * max(u[i] @ u[j] for j in picked)))
+    return picked
+
+
+@pytest.mark.parametrize("limit, share", [(1, 0.6), (3, 0.6), (6, 0.2)])
+def test_mmr_against_brute_force(spark, limit, share):
     rng = np.random.default_rng(8)
-    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 6)))], "row_idx long, cluster_id int, embedding array<double>")
-    three = {r.row_idx for r in sampling.mmr_select(df, 3).collect()}
-    five = {r.row_idx for r in sampling.mmr_select(df, 5).collect()}
-    assert three < five and len(five) == 5
+    groups = {0: rng.normal(size=(30, 6)), 1: rng.normal(size=(3, 6)) + 1, 2: rng.normal(size=(12, 6)) + 2}
+    groups[2][4] = 0.0
+    rows = [(100 * c + i, c, v.tolist()) for c, x in groups.items() for i, v in enumerate(x)] + [(500, 0, None), (501, None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "row_idx long, cluster_id int, embedding array<double>")
+    want = {(c, k, 100 * c + i) for c, x in groups.items() for k, i in enumerate(brute_mmr(x, limit, share))}
+    assert {(r.cluster_id, r.pick, r.row_idx) for r in sampling.mmr_select(df, limit, share).collect()} == want
+    assert sampling.mmr_select(df.limit(0), limit).count() == 0
 
 
 def test_term_filter(spark):
