@@ -65,14 +65,14 @@ def mmr_select(records: DataFrame, limit: int, lambda_: float = 0.6, key: str =
     from .metrics import dot, unit
 
     u = F.coalesce(unit(F.col("embedding")), F.transform("embedding", lambda x: F.lit(0.0)))
-    rows = records.where("embedding is not null and cluster_id is not null").select(key, "cluster_id", u.alias("u"))
+    rows = materialise(records.where("embedding is not null and cluster_id is not null").select(key, "cluster_id", u.alias("u")), "mmr-rows")
     centre = vector_to_array(Summarizer.mean(F.col("v")))
     per = rows.withColumn("v", array_to_vector("u")).groupBy("cluster_id").agg(F.count("*").alias("n"), centre.alias("centre"))
     placed = rows.join(materialise(per, "mmr-centres"), "cluster_id")
     order = Window.partitionBy("cluster_id").orderBy(key)  # over at most ``limit`` rows
     few = placed.where(F.col("n") <= limit).select(key, "cluster_id", (F.row_number().over(order) - 1).alias("pick"))
     central = F.coalesce(dot(F.col("u"), unit(F.col("centre"))), F.lit(0.0))
-    many = materialise(placed.where(F.col("n") > limit).select(key, "cluster_id", "u", central.alias("central")), "mmr-rows")
+    many = placed.where(F.col("n") > limit).select(key, "cluster_id", "u", central.alias("central"))
 
     picks = []
     for k in range(limit):
@@ -83,7 +83,7 @@ def mmr_select(records: DataFrame, limit: int, lambda_: float = 0.6, key: str =
             near = F.array_max(F.transform("p.u", lambda w: dot(F.col("u"), w)))
             score = lambda_ * F.col("central") - (1 - lambda_) * near
         best = free.groupBy("cluster_id").agg(F.min(F.struct((-score).alias("s"), F.col(key))).alias("best")).select("cluster_id", F.col(f"best.{key}").alias(key))
-        picks.append(materialise(many.join(best, ["cluster_id", key]).select(key, "cluster_id", "u", F.lit(k).alias("pick")), "mmr-picks"))
+        picks.append(materialise(rows.join(best, ["cluster_id", key]).select(key, "cluster_id", "u", F.lit(k).alias("pick")), "mmr-picks"))
     return reduce(DataFrame.unionByName, [p.drop("u") for p in picks], few)
 
 
