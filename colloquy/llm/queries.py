@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, line_dedup, mixing, token_planes, url_rules, warc
+from . import bpe, divergence, fingerprint, importance, langid, line_dedup, mixing, token_planes, url_rules, warc
 from .common import read_table, scratch
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
@@ -76,12 +76,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_url_rules, op3_warc, op4_systematic_mixing, op5_line_winnowing, op6_byte_bpe, op7_string_kernels, op8_minhash_near_dedup, op9_bottom_k, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_planes, op2_url_rules, op3_warc, op4_systematic_mixing, op5_line_winnowing, op6_byte_bpe, op7_string_kernels, op8_minhash_near_dedup, op9_bottom_k, op10_exact_dedup, op12_source_divergence, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
     import random
+    import zlib
 
     rules = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in URL_RULES)
     return {
@@ -113,4 +122,41 @@ def oracle_sql() -> dict[str, str]:
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+        "op12_source_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+            w AS (SELECT row_no, lang, source, unnest(words) AS term FROM d),
+            t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row_no) AS docs FROM w GROUP BY ALL),
+            l AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL HAVING sum(docs) >= 30),
+            k AS (SELECT lang, source, term, t.n FROM t JOIN l USING (lang, term)),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            gs AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN k ON g.lang = k.lang AND g.source = k.source GROUP BY ALL),
+            ls AS (SELECT lang, count(*) AS v, sum(n) AS total FROM l GROUP BY ALL),
+            p AS (SELECT lang, source, term, coalesce(k.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(k.n, 0) + 5)::HUGEINT) // (gs.total + 5 * v)::HUGEINT AS p FROM gs JOIN ls USING (lang) JOIN l USING (lang) LEFT JOIN k USING (lang, source, term)),
+            q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS q FROM l JOIN ls USING (lang)),
+            pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM gs a JOIN gs b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+            over_ AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+            SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+            UNION ALL SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS r FROM over_ QUALIFY r <= 50""",
+        "op13_importance_resampling": rf"""
+            WITH crc AS (SELECT {[zlib.crc32(bytes([i ^ 255])) ^ 0xFF000000 for i in range(256)]} AS step),
+            w AS (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+            b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+            f AS (SELECT row_no, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM w),
+            e AS (SELECT unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM b),
+            x AS (SELECT feature, hex(encode(feature)) AS digits FROM (SELECT DISTINCT feature FROM f UNION SELECT DISTINCT feature FROM e)),
+            y AS (SELECT feature, list_reduce(list_transform(range(len(digits) // 2), lambda i: CAST('0x' || substr(digits, CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+                lambda c, v: xor(c >> 8, step[CAST((xor(c, v) & 255) + 1 AS INT)]), 4294967295::BIGINT) AS c FROM x, crc),
+            h AS (SELECT feature, xor(c, 4294967295::BIGINT) % 10000 AS bucket FROM y),
+            s AS (SELECT bucket, count(*) AS s FROM f JOIN h USING (feature) GROUP BY bucket),
+            t AS (SELECT bucket, count(*) AS t FROM e JOIN h USING (feature) GROUP BY bucket),
+            z AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000 AS of_raw, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000 AS of_target),
+            gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * of_raw / ((s + 1.0::DOUBLE) * of_target)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), z),
+            m AS (SELECT row_no, count(*) AS n, sum(gain)::BIGINT AS gain FROM f JOIN h USING (feature) JOIN gain USING (bucket) GROUP BY row_no),
+            r AS (SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END AS weight,
+                CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (row_no)),
+            c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+            k AS (SELECT *, count_if(n_words >= 20) OVER () AS able, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS k FROM c)
+            SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score, CASE WHEN k <= 25 * able // 100 THEN k END AS rank FROM k""",
     }
