@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, fingerprint, importance, langid, line_dedup, mixing, token_planes, url_rules, warc
+from . import bpe, divergence, fingerprint, importance, langid, line_dedup, mixing, packing, token_planes, url_rules, warc
 from .common import read_table, scratch
 from .exact_dedup import exact_groups
 from .near_dedup import near_groups
@@ -76,6 +76,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(read_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
 
@@ -85,7 +89,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_planes, op2_url_rules, op3_warc, op4_systematic_mixing, op5_line_winnowing, op6_byte_bpe, op7_string_kernels, op8_minhash_near_dedup, op9_bottom_k, op10_exact_dedup, op12_source_divergence, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_token_planes, op2_url_rules, op3_warc, op4_systematic_mixing, op5_line_winnowing, op6_byte_bpe, op7_string_kernels, op8_minhash_near_dedup, op9_bottom_k, op10_exact_dedup, op11_packing, op12_source_divergence, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
