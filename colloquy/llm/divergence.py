@@ -83,7 +83,7 @@ def _tile(top: int, tile: int, most_cells: int = 1 << 22):
     """One block of one pair of tiles -> partial pair sums (i, j, value) and the heap of each source (i, term, value)."""
 
     def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        lang, _, a, b = (k.as_py() for k in key)
+        lang, number, a, b = (k.as_py() for k in key)
         rows = rows.combine_chunks()
         head = rows["term"].is_null().to_numpy()
         src, n, lang_n = (rows[c].to_numpy() for c in ("src", "n", "lang_n"))
@@ -99,11 +99,15 @@ def _tile(top: int, tile: int, most_cells: int = 1 << 22):
         total[at] = lang_n[~head]
         out = {"i": [], "j": [], "term": [], "value": []}
         p = share(count, size[:, None], kept) if len(terms) else count
+        # a kept term that neither tile has isn't a column: its difference, that of no occurrence, is
+        # added for all kept terms once, in block 0, and taken off again for each column
+        none = share(np.zeros(len(own), np.int64), size, kept) if kept else np.zeros(len(own), np.int64)
+        unseen = (kept if number == 0 else 0) - len(terms)
         left, right = np.flatnonzero(own // tile == a), np.flatnonzero(own // tile == b)
         step = max(1, most_cells // max(1, len(right) * len(terms)))
         for at in range(0, len(left), step):
             i = left[at : at + step]
-            sums = np.abs(p[i][:, None, :] - p[right][None, :, :]).sum(axis=2)
+            sums = np.abs(p[i][:, None, :] - p[right][None, :, :]).sum(axis=2) + unseen * np.abs(none[i][:, None] - none[right][None, :])
             x, y = np.nonzero(i[:, None] < right[None, :])
             out["i"] += own[i[x]].tolist()
             out["j"] += own[right[y]].tolist()
