@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vector_index
 from .metrics import dot, unit
 
 
@@ -20,12 +21,8 @@ def top_k(corpus: DataFrame, query: list[float], k: int = 10, least: float = 0.0
 
 
 def top_k_many(corpus: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, similarity, rank for a stated set of queries (query_id, embedding) against all rows."""
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q")).where("q is not null")
-    c = corpus.select(key, unit(F.col(vector)).alias("u")).where("u is not null")
-    sims = c.join(q, F.col(key) != F.col("query_id")).select("query_id", key, dot(F.col("u"), F.col("q")).alias("similarity")).where(F.col("similarity") >= least)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), key))
-    return sims.withColumn("rank", rank).where(F.col("rank") <= k)
+    """query_id, key, similarity, rank for a stated set of queries (query_id, embedding) against all rows, exactly."""
+    return vector_index.search_exact(corpus, queries, k, least, key, vector)
 
 
 def distance_diagnostics(vectors: DataFrame, order: str = "row_idx", first: int = 100, vector: str = "embedding") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, values, vocab
-from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics
+from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics, vector_index
+from ..shared import scratch
 from ..sources import traces
 from .base import SQL, query, rounded, table
 
@@ -163,6 +164,33 @@ def similar_topk(spark, sf_dir):
     return similarity.top_k_many(e, asked).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT q.vec_id AS query_id, c.vec_id, round(similarity, 9) AS similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS cid, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id AND list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) >= 0 WHERE q.vec_id % 100 = 0) r JOIN embeddings q ON q.vec_id = qid JOIN embeddings c ON c.vec_id = cid WHERE rank <= 10")
+def indexed_topk_exact(spark, sf_dir):
+    """The index written once and asked in its exact mode: all cells, all rows by their full vectors."""
+    found = vector_index.search_index(spark, _written_index(spark, sf_dir), _asked(spark, sf_dir), 10, probe=None)
+    return found.select("query_id", "vec_id", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def indexed_topk_recall(spark, sf_dir):
+    """Whether the index, asked by a few cells and by codes first, finds nine of ten of the exact neighbours of rows whose id 100 divides."""
+    path, asked = _written_index(spark, sf_dir), _asked(spark, sf_dir)
+    near = vector_index.search_index(spark, path, asked, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    exact = vector_index.search_index(spark, path, asked, 10, probe=None)
+    hits = exact.join(near, ["query_id", "vec_id"], "left").agg(F.count("hit").alias("hits"), F.count("*").alias("wanted"))
+    return asked.agg(F.count("*").alias("queries")).crossJoin(F.broadcast(hits)).select("queries", (F.col("hits") >= 0.9 * F.col("wanted")).alias("recalled"))
+
+
+def _written_index(spark, sf_dir) -> str:
+    path = scratch(spark, "vector-index")
+    vector_index.write_index(table(spark, sf_dir, "embeddings"), path, rows_per_cell=250)
+    return path
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 _UNIT = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)"
 _DIMS = "(SELECT {by} generate_subscripts(u, 1) AS d, unnest(u) AS x FROM " + _UNIT + ")"
 
