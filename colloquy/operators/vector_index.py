@@ -70,8 +70,12 @@ def centroids(vectors: DataFrame, rows: int, key: str, vector: str = "embedding"
 
 
 def _nearest_cells(x: np.ndarray, c: np.ndarray, nearest: int) -> np.ndarray:
+    """The ``nearest`` cells of each row, the nearest one first."""
     s = x @ c.T
-    return s.argmax(axis=1)[:, None] if nearest == 1 else np.argpartition(-s, nearest - 1, axis=1)[:, :nearest] if nearest < len(c) else np.broadcast_to(np.arange(len(c)), s.shape)
+    if nearest == 1:
+        return s.argmax(axis=1)[:, None]
+    found = np.argpartition(-s, nearest - 1, axis=1)[:, :nearest] if nearest < len(c) else np.broadcast_to(np.arange(len(c)), s.shape)
+    return np.take_along_axis(found, np.argsort(-np.take_along_axis(s, found, axis=1), axis=1, kind="stable"), axis=1)
 
 
 def placed(vectors: DataFrame, c: np.ndarray, nearest: int, key: str, vector: str = "embedding", keep: list[str] | None = None) -> DataFrame:
@@ -111,6 +115,7 @@ def meet(residents: DataFrame, visitors: DataFrame, cells: DataFrame, resident_k
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = residents.join(bound, "cell").withColumn("block", part(resident_key, "blocks")).withColumn("chunk", every("chunks")).drop("blocks", "chunks")
     right = visitors.join(bound, "cell").withColumn("chunk", part(visitor_key, "chunks")).withColumn("block", every("blocks")).drop("blocks", "chunks")
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from one table
     group = ["cell", "block", "chunk"]
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(work, schema)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import cluster_text, for_embedding, goals_text, template, transcript, validate_field
-from ..operators import agreement, cluster, dedup, metrics, scoring, topics
+from ..operators import agreement, cluster, dedup, density, metrics, scoring, topics
 from ..shared import materialise
 from .providers import Embedder, Judge, ask, embed
 
@@ -38,7 +38,7 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
         removed = removed.unionByName(gone.select("row_idx", "kept_idx", F.lit("semantic").alias("reason"), "similarity"))
         rows = rows.join(gone.select("row_idx"), "row_idx", "left_anti")
     rows = cluster.reduced(rows, components) if components is not None else rows
-    rows = materialise(cluster.density_clusters(rows, min_cluster_size, min_samples), "clustered")
+    rows = materialise(density.density_clusters(rows, min_cluster_size, min_samples), "clustered")
     if outliers:
         near = cluster.reassign_noise(rows).withColumnRenamed("cluster_id", "near")
         rows = rows.join(near, "row_idx", "left").withColumn("cluster_id", F.coalesce("near", "cluster_id")).drop("near")

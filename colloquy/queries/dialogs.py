@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, values, vocab
-from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics, vector_index
+from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, density, metrics, sampling, scoring, similarity, timing, topics, vector_index
 from ..shared import scratch
 from ..sources import traces
 from .base import SQL, query, rounded, table
@@ -265,7 +265,7 @@ def random_sample(spark, sf_dir):
 @query()
 def density_clusters(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), "embedding")
-    return cluster.density_clusters(e).select("row_idx", "cluster_id")
+    return density.density_clusters(e).select("row_idx", "cluster_id")
 
 
 @query()

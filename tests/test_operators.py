@@ -127,34 +127,6 @@ def test_top_k(spark):
     assert similarity.top_k(df, [0.0] * 8).count() == 0
 
 
-def test_density_clusters_find_blobs(spark):
-    rng = np.random.default_rng(6)
-    centres = np.eye(8)[:3] * 5
-    x = np.concatenate([c + rng.normal(scale=0.2, size=(30, 8)) for c in centres] + [rng.normal(scale=3, size=(4, 8))])
-    labels = cluster.density_labels(x, 5, 3)
-    for k in range(3):
-        block = labels[30 * k : 30 * k + 30]
-        assert np.mean(block == np.bincount(block[block >= 0]).argmax()) > 0.85
-    assert len(set(labels[labels >= 0])) == 3
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "row_idx long, embedding array<double>")
-    got = {r.row_idx: r.cluster_id for r in cluster.density_clusters(df).collect()}
-    assert got[999] == -2 and len({c for c in got.values() if c >= 0}) >= 3
-
-
-def test_spanning_tree_is_minimal():
-    rng = np.random.default_rng(7)
-    x = rng.normal(size=(25, 3))
-    d = np.linalg.norm(x[:, None] - x[None], axis=2)
-    core = np.sort(d, axis=1)[:, 2]
-    m = np.maximum(np.maximum(core[:, None], core[None]), d)
-    inside, total = {0}, 0.0
-    while len(inside) < 25:
-        w, j = min((m[i, j], j) for i in inside for j in range(25) if j not in inside)
-        inside.add(j)
-        total += w
-    assert cluster.spanning_tree(x, 3)[:, 2].sum() == pytest.approx(total)
-
-
 def brute_mmr(x, limit, share):
     """Row numbers of one cluster in order of choice."""
     if len(x) <= limit:

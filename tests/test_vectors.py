@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from exact_density import density_labels, spanning_tree
 
-from colloquy.operators import similarity, vector_index
+from colloquy.operators import density, forest, similarity, vector_index
 from colloquy.shared import scratch
 
 
@@ -65,3 +66,69 @@ def test_empty_index(spark, corpus):
     path = scratch(spark, "index")
     vector_index.write_index(corpus[1].where("row_idx = 7"), path, "row_idx")
     assert vector_index.search_index(spark, path, corpus[1].limit(3).withColumnRenamed("row_idx", "query_id"), key="row_idx").count() == 0
+
+
+def labels_of(spark, x, size, samples, method="eom", **options):
+    got = {r.row_idx: r.cluster_id for r in density.density_clusters(frame(spark, x), size, samples, method, auto=False, **options).collect()}
+    return np.array([got[i] for i in range(len(x))])
+
+
+@pytest.mark.parametrize("size,samples,method,in_task", [(5, 1, "eom", 200_000), (3, 2, "leaf", 0), (4, 4, "eom", 20)])
+def test_complete_graph_gives_the_exact_clusters(spark, size, samples, method, in_task):
+    x = blobs(160, 6, 5, 0.4, seed=size)
+    x[20:50], x[3] = x[20], x[4]  # copies
+    want = density_labels(vector_index.unit_rows(x), size, samples, method)
+    assert (want >= 0).any() and (want == -1).any()
+    assert labels_of(spark, x, size, samples, method, neighbours=200, in_task=in_task).tolist() == want.tolist()
+
+
+def test_neighbour_graph_gives_nearly_the_exact_tree(spark, monkeypatch):
+    monkeypatch.setattr(density, "BLOCK", 150)
+    x = np.concatenate([blobs(700, 10, 6, 0.15, seed=9), np.random.default_rng(2).normal(size=(200, 10))])
+    u = vector_index.unit_rows(x)
+    graph = density.neighbour_graph(frame(spark, x), 16, 6, 60)
+    assert len(graph.centroids) == 15
+    tree, _ = density.reachability_tree(graph, 1, in_task=100)
+    first = {r.id: r.first for r in graph.points.collect()}
+    found = {(min(first[r.u], first[r.v]), max(first[r.u], first[r.v])) for r in tree.collect()}
+    want = {(int(min(a, b)), int(max(a, b))) for a, b, _ in spanning_tree(u, 1)}
+    assert len(found) == len(x) - 1 and len(found & want) >= 0.9 * len(want)
+    # with core distances many weights are equal, so the tree isn't unique, but its weight is
+    total = sum(r.w for r in density.reachability_tree(graph, 3)[0].collect())
+    assert total <= 1.01 * spanning_tree(u, 3)[:, 2].sum()
+
+
+def test_tree_of_rounds_and_of_one_task_agree(spark):
+    rng = np.random.default_rng(3)
+    n = 120
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (900, 2)).tolist() if a != b} | {(i, i + 1) for i in range(n - 1)}
+    edges = spark.createDataFrame([(float(rng.integers(0, 40)), a, b) for a, b in sorted(pairs)], "w double, u long, v long")
+    one, rounds = (sorted(map(tuple, forest.spanning_tree(edges, spark.range(n), in_task=k).collect())) for k in (10_000, 0))
+    assert one == rounds and len(one) == n - 1
+
+
+def test_merge_sizes_of_a_chain_and_a_star(spark):
+    for pairs in ([(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 60)], [(i // 2, i) for i in range(1, 60)]):
+        rng = np.random.default_rng(len(pairs))
+        order = rng.permutation(len(pairs)).tolist()
+        tree = spark.createDataFrame([(float(w), u, v) for w, (u, v) in zip(order, pairs)], "w double, u long, v long")
+        n = max(v for _, v in pairs) + 1
+        chains, leaves = forest.merge_tree(tree, in_task=0)
+        got = {r.w: sorted((r.below, r.hang)) for r in forest.merge_sizes(chains, leaves, spark.range(n).selectExpr("id", "1L AS weight")).collect()}
+        root, size, want = list(range(n)), [1] * n, {}
+        for w, (u, v) in sorted(zip(order, pairs)):
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            want[float(w)] = sorted((size[u], size[v]))
+            root[v], size[u] = u, size[u] + size[v]
+        assert got == want
+
+
+def test_few_rows(spark):
+    x = blobs(3, 4)
+    assert density.density_clusters(frame(spark, [None, None])).toPandas().cluster_id.tolist() == [-2, -2]
+    assert density.density_clusters(frame(spark, [x[0], None])).orderBy("row_idx").toPandas().cluster_id.tolist() == [0, -2]
+    assert density.density_clusters(frame(spark, [x[0]] * 7 + [None])).orderBy("row_idx").toPandas().cluster_id.tolist() == [-1] * 7 + [-2]
+    assert density.density_clusters(frame(spark, x).where("false")).count() == 0
