@@ -9,7 +9,7 @@ from ..functions import text, values, vocab
 from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, density, metrics, sampling, scoring, similarity, timing, topics, vector_index
 from ..shared import scratch
 from ..sources import traces
-from .base import SQL, query, rounded, table
+from .base import SQL, draws_sql, query, rounded, table
 
 
 def dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,20 +487,33 @@ def sample_sizes(spark, sf_dir):
 # --- bootstrap, splits
 
 
-@query(f"""WITH v AS (SELECT quality::DOUBLE AS value, count(*) AS m FROM labels GROUP BY 1), l AS (SELECT value, sum(m) OVER (ORDER BY value) AS hi, sum(m) OVER (ORDER BY value) - m AS lo FROM v), n AS (SELECT sum(m)::BIGINT AS n FROM v),
-    x0 AS (SELECT b, n, {_scrambled('42::BIGINT * 1000003 + b * 1566083941 + i * 1812433253')} AS x FROM n, (SELECT unnest(range(5000)) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i)),
-    d AS (SELECT b, (x >> 8) * n // 8388608 AS drawn FROM x0), r AS (SELECT b, avg(value) AS mean FROM d JOIN l ON drawn >= lo AND drawn < hi GROUP BY b)
-    SELECT (SELECT n FROM n) AS n, (SELECT avg(quality) FROM labels) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM r""")
+@query(draws_sql("SELECT quality::DOUBLE AS value FROM labels", 2, 5000) + """, r AS (SELECT b, sum(value * k) / sum(k) AS mean FROM d JOIN lv USING (place) GROUP BY b)
+    SELECT (SELECT sum(m)::BIGINT FROM lv) AS n, (SELECT avg(quality) FROM labels) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM r""")
 def bootstrap_ci_accuracy(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("a"))
     return rounded(bootstrap.bootstrap_mean(lab, "a"), "low", "high")
 
 
-@query(f"""WITH v AS (SELECT quality AS y1, 1 - toxic AS y2, count(*) AS m FROM labels GROUP BY 1, 2), l AS (SELECT y1, y2, sum(m) OVER (ORDER BY y1, y2) AS hi, sum(m) OVER (ORDER BY y1, y2) - m AS lo FROM v), n AS (SELECT sum(m)::BIGINT AS n FROM v),
-    x0 AS (SELECT b, n, {_scrambled('42::BIGINT * 1000003 + b * 1566083941 + i * 1812433253')} AS x FROM n, (SELECT unnest(range(1000)) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i)),
-    d AS (SELECT b, (x >> 8) * n // 8388608 AS drawn FROM x0), a AS (SELECT b, count(*)::DOUBLE AS n, avg((y1 = y2)::INT) AS po, (sum(y1) * sum(y2) + sum(1 - y1) * sum(1 - y2))::DOUBLE / (count(*) * count(*)) AS pe FROM d JOIN l ON drawn >= lo AND drawn < hi GROUP BY b),
-    k AS (SELECT list(kappa ORDER BY kappa) AS s FROM (SELECT CASE WHEN pe >= 1 THEN CASE WHEN po >= 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END AS kappa FROM a))
-    SELECT len(s)::INT AS valid, round(s[floor(len(s) * (1 - 0.95::DOUBLE) / 2)::INT + 1], 9) AS low, round(s[least(len(s) - 1, floor(len(s) * (1 - (1 - 0.95::DOUBLE) / 2)))::INT + 1], 9) AS high FROM k""")
+def _agreement_sql(metric: str, seed: int) -> str:
+    """valid, low, high of a metric over resampled pairs of quality and its absence of toxicity."""
+    return draws_sql("SELECT {'y1': quality, 'y2': 1 - toxic} AS value FROM labels", 4, 1000, seed) + f""",
+    a AS (SELECT b, sum(k)::DOUBLE AS n, sum(k) FILTER (WHERE value.y1 = value.y2)::DOUBLE / sum(k) AS po, (sum(k * value.y1) * sum(k * value.y2) + sum(k * (1 - value.y1)) * sum(k * (1 - value.y2)))::DOUBLE / (sum(k) * sum(k)) AS pe,
+        2 * sum(k * value.y1 * value.y2)::DOUBLE / (sum(k * value.y1) + sum(k * value.y2)) AS f1 FROM d JOIN lv USING (place) GROUP BY b),
+    s AS (SELECT list(x ORDER BY x) AS s FROM (SELECT {metric} AS x FROM a))
+    SELECT len(s)::INT AS valid, round(s[floor(len(s) * (1 - 0.95::DOUBLE) / 2)::INT + 1], 9) AS low, round(s[least(len(s) - 1, floor(len(s) * (1 - (1 - 0.95::DOUBLE) / 2)))::INT + 1], 9) AS high FROM s"""
+
+
+_KAPPA = "CASE WHEN pe >= 1 THEN CASE WHEN po >= 1 THEN 1.0 ELSE 0.0 END ELSE (po - pe) / (1 - pe) END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS metric, * FROM ({_agreement_sql(x, 42 + i)})" for i, (name, x) in enumerate([("pabak", "2 * po - 1"), ("kappa", _KAPPA), ("f1", "f1")])))
+def agreement_cis(spark, sf_dir):
+    """PABAK, kappa and F1 with their intervals, each with its own seed."""
+    lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
+    return rounded(bootstrap.agreement_intervals(lab, "quality", "clean"), "low", "high")
+
+
+@query(_agreement_sql(_KAPPA, 42))
 def bootstrap_ci_kappa(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").withColumn("clean", 1 - F.col("toxic"))
     return rounded(bootstrap.agreement_interval(lab, "quality", "clean"), "low", "high")

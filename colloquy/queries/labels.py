@@ -9,7 +9,7 @@ from ..functions import vocab
 from ..operators import agreement, bootstrap, cluster, labels, metrics, sampling, similarity, topics
 from ..operators.labels import LabelSchema
 from ..sources import exports, jsonl
-from .base import query, rounded, table
+from .base import draws_sql, query, rounded, table
 
 BINARY = LabelSchema("binary", field="quality")
 PAIR = LabelSchema("binary_multi", criteria=("clean", "good"))
@@ -194,16 +194,12 @@ def ordered_labels(spark, sf_dir):
     return rows.agg(F.array_sort(F.collect_list(F.struct(agreement.label_order(F.col("label")).alias("o"), "label"))).alias("l")).select(F.array_join("l.label", ",").alias("labels"))
 
 
-def _drawn(values_sql: str, replicates: int, seed: int = 42) -> str:
-    from .dialogs import _scrambled
+def _interval(value: str, levels: int, replicates: int, group: str = "", where: str = "true") -> str:
+    return draws_sql(f"SELECT ({value})::DOUBLE AS value FROM labels WHERE {where}", levels, replicates, group=group) + """, r AS (SELECT b, sum(value * k) / sum(k) AS mean FROM d JOIN lv USING (place) GROUP BY b)
+    SELECT (SELECT sum(m)::BIGINT FROM lv) AS n, round((SELECT sum(value * m) / sum(m) FROM lv), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM r"""
 
-    return f"""WITH v AS (SELECT value, count(*) AS m FROM ({values_sql}) GROUP BY 1), l AS (SELECT value, sum(m) OVER (ORDER BY value) AS hi, sum(m) OVER (ORDER BY value) - m AS lo FROM v), n AS (SELECT sum(m)::BIGINT AS n FROM v),
-    x0 AS (SELECT b, n, {_scrambled(f'{seed}::BIGINT * 1000003 + b * 1566083941 + i * 1812433253')} AS x FROM n, (SELECT unnest(range({replicates})) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i)),
-    d AS (SELECT b, (x >> 8) * n // 8388608 AS drawn FROM x0)"""
 
-
-@query(f"""{_drawn("SELECT (quality + (1 - toxic)) / 2.0::DOUBLE AS value FROM labels", 5000)}, r AS (SELECT b, avg(value) AS mean FROM d JOIN l ON drawn >= lo AND drawn < hi GROUP BY b)
-    SELECT (SELECT n FROM n) AS n, round((SELECT sum(value * m) / sum(m) FROM v), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM r""")
+@query(_interval("(quality + (1 - toxic)) / 2.0::DOUBLE", 3, 5000))
 def bootstrap_ci_mean_score(spark, sf_dir):
     """The interval of the mean criterion score of a dialog."""
     from ..operators import scoring
@@ -213,12 +209,7 @@ def bootstrap_ci_mean_score(spark, sf_dir):
     return rounded(bootstrap.bootstrap_mean(rows, "a"), "mean", "low", "high")
 
 
-def _interval(name: str, value: str, where: str) -> str:
-    return f"""SELECT * FROM ({_drawn(f"SELECT {value}::DOUBLE AS value FROM labels WHERE {where}", 1000)}, r AS (SELECT b, avg(value) AS mean FROM d JOIN l ON drawn >= lo AND drawn < hi GROUP BY b)
-    SELECT '{name}' AS criterion, (SELECT n FROM n) AS n, round((SELECT sum(value * m) / sum(m) FROM v), 9) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM r)"""
-
-
-@query(_interval("quality", "quality", "true") + " UNION ALL " + _interval("clean", "1 - toxic", "doc_id % 3 <> 0"))
+@query(" UNION ALL ".join(f"SELECT '{name}' AS criterion, * FROM ({_interval(value, 2, 1000, name, where)})" for name, value, where in (("quality", "quality", "true"), ("clean", "1 - toxic", "doc_id % 3 <> 0"))))
 def bootstrap_ci_criteria(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
     long = F.array(F.struct(F.lit("quality").alias("criterion"), F.col("quality").cast("double").alias("a")), F.struct(F.lit("clean").alias("criterion"), F.when(F.col("doc_id") % 3 != 0, (1 - F.col("toxic")).cast("double")).alias("a")))
