@@ -6,11 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..shared import materialise
+from . import forest
+from .metrics import dot, unit
+from .ranks import running_within
 
 
 def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
@@ -34,8 +38,6 @@ def semantic_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", v
     no table with probability below 1e-5. Where that takes more tables than a table has buckets,
     comparing all pairs is less work, and ``exact_pairs`` does it.
     """
-    from .metrics import dot, unit
-
     unit_rows = vectors.select(F.col(key).alias("i"), unit(F.col(vector)).alias("u")).where("u is not null")
     told = unit_rows.agg(F.count("*").alias("rows"), F.max(F.size("u")).alias("n")).first()
     if not told.rows:
@@ -63,33 +65,77 @@ def semantic_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", v
 
 def exact_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding") -> DataFrame:
     """All pairs (i < j) with cosine >= threshold, for samples that a dialog clustering takes."""
-    from .metrics import dot, unit
-
     u = vectors.select(F.col(key).alias("i"), unit(F.col(vector)).alias("u")).where("u is not null")
     w = u.select(F.col("i").alias("j"), F.col("u").alias("w"))
     return u.join(w, F.col("i") < F.col("j")).select("i", "j", dot(F.col("u"), F.col("w")).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx") -> DataFrame:
+def _in_order(key: tuple[pa.Scalar, ...], links: pa.Table) -> pa.Table:
+    """The rows of some links that go, each with the first kept row that it is linked to."""
+    links = links.sort_by([("j", "ascending"), ("i", "ascending")])
+    gone: dict[int, tuple[int, float]] = {}
+    for i, j, sim in zip(*(links[c].to_pylist() for c in ("i", "j", "sim"))):
+        if j not in gone and i not in gone:
+            gone[j] = (i, sim)
+    columns = [pa.array(list(gone), pa.int64()), pa.array([k for k, _ in gone.values()], pa.int64()), pa.array([s for _, s in gone.values()], pa.float64())]
+    return pa.table(columns, names=["j", "kept_idx", "sim"])
+
+
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx", most: int = forest.IN_TASK) -> DataFrame:
     """Drop j if it is linked to a kept i < j, in row order; returns key, kept_idx, similarity of what goes.
 
-    Rounds: a row none of whose earlier partners is undecided is decided; each round settles at
-    least the smallest undecided row of every chain, and only open pairs take part. Every round is a
-    written table.
+    Components of links don't affect one another: each of at most ``most`` links is settled by a task
+    of its own. A larger one settles its first ``most`` links in row order, which decide all rows
+    before the next link; what they drop, and what their kept rows drop further on, leaves the
+    component, whose rest falls apart into components again. Rows without an earlier open partner
+    are kept, and drop theirs, in every round, so a row of more links than ``most`` doesn't stop it.
     """
     spark = nodes.sparkSession
-    gone = spark.createDataFrame([], "j long, kept_idx long, sim double")
-    open_pairs = materialise(pairs.select("i", "j", "sim"), "open-pairs")
-    while True:
-        blocked = open_pairs.select(F.col("j").alias("i")).distinct()
-        firm = open_pairs.join(blocked, "i", "left_anti")  # i has no earlier open partner: it is kept
-        lost = firm.groupBy("j").agg(F.min_by(F.struct(F.col("i"), F.col("sim")), "i").alias("k")).select("j", F.col("k.i").alias("kept_idx"), F.col("k.sim").alias("sim"))
-        lost = materialise(lost, "lost")
-        if lost.isEmpty():
-            return gone.select(F.col("j").alias(key), "kept_idx", F.col("sim").alias("similarity"))
-        gone = gone.unionByName(lost)
-        open_pairs = open_pairs.join(lost.select("j"), "j", "left_anti").join(lost.select(F.col("j").alias("i")), "i", "left_anti")
-        open_pairs = materialise(open_pairs, "open-pairs")
+    schema = "j long, kept_idx long, sim double"
+    gone, open_ = spark.createDataFrame([], schema), None
+    links = materialise(pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "sim"), "open-pairs")
+    while not links.isEmpty():
+        comps = forest.components(links.select(F.col("i").alias("u"), F.col("j").alias("v")))
+        links = materialise(links.join(comps.withColumnRenamed("id", "i"), "i"), "open-pairs")
+        sizes = materialise(links.groupBy("comp").agg((F.count("*") > most).alias("large")), "components")
+        told = links.join(sizes, "comp")
+        gone = gone.unionByName(materialise(told.where("not large").groupBy("comp").applyInArrow(_in_order, schema), "gone"))
+        large = told.where("large")
+        if sizes.where("large").isEmpty():
+            break
+        firm = large.join(large.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        ordered = running_within(large.select("comp", "i", "j", "sim").withColumn("one", F.lit(1).cast("long")), ["comp"], ["j", "i"], "one", "upto")
+        cut = ordered.where(F.col("upto") > most).groupBy("comp").agg(F.min("j").alias("cut"))
+        ordered = materialise(ordered.join(cut, "comp").drop("one", "upto"), "ordered-pairs")
+        inner = materialise(ordered.where("j < cut").groupBy("comp").applyInArrow(_in_order, schema), "gone")
+        # rows before the cut are decided: those that stay drop what they are linked to behind it
+        kept = ordered.where("i < cut and j >= cut").join(inner.select(F.col("j").alias("i")), "i", "left_anti")
+        behind = kept.unionByName(firm.join(cut, "comp").where("j >= cut").select(*kept.columns))
+        lost = materialise(behind.select("j").distinct(), "lost")
+        gone, open_ = gone.unionByName(inner), lost if open_ is None else open_.unionByName(lost)
+        rest = ordered.where("i >= cut").join(lost.select("j"), "j", "left_anti").join(lost.select(F.col("j").alias("i")), "i", "left_anti")
+        links = materialise(rest.select("i", "j", "sim"), "open-pairs")
+    if open_ is not None:  # whose first kept partner may have been decided later than they were
+        out = gone.select(F.col("j").alias("i")).unionByName(open_.select(F.col("j").alias("i")))
+        first = pairs.join(open_, "j").join(out, "i", "left_anti").groupBy("j").agg(F.min(F.struct("i", "sim")).alias("k"))
+        gone = gone.unionByName(first.select("j", F.col("k.i").alias("kept_idx"), F.col("k.sim").alias("sim")))
+    return gone.select(F.col("j").alias(key), "kept_idx", F.col("sim").alias("similarity"))
+
+
+def semantic(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", most: int = forest.IN_TASK) -> DataFrame:
+    """key, kept_idx, similarity of the rows that go: cosine of at least ``threshold`` to an earlier row that stays.
+
+    Equal vectors are compared once, by their first row: its copies go with it to the row that it
+    goes to, or to itself. So a vector that a third of all rows share makes no pairs.
+    """
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where(unit(F.col("v")).isNotNull())
+    firsts = materialise(rows.groupBy("v").agg(F.min("k").alias("row_idx"), F.count("*").alias("m")).withColumnRenamed("v", "embedding"), "first-rows")
+    gone = greedy_keep(firsts.select("row_idx"), semantic_pairs(firsts, threshold), most=most)
+    gone = materialise(gone, "semantic-gone")
+    several = firsts.where("m > 1").select(F.col("row_idx").alias("first"), F.col("embedding").alias("v"))
+    copies = rows.join(several, "v").where("k <> first").join(gone.withColumnRenamed("row_idx", "first"), "first", "left")
+    copies = copies.select(F.col("k").alias("row_idx"), F.coalesce("kept_idx", "first").alias("kept_idx"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    return gone.unionByName(copies).withColumnRenamed("row_idx", key)
 
 
 def by_conversation(cases: DataFrame, order: str = "row_idx") -> DataFrame:

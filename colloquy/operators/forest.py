@@ -120,6 +120,25 @@ def spanning_tree(edges: DataFrame, vertices: DataFrame, more=None, in_task: int
     return materialise(out, "tree")
 
 
+def components(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(id, comp) for the ends of edges (u, v), u < v: the smallest id that is reachable. The rounds are logarithmic in the size."""
+    left = edges.select(F.struct("u", "v").alias("e"), F.col("u").alias("a"), F.col("v").alias("b"))
+    labels = materialise(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
+    while True:
+        pairs = left.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
+        left = materialise(pairs, "open-edges")
+        n = left.count()
+        if n == 0:
+            return labels
+        if n <= in_task:
+            told = left.select(F.lit(0.0).alias("w"), "e.*", "a", "b").coalesce(1).mapInArrow(_kruskal, "w double, u long, v long, id long, root long")
+            roots = materialise(told.where("id is not null").select("id", "root"), "roots")
+        else:
+            roots = _merged(materialise(_lightest(left), "lightest"), in_task)
+        labels = materialise(labels.join(roots.toDF("comp", "root"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels")
+        left = _relabelled(left, roots)
+
+
 def merge_tree(tree: DataFrame, in_task: int = IN_TASK) -> tuple[DataFrame, DataFrame]:
     """Chains of the merge tree of a spanning tree (w, u, v).
 

@@ -34,7 +34,7 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
     rows = materialise(embed(rows, "model_text", embedder), "embedded")  # the provider is asked once
     removed = exact
     if threshold is not None:
-        gone = dedup.greedy_keep(rows.select("row_idx"), dedup.semantic_pairs(rows.where("text <> ''"), threshold))
+        gone = dedup.semantic(rows.where("text <> ''"), threshold)
         removed = removed.unionByName(gone.select("row_idx", "kept_idx", F.lit("semantic").alias("reason"), "similarity"))
         rows = rows.join(gone.select("row_idx"), "row_idx", "left_anti")
     rows = cluster.reduced(rows, components) if components is not None else rows
