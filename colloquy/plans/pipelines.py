@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import cluster_text, for_embedding, goals_text, template, transcript, validate_field
-from ..operators import agreement, cluster, dedup, density, metrics, scoring, topics
+from ..operators import agreement, cluster, dedup, density, layout, metrics, scoring, topics
 from ..shared import materialise
 from .providers import Embedder, Judge, ask, embed
 
@@ -23,8 +23,13 @@ class ClusteringResult:
     removed: DataFrame
 
 
-def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog", threshold: float | None = 0.95, min_cluster_size: int = 5, min_samples: int = 1, outliers: bool = False, components: int | None = None) -> ClusteringResult:
-    """Dedup, text, embeddings, density clusters, keywords and labels of a dialog sample (row_idx, history)."""
+def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog", threshold: float | None = 0.95, min_cluster_size: int = 5, min_samples: int = 1, outliers: bool = False, components: int | None = None, reduction: str = "pca", coordinates: bool = False) -> ClusteringResult:
+    """Dedup, text, embeddings, density clusters, keywords and labels of a dialog sample (row_idx, history).
+
+    ``components`` cuts the embeddings before clustering, to principal components or, with
+    ``reduction`` graph, to a layout of the neighbour graph; ``coordinates`` adds x and y of a
+    two-dimensional layout of the whole embeddings.
+    """
     field = validate_field(field)
     text = cluster_text(F.col("history"), field) if field in vocab.HISTORY_FIELDS else F.col(field)
     rows = records.withColumn("text", text)
@@ -37,7 +42,9 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
         gone = dedup.semantic(rows.where("text <> ''"), threshold)
         removed = removed.unionByName(gone.select("row_idx", "kept_idx", F.lit("semantic").alias("reason"), "similarity"))
         rows = rows.join(gone.select("row_idx"), "row_idx", "left_anti")
-    rows = cluster.reduced(rows, components) if components is not None else rows
+    places = layout.graph_layout(rows) if coordinates else None
+    if components is not None:
+        rows = layout.graph_reduced(rows, cluster.layout_components(components, components, rows.count())) if reduction == "graph" else cluster.reduced(rows, components)
     rows = materialise(density.density_clusters(rows, min_cluster_size, min_samples), "clustered")
     if outliers:
         near = cluster.reassign_noise(rows).withColumnRenamed("cluster_id", "near")
@@ -47,6 +54,7 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
     rows = rows.join(F.broadcast(names), "cluster_id", "left")  # a row per cluster
     label = F.when(F.col("cluster_id") == vocab.NOISE, F.lit(vocab.NOISE_LABEL)).otherwise(F.coalesce("label", F.lit(vocab.NO_KEYWORDS)))
     rows = rows.withColumn("cluster_label", label).drop("label", "model_text")
+    rows = rows.join(places, "row_idx", "left") if coordinates else rows
     return ClusteringResult(rows, words, metrics.cluster_quality(rows), metrics.cluster_summary(rows, "text"), removed)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, values, vocab
-from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, density, metrics, sampling, scoring, similarity, timing, topics, vector_index
+from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, density, layout, metrics, sampling, scoring, similarity, timing, topics, vector_index
 from ..shared import scratch
 from ..sources import traces
 from .base import SQL, draws_sql, query, rounded, table
@@ -267,6 +267,12 @@ def density_clusters(spark, sf_dir):
     return density.density_clusters(e).select("row_idx", "cluster_id")
 
 
+@query()
+def graph_layout(spark, sf_dir):
+    """Two coordinates per row from the fuzzy neighbour graph."""
+    return layout.graph_layout(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), "embedding"))
+
+
 @query()
 def pca_layout(spark, sf_dir):
     return cluster.layout_2d(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_idx"), "embedding"))

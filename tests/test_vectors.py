@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from exact_density import density_labels, spanning_tree
 
-from colloquy.operators import density, forest, similarity, vector_index
+from colloquy.operators import cluster, density, forest, layout, similarity, vector_index
 from colloquy.shared import scratch
 
 
@@ -132,3 +132,52 @@ def test_few_rows(spark):
     assert density.density_clusters(frame(spark, [x[0], None])).orderBy("row_idx").toPandas().cluster_id.tolist() == [0, -2]
     assert density.density_clusters(frame(spark, [x[0]] * 7 + [None])).orderBy("row_idx").toPandas().cluster_id.tolist() == [-1] * 7 + [-2]
     assert density.density_clusters(frame(spark, x).where("false")).count() == 0
+
+
+def preserved(x, y, k=10):
+    """Share of the exact neighbours by direction that are neighbours in the plane."""
+    def near(d):
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(d, axis=1)[:, :k]
+
+    u = vector_index.unit_rows(x)
+    a, b = near(2 - 2 * u @ u.T), near(((y[:, None] - y[None]) ** 2).sum(axis=2))
+    return np.mean([len(set(p) & set(q)) / k for p, q in zip(a.tolist(), b.tolist())])
+
+
+def test_layout_keeps_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BLOCK_ROWS", 150)  # several blocks that learn of one another
+    monkeypatch.setattr(layout, "SAMPLE", 200)
+    x = blobs(500, 16, 12, 0.25, seed=1)
+    rows = frame(spark, [*x, None])
+    got = layout.graph_layout(rows).toPandas().sort_values("row_idx")
+    assert got.row_idx.tolist() == list(range(500))
+    flat = cluster.layout_2d(rows).toPandas().sort_values("row_idx")
+    own, plain = preserved(x, got[["x", "y"]].to_numpy()), preserved(x, flat[["x", "y"]].to_numpy())
+    assert own >= 0.3 and own >= 1.4 * plain, (own, plain)
+
+
+def test_eigenvectors_of_the_graph(spark):
+    graph = layout.fuzzy_graph(density.neighbour_graph(frame(spark, blobs(120, 5, 3, 0.5)), 8).edges)
+    got = layout.eigenvectors(graph, 2, sweeps=40).toPandas().sort_values("id")
+    ids = got.id.tolist()
+    w = np.zeros((120, 120))
+    for r in graph.collect():
+        w[ids.index(r.i), ids.index(r.j)] = r.w
+    assert np.allclose(w, w.T)
+    d = w.sum(axis=1)
+    n = w / np.sqrt(d[:, None] * d)
+    values, vectors = np.linalg.eigh(n)
+    x = got[["x0", "x1"]].to_numpy()
+    assert np.allclose(x.T @ x, np.eye(2), atol=1e-6)
+    assert np.allclose(np.diag(x.T @ n @ x), values[::-1][1:3], atol=1e-3)
+
+
+def test_layout_of_few_rows(spark):
+    x = blobs(2, 4)
+    assert layout.graph_layout(frame(spark, [None])).count() == 0
+    assert [tuple(r) for r in layout.graph_layout(frame(spark, x[:1])).collect()] == [(0, 0.0, 0.0)]
+    assert sorted(tuple(r)[1:] for r in layout.graph_layout(frame(spark, x)).collect()) == [(0.0, 0.0), (1.0, 0.0)]
+    assert layout.graph_layout(frame(spark, blobs(9, 4))).count() == 9
+    a, b = layout.curve(0.1, 1.0)
+    assert a == pytest.approx(1.577, abs=2e-3) and b == pytest.approx(0.895, abs=2e-3)
