@@ -16,6 +16,9 @@ from . import forest
 from .metrics import dot, unit
 from .ranks import running_within
 
+#: Links that one task settles.
+GROUP_LINKS = 200_000
+
 
 def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
     """Adds kept_idx and dup: the first row of each text stays; blank texts are never duplicates.
@@ -81,7 +84,7 @@ def _in_order(key: tuple[pa.Scalar, ...], links: pa.Table) -> pa.Table:
     return pa.table(columns, names=["j", "kept_idx", "sim"])
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx", most: int = forest.IN_TASK) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx", most: int = GROUP_LINKS) -> DataFrame:
     """Drop j if it is linked to a kept i < j, in row order; returns key, kept_idx, similarity of what goes.
 
     Components of links don't affect one another: each of at most ``most`` links is settled by a task
@@ -122,7 +125,7 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx", most:
     return gone.select(F.col("j").alias(key), "kept_idx", F.col("sim").alias("similarity"))
 
 
-def semantic(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", most: int = forest.IN_TASK) -> DataFrame:
+def semantic(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", most: int = GROUP_LINKS) -> DataFrame:
     """key, kept_idx, similarity of the rows that go: cosine of at least ``threshold`` to an earlier row that stays.
 
     Equal vectors are compared once, by their first row: its copies go with it to the row that it

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..shared import materialise
 from .ranks import rank_within, running_within
 
-IN_TASK = 200_000
+IN_TASK = 10_000
 
 
 def _find(root: dict, i: int) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..shared import materialise
 from .metrics import dot, unit
 
-SAMPLE, MOST_CELLS, ROWS_PER_CELL, BLOCK = 20_000, 4096, 1000, 4096
+SAMPLE, MOST_CELLS, ROWS_PER_CELL, BLOCK, PROBE = 20_000, 4096, 1000, 4096, 8
 
 
 def as_matrix(column: pa.Array) -> np.ndarray:
@@ -144,10 +144,13 @@ def _by_similarity(most: int, c: np.ndarray | None):
                 code = np.frombuffer(b"".join(left["data"].to_pylist()), np.int8).reshape(left.num_rows, -1)
                 rows = c[key[0].as_py()] + code * left["scale"].to_numpy()[:, None]
             asked, own, ids = from_bytes(right["data"]), right["query_id"], left["key"]
+            bound = right["bound"].fill_null(-np.inf).to_numpy() if "bound" in right.column_names else None
             for a in range(0, right.num_rows, 512):
                 part = own.slice(a, 512)
                 s = np.round(asked[a : a + 512] @ rows.T, 9)
                 s[np.asarray(part.to_numpy())[:, None] == np.asarray(ids.to_numpy())[None, :]] = -np.inf  # a row doesn't find itself
+                if bound is not None:  # what can't be among the best isn't sent on
+                    s[s < bound[a : a + 512, None]] = -np.inf
                 i, j = first_of_rows(-s, most)
                 out[0] += part.take(pa.array(i)).to_pylist()
                 out[1] += ids.take(pa.array(j)).to_pylist()
@@ -202,40 +205,57 @@ def write_index(vectors: DataFrame, path: str, key: str = "vec_id", vector: str
     spark.createDataFrame(table, "cell int, centroid array<double>, n long").coalesce(1).write.parquet(f"{path}/cells")
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probe: int | None = 8, refine: int = 4, least: float = 0.0, key: str = "vec_id") -> DataFrame:
+def _candidates(residents: DataFrame, visits: DataFrame, cells: DataFrame, most: int, c: np.ndarray | None) -> DataFrame:
+    """query_id, key, s: the ``most`` best of all blocks that a query visits; ``cells`` has the cell of every row."""
+    schema = f"query_id {_type(visits, 'query_id')}, key {_type(residents, 'key')}, s double"
+    found = meet(residents, visits, meeting(cells, visits), "key", "query_id", _by_similarity(most, c), schema)
+    return materialise(_best(found, F.col("s"), "key", most).drop("rank"), "candidates")
+
+
+def _every_cell(residents: DataFrame, asked: DataFrame, c: np.ndarray, k: int, probe: int) -> DataFrame:
+    """Exact candidates: the ``probe`` nearest cells first, then all others for what beats the best of those.
+
+    ``residents`` (cell, key, data) is a written table.
+    """
+    visits = materialise(placed(asked, c, len(c), "query_id"), "visits")
+    near = _candidates(residents, visits.select("query_id", F.explode(F.slice("cells", 1, probe)).alias("cell"), "data"), residents, k, None)
+    if len(c) <= probe:
+        return near
+    bound = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("s")).alias("bound"))
+    far = visits.join(bound, "query_id", "left").select("query_id", F.explode(F.slice("cells", probe + 1, len(c))).alias("cell"), "data", "bound")
+    return materialise(_best(near.unionByName(_candidates(residents, far, residents, k, None)), F.col("s"), "key", k), "candidates")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probe: int | None = PROBE, refine: int = 4, least: float = 0.0, key: str = "vec_id") -> DataFrame:
     """query_id, key, similarity, rank: the ``k`` most similar rows for each row of ``queries`` (query_id, embedding).
 
     ``probe`` cells are visited and ``refine`` times ``k`` rows compared by their full vectors; with
-    None every cell is visited and all rows are, so the result is exact. A row doesn't find the query
+    None every cell is visited by full vectors, so the result is exact. A row doesn't find the query
     of its own id. Equal similarities go by key; queries with null or zero vectors find nothing.
     """
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # at most MOST_CELLS
     c = np.array([r.centroid for r in cells])
+    rows = spark.read.parquet(f"{path}/rows")
     if not c.size:
-        return spark.createDataFrame([], f"query_id {_type(queries, 'query_id')}, {key} {_type(spark.read.parquet(f'{path}/rows'), 'key')}, similarity double, rank int")
-    rows, asked = spark.read.parquet(f"{path}/rows"), _usable(queries.select("query_id", "embedding"), "embedding")
-    visits = placed(asked, c, probe or len(c), "query_id").select("query_id", F.explode("cells").alias("cell"), "data")
-    visits = materialise(visits, "visits")
+        return spark.createDataFrame([], f"query_id {_type(queries, 'query_id')}, {key} {_type(rows, 'key')}, similarity double, rank int")
+    asked = _usable(queries.select("query_id", "embedding"), "embedding")
     if probe:
-        residents = rows.select("cell", "key", "data", "scale")
+        visits = materialise(placed(asked, c, probe, "query_id").select("query_id", F.explode("cells").alias("cell"), "data"), "visits")
+        best = _candidates(rows.select("cell", "key", "data", "scale"), visits, rows.select("cell"), k * refine, c)
     else:
-        residents = placed(rows.select("key", "cell", "embedding"), np.zeros((1, c.shape[1])), 1, "key", keep=["cell"]).drop("cells")
-    found = meet(residents, visits, meeting(rows.select("cell"), visits), "key", "query_id", _by_similarity(k * refine if probe else k, c if probe else None), f"query_id {_type(visits, 'query_id')}, key {_type(rows, 'key')}, s double")
-    best = materialise(_best(found, F.col("s"), "key", k * refine if probe else k), "candidates")
+        full = placed(rows.select("key", "cell", "embedding"), np.zeros((1, c.shape[1])), 1, "key", keep=["cell"]).drop("cells")
+        best = _every_cell(materialise(full, "full-vectors"), asked, c, k, PROBE)
     return _ranked(best, rows.withColumnRenamed("key", key), asked, k, least, key, "embedding")
 
 
-def search_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float = 0.0, key: str = "vec_id", vector: str = "embedding", rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """``search_index`` in its exact mode without an index: every query against every row, in blocks of matrix products."""
     spark = vectors.sparkSession
     rows = _usable(vectors.select(F.col(key).alias("key"), F.col(vector).alias("embedding")), "embedding")
     asked = _usable(queries.select("query_id", "embedding"), "embedding")
-    head = rows.select(F.size("embedding").alias("n")).first()
-    if not head:
+    c = centroids(rows, rows.count(), "key", rows_per_cell=rows_per_cell)
+    if not c.size:
         return spark.createDataFrame([], f"query_id {_type(queries, 'query_id')}, {key} {_type(rows, 'key')}, similarity double, rank int")
-    c = np.zeros((1, head.n))
-    one = F.lit(0).alias("cell")
-    residents, visits = placed(rows, c, 1, "key").select("key", one, "data"), placed(asked, c, 1, "query_id").select("query_id", one, "data")
-    found = meet(residents, visits, meeting(rows.select(one), asked.select(one)), "key", "query_id", _by_similarity(k, None), f"query_id {_type(asked, 'query_id')}, key {_type(rows, 'key')}, s double")
-    best = materialise(_best(found, F.col("s"), "key", k), "candidates")
+    residents = materialise(placed(rows, c, 1, "key").select("key", F.get("cells", F.lit(0)).alias("cell"), "data"), "full-vectors")
+    best = _every_cell(residents, asked, c, k, PROBE)
     return _ranked(best, rows.withColumnRenamed("key", key), asked, k, least, key, "embedding")

@@ -58,6 +58,8 @@ def test_exact_search_without_an_index(spark, corpus):
     asked = rows.where("row_idx % 300 = 0 or row_idx = 7").withColumnRenamed("row_idx", "query_id")
     got = similarity.top_k_many(rows, asked, 5, 0.2, key="row_idx").collect()
     assert {(r.query_id, r.row_idx, r["rank"]) for r in got} == plain_top(x, range(0, 3000, 300), 5, 0.2)
+    small = vector_index.search_exact(rows, asked, 5, 0.2, key="row_idx", rows_per_cell=60).collect()
+    assert {(r.query_id, r.row_idx, r["rank"]) for r in small} == plain_top(x, range(0, 3000, 300), 5, 0.2)
     assert similarity.top_k_many(rows.where("false"), asked, key="row_idx").count() == 0
     assert similarity.top_k_many(rows, asked.where("false"), key="row_idx").count() == 0
 
@@ -73,7 +75,7 @@ def labels_of(spark, x, size, samples, method="eom", **options):
     return np.array([got[i] for i in range(len(x))])
 
 
-@pytest.mark.parametrize("size,samples,method,in_task", [(5, 1, "eom", 200_000), (3, 2, "leaf", 0), (4, 4, "eom", 20)])
+@pytest.mark.parametrize("size,samples,method,in_task", [(5, 1, "eom", 10_000), (3, 2, "leaf", 0), (4, 4, "eom", 20)])
 def test_complete_graph_gives_the_exact_clusters(spark, size, samples, method, in_task):
     x = blobs(160, 6, 5, 0.4, seed=size)
     x[20:50], x[3] = x[20], x[4]  # copies
