@@ -18,6 +18,8 @@ from .ranks import running_within
 
 #: Links that one task settles.
 GROUP_LINKS = 200_000
+#: Hash tables that more bits may call for.
+MOST_TABLES = 128
 
 
 def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
@@ -47,8 +49,13 @@ def semantic_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", v
         return vectors.sparkSession.createDataFrame([], "i long, j long, sim double")
     bits = max(bits, min(24, math.ceil(math.log2(told.rows / 64 + 1))))
 
-    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
-    needed = math.inf if agree < 1e-9 else 1 if agree == 1 else math.ceil(math.log(1e-5) / math.log1p(-agree))
+    def tables_for(b: int) -> float:
+        agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** b
+        return math.inf if agree < 1e-9 else 1 if agree == 1 else math.ceil(math.log(1e-5) / math.log1p(-agree))
+
+    # rows of one topic share buckets of few bits by the thousand: as many bits as MOST_TABLES tables make up for
+    bits = max([bits] + [b for b in range(bits, min(24, math.ceil(math.log2(told.rows + 1)) + 8) + 1) if tables_for(b) <= MOST_TABLES])
+    needed = tables_for(bits)
     if needed > 1 << bits:
         return exact_pairs(vectors, threshold, key, vector)
     tables = max(tables, needed)
