@@ -114,17 +114,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     spark = docs.sparkSession
     small_batches(spark)
     src = pick(docs, doc_id=(id_col, None), text=(text_col, "string"), lang=(lang_col, "string"))
-    labelled = src.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
+    labelled = src.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.withColumn("o", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    # what counts is what can be drawn: texts with a letter, repeated rows once
+    counts = labelled.select("lang", "doc_id", "o").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
     quota = shares([(r.lang, r.n) for r in counts], sample_rows)
     n = {r.lang: r.n for r in counts}
-    # a slice by hash that holds several times the share; the rank then cuts it to size
+    # a slice by hash, all rows or 4 (take + 25) expected, so that it falls short of ``take`` with a
+    # probability below 1e-12; the rank then cuts it to size
     slices = [(lang, take, min(1.0, 4 * (take + 25) / n[lang])) for lang, take in quota if take]
     if not slices:
         return _nothing()
     slices = spark.createDataFrame(slices, "lang string, take int, part double")
-    dice = labelled.join(F.broadcast(slices), "lang").withColumn("o", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    dice = dice.where((F.pmod("o", F.lit(1 << 30)) < F.col("part") * (1 << 30)) & F.col("text").rlike(r"\p{L}"))
+    dice = labelled.join(F.broadcast(slices), "lang").where(F.pmod("o", F.lit(1 << 30)) < F.col("part") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
     table = dice.dropDuplicates(["lang", "doc_id", "o"]).withColumn("rank", rank).where("rank <= take").orderBy("lang", "o", "doc_id").select("text", "lang").mapInArrow(_features, "lang string, bits binary").toArrow()
     if not table.num_rows:
