@@ -94,11 +94,15 @@ def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*new), {name: c for name, c in reversed(list(zip(docs.columns, new)))}
 
 
+def column_of(names: dict[str, str], name: str) -> str:
+    """The entry of ``names`` for a column name, which is matched exactly first, then in any case."""
+    return names.get(name) or {k.lower(): v for k, v in reversed(names.items())}[name.lower()]
+
+
 def pick(docs: DataFrame, **columns: tuple[str, str | None]) -> DataFrame:
-    """The named columns only, alias=(name, type or None to keep it); names are matched exactly first."""
+    """The named columns only, alias=(name, type or None to keep it); names as in ``column_of``."""
     inner, names = positional(docs)
-    folded = {k.lower(): v for k, v in reversed(names.items())}
-    found = {alias: F.col(names.get(name) or folded[name.lower()]) for alias, (name, _) in columns.items()}
+    found = {alias: F.col(column_of(names, name)) for alias, (name, _) in columns.items()}
     return inner.select(*((c.cast(columns[a][1]) if columns[a][1] else c).alias(a) for a, c in found.items()))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checked_broadcast, id_bitmap, materialise, partitions, pick, positional, small_batches
+from .common import SPACE_CLASS, checked_broadcast, column_of, id_bitmap, materialise, partitions, pick, positional, small_batches
 
 _TO_SPACE = bytes(32 if c in (32, 9, 10, 11, 12, 13) else c for c in range(256))
 _SPACES = re.compile(b" {2,}")
@@ -311,8 +311,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = materialise(decided.select("doc_id", "digest", same_id.alias("tie")).distinct(), "dedup-gone")
     inner, names = positional(docs)
-    text = F.regexp_replace(F.coalesce(F.col(names[text_col]), F.lit("")), f"{SPACE_CLASS}+", " ")
-    keyed = inner.withColumn("own_id", F.col(names[id_col]).cast("long")).withColumn("own_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    text = F.regexp_replace(F.coalesce(F.col(column_of(names, text_col)), F.lit("")), f"{SPACE_CLASS}+", " ")
+    keyed = inner.withColumn("own_id", F.col(column_of(names, id_col)).cast("long")).withColumn("own_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
     on = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_digest") == F.col("digest"))
     lost, tied = checked_broadcast(gone.where("not tie")), checked_broadcast(gone.where("tie"))
     out = keyed.join(lost, on, "left_anti")

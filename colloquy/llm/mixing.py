@@ -16,7 +16,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, checked_broadcast, materialise, partitions, pick, positional
+from .common import WORD_PATTERN, checked_broadcast, column_of, materialise, partitions, pick, positional
 
 WEIGHTS, MOST = (5, 2, 1), 3
 
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = materialise(mix_copies(docs, id_col, text_col, source_col, **options).select("doc_id", "tie", "source", "copies"), "mix-plan")
     key = ["doc_id", "tie", "source"]
     other = {"doc_id": "r_id", "tie": "r_tie", "source": "r_source", "turn": "r_turn"}
-    left = inner.select("*", F.col(names[id_col]).cast("long").alias("doc_id"), F.xxhash64(F.col(names[text_col]).cast("string")).alias("tie"), F.col(names[source_col]).cast("string").alias("source"))
+    left = inner.select("*", F.col(column_of(names, id_col)).cast("long").alias("doc_id"), F.xxhash64(F.col(column_of(names, text_col)).cast("string")).alias("tie"), F.col(column_of(names, source_col)).cast("string").alias("source"))
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("tie") == F.col("r_tie")) & F.col("source").eqNullSafe(F.col("r_source"))
     repeated = materialise(plan.groupBy(*key).count().where("count > 1").select(*key).withColumnsRenamed(other), "mix-repeats")
     if repeated.isEmpty():

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_chars, checked_broadcast, id_bitmap, in_bitmap, materialise, pick, positional, small_batches
+from .common import by_chars, checked_broadcast, column_of, id_bitmap, in_bitmap, materialise, pick, positional, small_batches
 from .shingles import shared, shingle_sets
 
 HASHES, ROWS = 64, 5
@@ -310,6 +310,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged = _judged(docs, id_col, text_col, shingle, similarity, hashes, rows, block)
     gone = materialise(judged.where("not first").select("doc_id", "tie").distinct(), "near-gone")
     inner, names = positional(docs)
-    same = F.col(names[id_col]).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(names[text_col]).cast("string")) == F.col("tie"))
+    same = F.col(column_of(names, id_col)).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col(column_of(names, text_col)).cast("string")) == F.col("tie"))
     out = inner.join(checked_broadcast(gone), same, "left_anti")
     return out.toDF(*docs.columns)

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 from collections import defaultdict
 
 import pytest
@@ -209,6 +210,17 @@ def test_languages(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, empty).collect()} == {"und"}
 
 
+def test_a_language_of_one_text_in_many_rows_is_learned(spark):
+    """Repeated rows and texts without a letter don't count toward the sample's slices."""
+    for k in range(3):
+        rows = [(i, f"plain words number {i} of table {k}", "en") for i in range(500)]
+        rows += [((100_002, 100_004, 100_006)[k], "ein einziger Text", "de")] * 2000 + [(200_000 + i, f"{i} --- {k}", "eo") for i in range(2000)] + [(300_000 + i, "unu teksto", "eo") for i in range(5)]
+        rows = [(d, t, l) for d, t, l in rows if zlib.crc32(str(d).encode()) % 5]
+        assert any(l == "de" for _, _, l in rows)
+        model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100)
+        assert model.languages == ["de", "en", "eo"]
+
+
 def test_without_labels_only_texts_without_a_letter_go(spark, odd_docs):
     from pyspark.sql import functions as F
 
