@@ -9,6 +9,7 @@ from ..functions import text, values, vocab
 from ..operators import agreement, bootstrap, cases, cluster, compare, dedup, density, layout, metrics, sampling, scoring, similarity, timing, topics, vector_index
 from ..shared import scratch
 from ..sources import traces
+from ..streaming import conversations
 from .base import SQL, draws_sql, query, rounded, table
 
 
@@ -153,6 +154,18 @@ def conversation_dedupe(spark, sf_dir):
     return dedup.by_conversation(e).select("conv_key", "event_id")
 
 
+@query("""SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y-%m-%d') AS conv_key, arg_max(event_id, (length(event_type), strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), event_id)) AS event_id FROM events GROUP BY 1""")
+def late_conversations(spark, sf_dir):
+    """The cases of ``conversation_dedupe``, arriving file by file in no order of time."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("conv_key"), F.length("event_type").alias("hist_len"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("event_id").alias("row_idx"), F.col("ts").cast("timestamp").alias("event_time"))
+    inbox, out = scratch(spark, "late-inbox"), scratch(spark, "late-cases")
+    e.repartition(3, "event_id").write.parquet(inbox)
+    arriving = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    conversations.write_better(arriving, out, scratch(spark, "late-checkpoint"), "36500 days").awaitTermination()
+    written = spark.read.parquet(out)
+    return conversations.settled(written).select("conv_key", "event_id")
+
+
 # --- similarity
 
 

@@ -258,14 +258,14 @@ class _PagedTraces(traces.TraceSource):
 
 @query("SELECT 't' || p || '-' || i AS id, 'x,' || p AS tags, '{\"p\": ' || p || '}' AS metadata FROM (SELECT unnest(range(1, 6)) AS p), (SELECT unnest(range(4)) AS i)")
 def paged_traces(spark, sf_dir):
-    spark.dataSource.register(_PagedTraces)
+    traces.register(spark, _PagedTraces)
     return spark.read.format("paged_traces").load().select("id", F.array_join("tags", ",").alias("tags"), "metadata")
 
 
 @query("SELECT 't' || i AS trace_id, '2024-01-01' AS first, (SELECT count(*) FROM events WHERE event_id IN (1, 3)) AS wanted FROM (SELECT unnest([1, 3]) AS i)")
 def traces_by_observation(spark, sf_dir):
     """Traces found by the kind of an observation."""
-    spark.dataSource.register(_PagedTraces)
+    traces.register(spark, _PagedTraces)
     seen = spark.read.format("paged_traces").option("what", "observations").load()
     own = table(spark, sf_dir, "events").select(F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("id"))
     found = traces.wanted_traces(own, observations=seen, kind_="TOOL").agg(F.count("*").alias("wanted"))
