@@ -7,10 +7,10 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, tools, values
-from ..operators import cases, scoring
-from ..shared import scratch
-from ..sources import jsonl, traces
+from ..functions import highlight, text, tools, values
+from ..operators import cases, ranks, scoring
+from ..shared import scratch, spread
+from ..sources import jsonl, jsonl_sink, traces
 from .base import query, table
 
 
@@ -146,6 +146,43 @@ def export_with_report(spark, sf_dir):
     return jsonl.strict(lines).select(F.try_variant_get("obj", "$.event_id", "long").alias("event_id")).crossJoin(F.broadcast(notes))
 
 
+@query("""WITH d AS (SELECT substr(coalesce(source, ''), 1, 80) AS field, coalesce(lang, '') AS label FROM documents), s AS (SELECT field, CASE label WHEN '' THEN '(пусто)' ELSE label END AS label FROM d),
+    lines AS (SELECT 'records: ' || count(*) AS line FROM d UNION ALL SELECT 'by label' UNION ALL SELECT 'by field' UNION ALL SELECT 'by field and label'
+    UNION ALL SELECT count(*) || chr(9) || label FROM s GROUP BY label UNION ALL SELECT count(*) || chr(9) || field FROM s GROUP BY field UNION ALL SELECT count(*) || chr(9) || field || chr(9) || label FROM s GROUP BY field, label)
+    SELECT '# ' || line AS line, (SELECT count(*) FROM documents) AS scanned, (SELECT sum(doc_id)::BIGINT FROM documents) AS ids FROM lines""")
+def export_with_stats(spark, sf_dir):
+    """Records whose writer counts them, and their report; the scans skip the report and find every record."""
+    path = scratch(spark, "stats")
+    d = table(spark, sf_dir, "documents")
+    jsonl_sink.save_with_report(d.select("doc_id", "lang", "source"), path, F.col("lang"), F.col("source"))
+    lines = jsonl.numbered_lines(spark, path)
+    found = jsonl.strict(lines).agg(F.count("*").alias("scanned"), F.sum(F.try_variant_get("obj", "$.doc_id", "long")).alias("ids"))
+    return lines.where(F.col("value").startswith("#")).select(F.col("value").alias("line")).crossJoin(F.broadcast(found))
+
+
+@query("""SELECT event_type, count(*) AS n, (SELECT count(*) FROM events) AS rows, (SELECT sum(octet_length(encode('{"event_id":' || event_id || ',"event_type":' || coalesce('"' || event_type || '"', 'null') || ',"user_id":' || coalesce(user_id::VARCHAR, 'null') || '}')) + 1)::BIGINT FROM events) AS bytes, 0::BIGINT AS damaged FROM events GROUP BY event_type""")
+def export_commit(spark, sf_dir):
+    """Tallies and totals that the writing tasks returned; a scan finds the lines of their digests."""
+    path = scratch(spark, "commit")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    jsonl_sink.save(e, path, {"type": F.col("event_type")})
+    told = jsonl_sink.manifest(spark, path).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    bad = jsonl_sink.damaged(spark, path).agg(F.count("*").alias("damaged"))
+    return jsonl_sink.tallies(spark, path, ["event_type"]).crossJoin(F.broadcast(told)).crossJoin(F.broadcast(bad))
+
+
+@query("""WITH e AS (SELECT event_id + 1 AS line_no, CASE WHEN event_id % 97 = 55 THEN 'invalid JSON' WHEN event_id % 97 = 61 THEN 'not an object' WHEN event_id % 97 = 43 THEN 'goals: neither text nor list' WHEN event_id % 97 = 71 THEN 'context: not an object' END AS error FROM events)
+    SELECT min(line_no) AS line_no, arg_min(error, line_no) AS error, count(error) AS n FROM e WHERE error IS NOT NULL""")
+def first_bad_case(spark, sf_dir):
+    """The first line that a strict scan of cases would stop at, and how many there are."""
+    k = F.col("event_id") % 97
+    bad = F.when(k == 55, '{"goals":').when(k == 61, "[1]").when(k == 43, '{"goals": 3}').when(k == 71, '{"goals": "g", "context": [2]}')
+    value = F.coalesce(bad, F.concat(F.lit('{"dialog_id": "'), F.col("event_id").cast("string"), F.lit('", "goals": ["g"]}')))
+    lines = table(spark, sf_dir, "events").select(F.lit("").alias("file"), (F.col("event_id") + 1).alias("line_no"), value.alias("value"))
+    checked = jsonl.cases(jsonl.parsed(lines))
+    return jsonl.first_error(checked).crossJoin(checked.agg(F.count("error").alias("n")))
+
+
 # --- normalisation
 
 
@@ -283,9 +320,9 @@ def record_keys(spark, sf_dir):
 
 
 @query("""SELECT DISTINCT term, length(term) BETWEEN 2 AND 24 AND NOT regexp_matches(term, '^\\d+$') AND regexp_matches(term, '\\p{L}') AND lower(term) NOT IN ('the', 'is', 'are', 'to', 'of', 'in', 'on', 'at', 'for', 'with', 'and', 'or', 'not', 'this', 'that', 'it', 'you', 'your', 'i', 'we', 'they', 'none', 'null', 'nan', 'true', 'false', 'unknown', 'undefined', 'assistant', 'user', 'bot', 'system', 'a', 'an', 'was', 'were', 'be', 'empty', 'o') AS good
-    FROM (SELECT unnest(string_split_regex(text, '[^a-zA-Z0-9]+')) AS term FROM documents WHERE lang = 'en')""")
+    FROM (SELECT unnest(string_split_regex(text, '[^a-zA-Z0-9]+')) AS term FROM documents)""")
 def meaningful_terms(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split("text", "[^a-zA-Z0-9]+")).alias("term")).distinct()
+    d = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^a-zA-Z0-9]+")).alias("term")).distinct()
     return d.select("term", text.meaningful_term(F.col("term")).alias("good"))
 
 
@@ -313,6 +350,20 @@ def eval_field_texts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tools.eval_field_text(v).alias("shown"))
 
 
+@query(r"""WITH w AS (SELECT coalesce(lang, '') AS lang, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents), c AS (SELECT lang, term, count(*) AS n FROM w WHERE length(term) >= 2 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS k FROM c), t AS (SELECT lang, term FROM r WHERE k <= 200), o AS (SELECT * FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE a.lang = b.lang AND length(b.term) > length(a.term) AND contains(b.term, a.term))),
+    p AS (SELECT lang, '(' || string_agg(term, '|' ORDER BY length(term) DESC, term) || ')' AS pattern FROM o GROUP BY lang)
+    SELECT doc_id, CASE WHEN pattern IS NULL THEN text ELSE regexp_replace(text, pattern, '**\1**', 'gi') END AS marked, coalesce(len(regexp_extract_all(text, pattern, 1, 'i')), 0)::INT AS n FROM documents d LEFT JOIN p ON p.lang = coalesce(d.lang, '')""")
+def cluster_highlight(spark, sf_dir):
+    """Each document with the 200 most frequent words of its language marked."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")))
+    words = d.select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where(F.length("term") >= 2)
+    best = ranks.rank_within(words.groupBy("lang", "term").agg(F.count("*").alias("n")), ["lang"], [F.col("n").desc(), "term"]).where("rank <= 200")
+    rows = d.join(best.groupBy("lang").agg(F.collect_list("term").alias("terms")), "lang", "left")
+    n = F.coalesce(F.size(highlight.spans(F.col("text"), F.col("terms"))), F.lit(0))
+    return rows.select("doc_id", highlight.marked(F.col("text"), F.col("terms")).alias("marked"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("int").alias("n"))
+
+
 @query(r"""SELECT page_id, regexp_replace(html, '(article|title|the)', '**\1**', 'gi') AS marked FROM pages""")
 def text_highlight(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.highlight(F.col("html"), ["the", "article", "title", "art", " "]).alias("marked"))
