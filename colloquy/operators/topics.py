@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import keep_terms, meaningful_term
 from ..shared import materialise, spread
+from .metrics import doc_stats
 
 
 def tokens(records: DataFrame, text: str, cluster: str = "cluster_id", stop_words: bool = True, max_df: float = 0.95) -> DataFrame:
@@ -66,6 +69,11 @@ def keywords(records: DataFrame, text: str, top: int = 10, pool: int = 200, clus
         counts = limited(every, stop_words, max_df)
         if not counts.isEmpty():
             break
+    return best_words(counts, top, pool)
+
+
+def best_words(counts: DataFrame, top: int = 10, pool: int = 200) -> DataFrame:
+    """cluster_id, words of a vocabulary (cluster_id, term, n)."""
     scored = class_tfidf(counts)
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("good").desc(), F.col("score").desc(), "term"))
     ranked = scored.withColumn("good", meaningful_term(F.col("term"))).withColumn("k", rank)
@@ -78,6 +86,66 @@ def keywords(records: DataFrame, text: str, top: int = 10, pool: int = 200, clus
         pool *= 8
 
 
+@dataclass(frozen=True)
+class Setting:
+    """How a topic vocabulary is cut: kind of terms, whether stop words go, and bounds on the number of topics with a term."""
+
+    terms: str
+    stop_words: bool
+    min_df: int
+    max_df: float
+
+
+def least_topics(n_docs: int) -> int:
+    """Topics that a term must stand in at first: two, of few documents one."""
+    return 1 if n_docs < 100 else 2
+
+
+def ladder(n_docs: int, permissive: bool) -> list[Setting]:
+    """Settings from the strictest on; texts that are alike or short start with those that cut no common terms."""
+    steps = [Setting("tokens", True, least_topics(n_docs), 0.95), Setting("tokens", False, 1, 0.95), Setting("tokens", False, 1, 1.0), Setting("words", False, 1, 1.0), Setting("grams", False, 1, 1.0)]
+    return sorted(steps, key=lambda s: s.max_df < 1) if permissive else steps
+
+
+def terms_of(text: Column, kind: str) -> Column:
+    """Lower-case terms of a text: tokens as for keywords, any words of two characters or more, or character n-grams."""
+    if kind == "grams":
+        return char_ngrams(text)
+    return F.filter(F.split(F.lower(text), vocab.BETWEEN_TOKENS), lambda w: w.rlike(vocab.TOKEN) if kind == "tokens" else F.length(w) > 1)
+
+
+def topic_vocabulary(records: DataFrame, text: str, cluster: str = "cluster_id") -> tuple[DataFrame, Setting]:
+    """(cluster_id, term, n), and the first setting of the ladder that leaves a term.
+
+    Each topic, noise too, counts as one document. A kind of terms is counted once, with map-side
+    combination, and only if the ladder comes to it. Texts without any term raise.
+    """
+    rows = records.select(F.col(cluster).alias("cluster_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    told = doc_stats(rows).crossJoin(rows.agg(F.count_distinct("cluster_id").alias("topics"))).first()
+    counted: dict[str, DataFrame] = {}
+    for s in ladder(told.n, bool(told.repetitive or told.short or told.n_unique < 5)):
+        if s.max_df * told.topics < s.min_df:
+            continue
+        if s.terms not in counted:
+            words = spread(rows).select("cluster_id", F.explode(terms_of(F.col("text"), s.terms)).alias("term"))
+            counted[s.terms] = materialise(words.groupBy("cluster_id", "term").agg(F.count("*").alias("n")), "topic-terms")
+        counts = counted[s.terms]
+        if s.stop_words:
+            counts = counts.where(~F.col("term").isin(sorted(set(vocab.STOP_WORDS + vocab.JUNK_TERMS))))
+        if s.min_df > 1 or s.max_df < 1:
+            in_topics = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(s.min_df, s.max_df * told.topics))
+            counts = counts.join(in_topics.select("term"), "term")
+        if not counts.isEmpty():
+            return counts.select("cluster_id", "term", "n"), s
+    raise ValueError(f"no vocabulary in {told.n} texts, {told.n_non_empty} with content, {told.n_unique} different")
+
+
+def topic_keywords(records: DataFrame, text: str, top: int = 10, pool: int = 200, cluster: str = "cluster_id") -> DataFrame:
+    """cluster_id, words of every topic but noise, whose terms count in the vocabulary and the weights."""
+    counts, _ = topic_vocabulary(records, text, cluster)
+    return best_words(counts, top, pool).where(F.col("cluster_id") != vocab.NOISE)
+
+
 def labels(words: DataFrame, top: int = 4, sep: str = ".") -> DataFrame:
     """cluster_id, label of the first words; noise and clusters without words have fixed labels."""
     joined = F.array_join(F.slice(F.col("words.term"), 1, top), sep)
@@ -99,6 +167,10 @@ def merge_words(primary: DataFrame, other: DataFrame) -> DataFrame:
 
 def char_ngrams(text, low: int = 3, high: int = 5):
     """Character n-grams within word bounds, for vocabularies that have no words."""
-    padded = F.transform(F.split(F.lower(text), r"(?U)\s+"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*[F.flatten(F.transform(padded, lambda w, n=n: grams(w, n))) for n in range(low, high + 1)]))
+    padded = F.transform(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def grams(n: int) -> Column:
+        none = F.array().cast("array<string>")
+        return F.flatten(F.transform(padded, lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(none)))
+
+    return F.flatten(F.array(*map(grams, range(low, high + 1))))

@@ -23,12 +23,13 @@ class ClusteringResult:
     removed: DataFrame
 
 
-def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog", threshold: float | None = 0.95, min_cluster_size: int = 5, min_samples: int = 1, outliers: bool = False, components: int | None = None, reduction: str = "pca", coordinates: bool = False) -> ClusteringResult:
+def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog", threshold: float | None = 0.95, min_cluster_size: int = 5, min_samples: int = 1, outliers: bool = False, components: int | None = None, reduction: str = "pca", coordinates: bool = False, vocabulary: str = "clusters") -> ClusteringResult:
     """Dedup, text, embeddings, density clusters, keywords and labels of a dialog sample (row_idx, history).
 
     ``components`` cuts the embeddings before clustering, to principal components or, with
     ``reduction`` graph, to a layout of the neighbour graph; ``coordinates`` adds x and y of a
-    two-dimensional layout of the whole embeddings.
+    two-dimensional layout of the whole embeddings. The keywords come from the vocabulary of the
+    clusters' texts or, with ``vocabulary`` topics, from that of topics as documents.
     """
     field = validate_field(field)
     text = cluster_text(F.col("history"), field) if field in vocab.HISTORY_FIELDS else F.col(field)
@@ -49,7 +50,7 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
     if outliers:
         near = cluster.reassign_noise(rows).withColumnRenamed("cluster_id", "near")
         rows = rows.join(near, "row_idx", "left").withColumn("cluster_id", F.coalesce("near", "cluster_id")).drop("near")
-    words = topics.keywords(rows, "text")
+    words = topics.topic_keywords(rows, "text") if vocabulary == "topics" else topics.keywords(rows, "text")
     names = topics.labels(words)
     rows = rows.join(F.broadcast(names), "cluster_id", "left")  # a row per cluster
     label = F.when(F.col("cluster_id") == vocab.NOISE, F.lit(vocab.NOISE_LABEL)).otherwise(F.coalesce("label", F.lit(vocab.NO_KEYWORDS)))

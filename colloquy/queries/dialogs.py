@@ -687,6 +687,16 @@ def ctfidf_keywords(spark, sf_dir):
     return w.select("cluster_id", text.format_terms(F.col("words")).alias("keywords"))
 
 
+@query(f"""WITH t AS (SELECT cluster_id, term, count(*) AS n FROM (SELECT regexp_replace(source, 'src', '')::INT AS cluster_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM documents) WHERE regexp_matches(term, '^[\\p{{L}}\\p{{Nl}}\\p{{No}}].') GROUP BY 1, 2),
+    k AS (SELECT count(DISTINCT source) + count(DISTINCT CASE WHEN source IS NULL THEN 1 END) AS topics, count(*) AS docs FROM documents), s AS (SELECT * FROM t WHERE term NOT IN ({', '.join("'" + w + "'" for w in sorted(set(vocab.STOP_WORDS + vocab.JUNK_TERMS)))})),
+    a AS (SELECT 1 AS step, t.* FROM s t JOIN (SELECT term, count(*) AS df FROM s GROUP BY term) USING (term), k WHERE df >= CASE WHEN docs < 100 THEN 1 ELSE 2 END AND df <= 0.95 * topics
+    UNION ALL SELECT 2, t.* FROM t JOIN (SELECT term, count(*) AS df FROM t GROUP BY term) USING (term), k WHERE df <= 0.95 * topics UNION ALL SELECT 3, * FROM t)
+    SELECT cluster_id, term, n FROM a WHERE step = (SELECT min(step) FROM a)""")
+def topic_vocabulary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("text", F.regexp_replace("source", "src", "").cast("int").alias("cluster_id"))
+    return topics.topic_vocabulary(d, "text")[0]
+
+
 @query(f"""WITH t AS (SELECT regexp_replace(source, 'src', '')::INT AS cluster_id, term, count(*) AS n FROM (SELECT d.source, unnest(string_split_regex(lower(d.text), '[^\\p{{L}}]+')) AS term FROM documents d) WHERE length(term) >= 2 GROUP BY 1, 2),
     c AS (SELECT cluster_id, sum(n)::DOUBLE AS size FROM t GROUP BY 1), f AS (SELECT term, sum(n)::DOUBLE AS f FROM t GROUP BY 1), a AS (SELECT floor(avg(size)) AS a FROM c), s AS (SELECT cluster_id, term, (a - f + 0.5) / (f + 0.5) AS z, n / size AS tf FROM t JOIN c USING (cluster_id) JOIN f USING (term), a)
     SELECT cluster_id, term, round(sqrt(tf) * ln(1 + z), 9) AS score FROM s WHERE z > 0""")
