@@ -117,3 +117,32 @@ def test_a_conversation_is_forgotten_after_its_horizon(spark, tmp_path):
         conversations.write_better(arriving, f"{tmp_path}/out", f"{tmp_path}/cp", "1 day").awaitTermination()
     got = [r.row_idx for r in spark.read.parquet(f"{tmp_path}/out").orderBy("row_idx").collect()]
     assert got == [1, 2, 3, 4]  # the short case of a comes after its horizon, so it counts as new
+
+
+def test_conversations_share_states(spark, tmp_path, monkeypatch):
+    """Four buckets for fifty conversations: what goes out is what each conversation alone would send, and only the silent ones are forgotten."""
+    monkeypatch.setattr(conversations, "BUCKETS", 4)
+    schema = "row_idx long, conv_key string, hist_len int, ts string, event_time timestamp"
+    at = lambda day: DAY + timedelta(days=day)
+    batches = [
+        [(k, f"c{k}", 5, "x", at(0)) for k in range(50)] + [(100, "c7", 6, "x", at(0)), (101, "c8", 4, "x", at(0))],
+        [(200 + k, f"c{k}", 5 + k % 2, "a", at(1)) for k in range(40)],
+        [(300, "new", 1, "x", at(3.5))],
+        [(400 + k, f"c{k}", 1, "x", at(3)) for k in range(38, 42)],
+        [(500, "new", 0, "x", at(3)), (501, "c41", 2, "x", at(3))],
+    ]
+    out = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        arriving = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = conversations.write_better(arriving, f"{tmp_path}/out", f"{tmp_path}/cp", "36 hours")
+        query.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert max(states) <= 4
+        sent = {r.row_idx for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        out.append(sorted(sent - {i for s in out for i in s}))
+    assert out[0] == [k for k in range(50) if k != 7] + [100]
+    assert out[1] == [200 + k for k in range(40) if k % 2 and k != 7]  # of equal length 6, "x" beats "a" for c7
+    assert out[2] == [300]
+    assert out[3] == [440, 441]  # c40 and c41 were silent for 36 hours; c38 and c39 weren't
+    assert out[4] == [501]
