@@ -53,6 +53,19 @@ def test_index_recall_and_exact_mode(spark, corpus, monkeypatch):
     assert spark.read.parquet(f"{path}/cells").agg({"n": "sum"}).first()[0] == 2999
 
 
+def test_index_recall_of_vectors_without_groups(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 24))
+    rows, path = frame(spark, x), scratch(spark, "index")
+    vector_index.write_index(rows, path, "row_idx", rows_per_cell=30)
+    asked = rows.where("row_idx % 25 = 0").withColumnRenamed("row_idx", "query_id")
+    want = {(q, i) for q, i, _ in plain_top(x, range(0, 3000, 25), 10, -1.0)}
+    got = {(r.query_id, r.row_idx) for r in vector_index.search_index(spark, path, asked, 10, key="row_idx").collect()}
+    assert len(got & want) / len(want) >= 0.9
+    few = {(r.query_id, r.row_idx) for r in vector_index.search_index(spark, path, asked, 10, probe=8, key="row_idx").collect()}
+    assert len(few & want) / len(want) < 0.9  # as many cells as were always visited before
+    assert 8 < spark.read.parquet(f"{path}/cells").first().probe < 100
+
+
 def test_exact_search_without_an_index(spark, corpus):
     x, rows = corpus
     asked = rows.where("row_idx % 300 = 0 or row_idx = 7").withColumnRenamed("row_idx", "query_id")
