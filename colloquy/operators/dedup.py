@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -15,11 +14,14 @@ from ..shared import materialise
 from . import forest
 from .metrics import dot, unit
 from .ranks import running_within
+from .vector_index import as_matrix
 
 #: Links that one task settles.
 GROUP_LINKS = 200_000
 #: Hash tables that more bits may call for.
 MOST_TABLES = 128
+#: Vectors that are hashed at a time.
+SLICE = 512
 
 
 def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
@@ -43,7 +45,7 @@ def semantic_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", v
     no table with probability below 1e-5. Where that takes more tables than a table has buckets,
     comparing all pairs is less work, and ``exact_pairs`` does it.
     """
-    unit_rows = vectors.select(F.col(key).alias("i"), unit(F.col(vector)).alias("u")).where("u is not null")
+    unit_rows = materialise(vectors.select(F.col(key).alias("i"), unit(F.col(vector)).alias("u")).where("u is not null"), "unit-vectors")
     told = unit_rows.agg(F.count("*").alias("rows"), F.max(F.size("u")).alias("n")).first()
     if not told.rows:
         return vectors.sparkSession.createDataFrame([], "i long, j long, sim double")
@@ -61,16 +63,33 @@ def semantic_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", v
     tables = max(tables, needed)
     planes = np.random.default_rng(seed).standard_normal((tables * bits, told.n))
 
-    @F.pandas_udf("array<long>")
-    def keys(u: pd.Series) -> pd.Series:
-        signs = (np.stack(u.to_numpy()) @ planes.T > 0).reshape(len(u), tables, bits)
-        codes = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-        return pd.Series(list(codes.astype(np.int64)))
-
-    hashed = unit_rows.select("i", "u", F.explode(keys("u")).alias("k"))
-    pairs = hashed.select("k", "i").join(hashed.select("k", F.col("i").alias("j")), "k").where("i < j").select("i", "j").distinct()
+    powers, starts = (1 << np.arange(bits)).astype(np.float32), np.arange(tables, dtype=np.int64) << bits  # sums stay below 2^24
+
+    def keys(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                signs = as_matrix(part.column(1)) @ planes.T > 0
+                codes = (signs.reshape(-1, bits).astype(np.float32) @ powers).astype(np.int64).reshape(-1, tables) + starts
+                own = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), tables)))
+                yield pa.record_batch([own, pa.array(codes.ravel())], names=["i", "k"])
+
+    hashed = unit_rows.mapInArrow(keys, f"i {unit_rows.schema['i'].dataType.simpleString()}, k long")
+    # most rows are alone in most of their buckets; only the others meet
+    met = hashed.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1").select("k", "i")
+    met = materialise(met, "met")
+    pairs = met.join(met.select("k", F.col("i").alias("j")), "k").where("i < j").select("i", "j").distinct()
     both = pairs.join(unit_rows, "i").join(unit_rows.select(F.col("i").alias("j"), F.col("u").alias("w")), "j")
-    return both.select("i", "j", dot(F.col("u"), F.col("w")).alias("sim")).where(F.col("sim") >= threshold)
+
+    def alike(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sim = np.einsum("ij,ij->i", as_matrix(batch.column(2)), as_matrix(batch.column(3)))
+                on = pa.array(sim >= threshold)
+                yield pa.record_batch([batch.column(0).filter(on), batch.column(1).filter(on), pa.array(sim).filter(on)], names=["i", "j", "sim"])
+
+    kind = unit_rows.schema["i"].dataType.simpleString()
+    return both.select("i", "j", "u", "w").mapInArrow(alike, f"i {kind}, j {kind}, sim double")
 
 
 def exact_pairs(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding") -> DataFrame:

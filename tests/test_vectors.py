@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from exact_density import density_labels, spanning_tree
 
-from colloquy.operators import cluster, density, forest, layout, similarity, vector_index
+from colloquy import shared
+from colloquy.operators import cluster, dedup, density, forest, layout, similarity, vector_index
 from colloquy.shared import scratch
 
 
@@ -196,3 +197,15 @@ def test_layout_of_few_rows(spark):
     assert layout.graph_layout(frame(spark, blobs(9, 4))).count() == 9
     a, b = layout.curve(0.1, 1.0)
     assert a == pytest.approx(1.577, abs=2e-3) and b == pytest.approx(0.895, abs=2e-3)
+
+
+def test_semantic_pairs_move_only_rows_that_meet(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(1500, 32))
+    x[700:730] = x[:30] + 0.02
+    tables = {}
+    monkeypatch.setattr(dedup, "materialise", lambda df, name: tables.setdefault(name, shared.materialise(df, name)))
+    monkeypatch.setattr(dedup, "SLICE", 97)
+    got = {(r.i, r.j) for r in dedup.semantic_pairs(frame(spark, x), 0.95).collect()}
+    u = vector_index.unit_rows(x)
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.95)) if i < j} and len(got) == 30
+    assert tables["met"].count() < 10 * 1500  # of more than sixty buckets for each row
