@@ -7,6 +7,7 @@ cluster, joined to it); a task keeps the automata of the lists that it met last.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -78,14 +79,18 @@ def find(text: str, terms: tuple) -> list[tuple[int, int]]:
     return spans
 
 
-def _mark(text: str, terms: tuple, left: str, right: str) -> str:
+def _between(text: str | None, found: list[tuple[int, int]], left: str, right: str) -> str | None:
     out, at = [], 0
-    for start, n in find(text, terms):
+    for start, n in found:
         out += [text[at:start], left, text[start : start + n], right]
         at = start + n
     return "".join([*out, text[at:]]) if out else text
 
 
+def _mark(text: str, terms: tuple, left: str, right: str) -> str:
+    return _between(text, find(text, terms), left, right)
+
+
 def _rows(texts: pd.Series, terms: pd.Series):
     for t, ks in zip(texts, terms):
         yield t, tuple(ks) if ks is not None else ()
@@ -113,6 +118,31 @@ def marked(text: Column, terms: Column, left: str = "**", right: str = "**") ->
     return put(text, terms)
 
 
+@lru_cache(maxsize=64)
+def _listed(terms: str) -> tuple:
+    return tuple(json.loads(terms))
+
+
+def marked_and_counted(text: Column, terms: Column, left: str = "**", right: str = "**") -> Column:
+    """``marked`` and the number of marks n in one walk over the text; ``terms`` is a list as JSON text.
+
+    Where many rows have one list, its text is read once per worker; an array would be made into
+    as many Python strings for every row.
+    """
+
+    @F.pandas_udf("marked string, n int")
+    def put(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, lists in batches:
+            told, counts = [], []
+            for t, ks in zip(texts, lists):
+                found = find(t, _listed(ks)) if t and ks else []
+                told.append(_between(t, found, left, right))
+                counts.append(len(found))
+            yield pd.DataFrame({"marked": pd.Series(told, dtype=object), "n": pd.Series(counts, dtype="int32")})
+
+    return put(text, terms)
+
+
 def marked_html(text: Column, terms: Column) -> Column:
     """Escaped text with marked terms; line ends become breaks."""
     shown = marked(escape_html(text), F.transform(terms, escape_html), "<mark>", "</mark>")

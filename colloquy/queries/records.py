@@ -359,9 +359,9 @@ def cluster_highlight(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang")))
     words = d.select("lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where(F.length("term") >= 2)
     best = ranks.rank_within(words.groupBy("lang", "term").agg(F.count("*").alias("n")), ["lang"], [F.col("n").desc(), "term"]).where("rank <= 200")
-    rows = d.join(best.groupBy("lang").agg(F.collect_list("term").alias("terms")), "lang", "left")
-    n = F.coalesce(F.size(highlight.spans(F.col("text"), F.col("terms"))), F.lit(0))
-    return rows.select("doc_id", highlight.marked(F.col("text"), F.col("terms")).alias("marked"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("int").alias("n"))
+    terms = best.groupBy("lang").agg(F.to_json(F.array_sort(F.collect_list("term"))).alias("terms"))
+    told = d.join(terms, "lang", "left").select("doc_id", highlight.marked_and_counted(F.col("text"), F.col("terms")).alias("told"))
+    return told.select("doc_id", "told.marked", "told.n")
 
 
 @query(r"""SELECT page_id, regexp_replace(html, '(article|title|the)', '**\1**', 'gi') AS marked FROM pages""")

@@ -136,3 +136,9 @@ def test_marks_of_each_row(spark):
     assert got[0] == ("a**<b** & Straße **ſun**", "a<mark>&lt;b</mark> &amp; Straße <mark>ſun</mark>")
     assert got[1] == ("**İx**\n**ix**", "<mark>İx</mark><br><mark>ix</mark>")
     assert got[2] == got[3] == ("same", "same") and got[4] == (None, None)
+
+
+def test_marks_and_their_number_in_one_walk(spark):
+    rows = [("The cat, the CAT.", '["cat", "the", "he"]'), ("none", '["cat"]'), (None, '["cat"]'), ("cat", None), ("", '["cat"]'), ("Ж и ж", '["ж"]'), ('a"b\\', '["\\"b\\\\"]')]
+    df = spark.createDataFrame(rows, "text string, terms string").select(highlight.marked_and_counted(F.col("text"), F.col("terms")).alias("r")).select("r.marked", "r.n")
+    assert [tuple(r) for r in df.collect()] == [("**The** **cat**, **the** **CAT**.", 4), ("none", 0), (None, 0), ("cat", 0), ("", 0), ("**Ж** и **ж**", 2), ('a**"b\\**', 1)]
