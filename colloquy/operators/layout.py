@@ -47,6 +47,11 @@ def curve(min_dist: float, spread: float) -> tuple[float, float]:
     return float(np.exp(x[0])), float(np.exp(x[1]))
 
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """A side with a row per vector, to be joined by shuffling: broadcasts go through the driver, and a layout has dozens of joins."""
+    return rows.hint("merge")
+
+
 def _fuzzy(batches):
     """Task: i, near (its neighbours by distance) -> i, j, w; the weights of a row sum to the logarithm of their number."""
     for batch in batches:
@@ -100,13 +105,13 @@ def eigenvectors(graph: DataFrame, dims: int, sweeps: int = SWEEPS, seed: int =
     q = dims + 3
     names = [f"x{c}" for c in range(q)]
     degree = materialise(graph.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("degree")), "degrees")
-    scaled = graph.join(degree.toDF("i", "di"), "i").join(degree.toDF("j", "dj"), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
+    scaled = graph.join(_by_key(degree.toDF("i", "di")), "i").join(_by_key(degree.toDF("j", "dj")), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
     scaled = materialise(scaled, "scaled-edges")
     # the first start is the first eigenvector itself
     now = materialise(degree.select("id", F.sqrt("degree").alias("x0"), *(_noise(seed, c).alias(names[c]) for c in range(1, q))), "vectors")
 
     def product(x: DataFrame) -> DataFrame:
-        return scaled.join(x.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
+        return scaled.join(_by_key(x.withColumnRenamed("id", "j")), "j").groupBy(F.col("i").alias("id")).agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
 
     def inner(x: DataFrame, y: list[str]) -> np.ndarray:
         row = x.agg(*(F.sum(F.col(a) * F.col(b)) for a in names for b in y)).first()
@@ -116,14 +121,14 @@ def eigenvectors(graph: DataFrame, dims: int, sweeps: int = SWEEPS, seed: int =
         return x.select("id", *(sum((F.col(a) * F.lit(float(v)) for a, v in zip(names, m[:, c])), F.lit(0.0)).alias(names[c]) for c in range(m.shape[1])))
 
     for _ in range(sweeps):
-        moved = product(now).join(now.toDF("id", *(f"old_{n}" for n in names)), "id")
+        moved = product(now).join(_by_key(now.toDF("id", *(f"old_{n}" for n in names))), "id")
         # half way to the identity, so that large negative eigenvalues don't lead
         moved = materialise(moved.select("id", *(((F.col(n) + F.col(f"old_{n}")) / 2).alias(n) for n in names)), "vectors")
         gram = inner(moved, names)
         now = turned(moved, np.linalg.inv(np.linalg.cholesky(gram + 1e-12 * np.trace(gram) * np.eye(q))).T)
     now = materialise(now, "vectors")
     images = product(now).toDF("id", *(f"a_{n}" for n in names))
-    h = inner(now.join(images, "id"), [f"a_{n}" for n in names])
+    h = inner(now.join(_by_key(images), "id"), [f"a_{n}" for n in names])
     values, turn = np.linalg.eigh((h + h.T) / 2)
     return materialise(turned(now, turn[:, np.argsort(-values)[1 : dims + 1]]), "eigenvectors")
 
@@ -195,7 +200,7 @@ def graph_layout(
     cells = graph.places.select("id", F.get("cells", F.lit(0)).alias("cell"))
     parts = materialise(cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts")), "layout-cells")  # a row per cell
     blocks = cells.join(F.broadcast(parts), "cell").select(F.col("id").alias("i"), "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    edges = materialise(fuzzy.join(blocks, "i"), "layout-edges")
+    edges = materialise(fuzzy.join(_by_key(blocks), "i"), "layout-edges")
     a, b = curve(min_dist, spread)
     count = graph.points.count()
     for r in range(rounds):
@@ -203,8 +208,8 @@ def graph_layout(
         chosen = places.where(F.pmod(F.xxhash64("id", F.lit(seed + r)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) if share < 1 else places
         sample = chosen.select(*xs).limit(SAMPLE).toArrow()
         sample = np.stack([sample[c].to_numpy() for c in xs], axis=1)
-        ends = edges.join(places.toDF("i", *(f"p{c}" for c in range(dims))), "i").join(places.toDF("j", *(f"q{c}" for c in range(dims))), "j")
+        ends = edges.join(_by_key(places.toDF("i", *(f"p{c}" for c in range(dims)))), "i").join(_by_key(places.toDF("j", *(f"q{c}" for c in range(dims)))), "j")
         move = _moved(a, b, dims, epochs, RATE * (1 - r / rounds), RATE * (1 - (r + 1) / rounds), sample, seed + r)
         places = materialise(ends.groupBy("cell", "part").applyInArrow(move, ", ".join(["id long", *(f"{c} double" for c in xs)])), "places")
-    found = graph.points.join(places, "id").select("embedding", *(F.col(c).alias(f"at_{c}") for c in xs))
-    return rows.join(found, "embedding").select(key, *(F.col(f"at_{c}").alias(n) for c, n in zip(xs, names)))
+    found = graph.points.join(_by_key(places), "id").select("embedding", *(F.col(c).alias(f"at_{c}") for c in xs))
+    return rows.join(_by_key(found), "embedding").select(key, *(F.col(f"at_{c}").alias(n) for c, n in zip(xs, names)))

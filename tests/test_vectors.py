@@ -209,3 +209,13 @@ def test_semantic_pairs_move_only_rows_that_meet(spark, monkeypatch):
     u = vector_index.unit_rows(x)
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.95)) if i < j} and len(got) == 30
     assert tables["met"].count() < 10 * 1500  # of more than sixty buckets for each row
+
+
+def test_layout_sends_no_row_per_vector_through_the_driver(spark, monkeypatch):
+    plans, x = [], blobs(400)
+    keep = lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), shared.materialise(df, name))[1]
+    monkeypatch.setattr(layout, "materialise", keep)
+    got = layout.graph_layout(frame(spark, x), rounds=1)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    # the row per cell that deals rows into blocks is broadcast, nothing else
+    assert sum(p.count("BroadcastExchange") for p in plans) <= 1
