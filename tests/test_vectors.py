@@ -219,3 +219,41 @@ def test_layout_sends_no_row_per_vector_through_the_driver(spark, monkeypatch):
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     # the row per cell that deals rows into blocks is broadcast, nothing else
     assert sum(p.count("BroadcastExchange") for p in plans) <= 1
+
+
+def test_neighbours_travel_a_row_per_visit(spark, monkeypatch):
+    x, found = blobs(600), []
+    keep = lambda *a: (found.append(vector_index.meet(*a)), found[-1])[1]
+    monkeypatch.setattr(density, "meet", keep)
+    graph = density.neighbour_graph(frame(spark, x), 16, 4, 60)
+    assert found[0].count() <= 4 * 600  # not one per neighbour
+    rows = {}
+    for r in graph.edges.collect():
+        rows.setdefault(r.i, []).append((r["rank"], r.d, r.j))
+    assert len(rows) == 600 and all([k for k, _, _ in sorted(v)] == list(range(1, 17)) and sorted(v) == [(k + 1, d, j) for k, (d, j) in enumerate(sorted((d, j) for _, d, j in v))] for v in rows.values())
+
+
+def test_tree_of_plain_distances_joins_no_core_distances(spark, monkeypatch):
+    plans, spanning = [], forest.spanning_tree
+    monkeypatch.setattr(forest, "spanning_tree", lambda edges, *a: (plans.append(edges._jdf.queryExecution().optimizedPlan().toString()), spanning(edges, *a))[1])
+    graph = density.neighbour_graph(frame(spark, blobs(200)), 8)
+    tree, _ = density.reachability_tree(graph, 1)
+    assert tree.count() == 199 and "Join" not in plans[0] and "Aggregate" not in plans[0]
+
+
+def test_long_chains_of_pointers_take_few_tables(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(forest, "materialise", lambda df, name: (names.append(name), shared.materialise(df, name))[1])
+    chain = spark.range(1000).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS to")
+    assert {(r.id, r.root) for r in forest.follow(chain, in_task=0).collect()} == {(i, 0) for i in range(1000)}
+    assert len(names) <= 7  # twelve where a table is a jump
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_first_of_rows_among_many_columns(most):
+    cost = np.random.default_rng(4).integers(0, 40, (30, 500)).astype(float)
+    cost[3], cost[4, 2:], cost[5, :490], cost[6, ::2] = np.inf, np.inf, np.nan, np.nan
+    i, j = vector_index.first_of_rows(cost, most)
+    for r in range(30):
+        want = [c for c in np.lexsort((np.arange(500), cost[r])) if np.isfinite(cost[r, c])][:most]
+        assert j[i == r].tolist() == want
