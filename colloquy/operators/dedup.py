@@ -32,7 +32,7 @@ def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
     """
     own = strip(F.coalesce(F.col(text), F.lit("")))
     key = F.when(own != "", F.unhex(F.sha2(own, 256)))  # a digest travels, not the text
-    first = records.where(key.isNotNull()).groupBy(key.alias("dedup_key")).agg(F.min(order).alias("kept_idx"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = records.where(own != "").groupBy(key.alias("dedup_key")).agg(F.min(order).alias("kept_idx"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     out = records.withColumn("dedup_key", key).join(first, "dedup_key", "left").drop("dedup_key")
     return out.withColumn("kept_idx", F.coalesce("kept_idx", order)).withColumn("dup", F.col("kept_idx") != F.col(order))
 

@@ -33,8 +33,8 @@ def cluster_sample(records: DataFrame, embedder: Embedder, field: str = "dialog"
     """
     field = validate_field(field)
     text = cluster_text(F.col("history"), field) if field in vocab.HISTORY_FIELDS else F.col(field)
-    rows = records.withColumn("text", text)
-    marked = dedup.exact(rows, "text")
+    rows = materialise(records.withColumn("text", text), "texts")  # each text is made once, and compared once
+    marked = materialise(dedup.exact(rows, "text"), "marked")
     exact = marked.where("dup").select("row_idx", "kept_idx", F.lit("exact").alias("reason"), F.lit(1.0).alias("similarity"))
     rows = marked.where("not dup").drop("dup", "kept_idx").withColumn("model_text", for_embedding(F.col("text"), field))
     rows = materialise(embed(rows, "model_text", embedder), "embedded")  # the provider is asked once

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy import shared
 from colloquy.functions import text, values
 from colloquy.operators import agreement, bootstrap, cluster, compare, dedup, metrics, sampling, scoring, similarity, timing, topics
 from colloquy.plans import pipelines, providers
@@ -359,3 +360,14 @@ def test_semantic_pairs_at_low_thresholds(spark, threshold):
     df = spark.createDataFrame(vectors, "row_idx long, embedding array<double>")
     want = {(r.i, r.j) for r in dedup.exact_pairs(df, threshold).collect()}
     assert len(want) > 300 and {(r.i, r.j) for r in dedup.semantic_pairs(df, threshold).collect()} == want
+
+
+def test_clustering_makes_and_compares_each_text_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(pipelines, "materialise", lambda df, name: (tables.append(name), shared.materialise(df, name))[1])
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("text "), (F.col("id") % 5).cast("string")).alias("content")))
+    got = pipelines.cluster_sample(spark.range(40).select(F.col("id").alias("row_idx"), turns.alias("history")), providers.HashedWords(16), "user", threshold=None)
+    plan = got.removed._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert tables[:2] == ["texts", "marked"]
+    assert {(r.row_idx, r.kept_idx) for r in got.removed.collect()} == {(i, i % 5) for i in range(5, 40)}
