@@ -15,6 +15,7 @@ from . import forest
 from .metrics import dot, unit
 from .ranks import running_within
 from .vector_index import as_matrix
+from .vector_index import unit_rows as scaled
 
 #: Links that one task settles.
 GROUP_LINKS = 200_000
@@ -22,6 +23,10 @@ GROUP_LINKS = 200_000
 MOST_TABLES = 128
 #: Vectors that are hashed at a time.
 SLICE = 512
+#: Rows of a block at most; blocks that a smaller table is cut into, for the cores, and rows that such a block has at least.
+BLOCK, BLOCKS, LEAST = 65_536, 8, 512
+#: Rows, and earlier rows, that one matrix product compares.
+TILE = 2048, 1024
 
 
 def exact(records: DataFrame, text: str, order: str = "row_idx") -> DataFrame:
@@ -151,22 +156,95 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str = "row_idx", most:
     return gone.select(F.col("j").alias(key), "kept_idx", F.col("sim").alias("similarity"))
 
 
-def semantic(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", most: int = GROUP_LINKS) -> DataFrame:
-    """key, kept_idx, similarity of the rows that go: cosine of at least ``threshold`` to an earlier row that stays.
+def _first_earlier(threshold: float, tile: tuple[int, int]):
+    """Task: rows (a, b, block, i, v) of two blocks -> (j, i, sim), each row of block b with the first earlier row alike in block a.
 
-    Equal vectors are compared once, by their first row: its copies go with it to the row that it
-    goes to, or to itself. So a vector that a third of all rows share makes no pairs.
+    Earlier rows come tile by tile, and a row that has found its own leaves, so a group of near
+    copies costs what its rows cost. Products are of 4-byte floats, with room for their error; what
+    they find is confirmed by 8-byte ones.
+    """
+
+    def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        a, b = (k.as_py() for k in key)
+        rows = rows.sort_by("i")
+        block, ids, u = rows.column("block").to_numpy(), rows.column("i").to_numpy(), scaled(as_matrix(rows.column("v")))
+        parts = [(block == at) & u.any(axis=1) for at in (a, b)]  # zero vectors are like none
+        (before, x), (after, y) = ((ids[part], u[part]) for part in parts)
+        x4, y4 = x.astype(np.float32), y.astype(np.float32)
+        low = np.float32(threshold - (u.shape[1] + 4) * 2.0**-22)
+        found = []
+        for q in range(0, len(y), tile[0]):
+            left = np.arange(q, min(q + tile[0], len(y)))
+            for c in range(0, q + tile[0] if a == b else len(x), tile[1]):
+                hit = y4[left] @ x4[c : c + tile[1]].T >= low
+                if a == b:  # both in order: only what stands before
+                    hit &= np.arange(c, c + hit.shape[1]) < left[:, None]
+                done = np.zeros(len(left), bool)
+                maybe = np.flatnonzero(hit.any(axis=1))
+                while len(maybe):
+                    at = hit[maybe].argmax(axis=1)
+                    sim = np.einsum("ij,ij->i", y[left[maybe]], x[c + at])
+                    on = sim >= threshold
+                    found.append((after[left[maybe[on]]], before[c + at[on]], sim[on]))
+                    done[maybe[on]] = True
+                    hit[maybe[~on], at[~on]] = False
+                    maybe = maybe[~on][hit[maybe[~on]].any(axis=1)]
+                left = left[~done]
+                if not len(left):
+                    break
+        columns = [np.concatenate([f[n] for f in found]) if found else [] for n in range(3)]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["j", "i", "sim"])
+
+    return work
+
+
+def first_earlier(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", block: int = BLOCK, tile: tuple[int, int] = TILE) -> DataFrame:
+    """j, i, sim: every row with a cosine of at least ``threshold`` to earlier rows, and the first of those. Keys are distinct.
+
+    Exact: every two blocks of rows, cut in row order, meet in a task of their own, which returns a
+    row of the later block at most once. So work is quadratic in the rows, and what is sent is rows
+    times blocks; no pairs are made, however many rows are alike.
     """
-    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where(unit(F.col("v")).isNotNull())
-    firsts = materialise(rows.groupBy("v").agg(F.min("k").alias("row_idx"), F.count("*").alias("m")).withColumnRenamed("v", "embedding"), "first-rows")
-    gone = greedy_keep(firsts.select("row_idx"), semantic_pairs(firsts, threshold), most=most)
-    gone = materialise(gone, "semantic-gone")
+    rows = vectors.select(F.col(key).cast("long").alias("i"), F.col(vector).alias("v")).where("v is not null")
+    n = rows.count()
+    blocks = max(math.ceil(n / block), min(BLOCKS, math.ceil(n / LEAST)), 1)
+    cuts = rows.agg(F.percentile_approx("i", [b / blocks for b in range(1, blocks)], 100 * blocks).alias("cuts")).first().cuts if blocks > 1 else []
+    own = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("i"))) if cuts else F.lit(0)
+    sent = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "i", "v")
+    found = sent.groupBy("a", "b").applyInArrow(_first_earlier(threshold, tile), "j long, i long, sim double")
+    return found.groupBy("j").agg(F.min(F.struct("i", "sim")).alias("k")).select("j", "k.i", "k.sim")
+
+
+def _by_first_rows(vectors: DataFrame, key: str, vector: str, gone_of) -> DataFrame:
+    """key, kept_idx, similarity of the rows that go; ``gone_of`` tells them of the first rows of all vectors, and copies go with theirs or to it."""
+    rows = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    measured = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0  # what has a unit vector
+    firsts = materialise(rows.where(measured).groupBy("v").agg(F.min("k").alias("row_idx"), F.count("*").alias("m")).withColumnRenamed("v", "embedding"), "first-rows")
+    gone = materialise(gone_of(firsts), "semantic-gone")
     several = firsts.where("m > 1").select(F.col("row_idx").alias("first"), F.col("embedding").alias("v"))
     copies = rows.join(several, "v").where("k <> first").join(gone.withColumnRenamed("row_idx", "first"), "first", "left")
     copies = copies.select(F.col("k").alias("row_idx"), F.coalesce("kept_idx", "first").alias("kept_idx"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     return gone.unionByName(copies).withColumnRenamed("row_idx", key)
 
 
+def semantic(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding", most: int = GROUP_LINKS) -> DataFrame:
+    """key, kept_idx, similarity of the rows that go: cosine of at least ``threshold`` to an earlier row that stays.
+
+    Equal vectors are compared once, by their first row: its copies go with it to the row that it
+    goes to, or to itself. So a vector that a third of all rows share makes no pairs.
+    """
+    return _by_first_rows(vectors, key, vector, lambda firsts: greedy_keep(firsts.select("row_idx"), semantic_pairs(firsts, threshold), most=most))
+
+
+def first_alike(vectors: DataFrame, threshold: float, key: str = "row_idx", vector: str = "embedding") -> DataFrame:
+    """key, kept_idx, similarity of every row with a cosine of at least ``threshold`` to any earlier row: the first such row.
+
+    Unlike in ``semantic``, that row may have an earlier one alike itself. Equal vectors are compared once.
+    """
+    return _by_first_rows(vectors, key, vector, lambda firsts: first_earlier(firsts, threshold).toDF("row_idx", "kept_idx", "similarity"))
+
+
 def by_conversation(cases: DataFrame, order: str = "row_idx") -> DataFrame:
     """One case per conversation key: longest history, latest time, last seen; keyless rows stay.
 
